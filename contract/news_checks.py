@@ -199,7 +199,9 @@ def _(spark, sf_dir):
 def _files(spark, sf_dir):
     first = news(spark, sf_dir)
     again = first.withColumn(
-        "title", F.when(F.col("sentiment_score").isNull(), F.upper("title")).otherwise(F.col("title"))
+        "title", F.when(F.col("sentiment_score").isNull(), F.concat(F.lit("Update: "), "title")).otherwise(
+            F.col("title")
+        ),
     ).withColumn("sentiment_score", F.lit(9.0))
     return [first, talks(spark, sf_dir), again]
 
@@ -209,7 +211,7 @@ _FILES = """files as (
   union all
   select news_id, pub_time, ticker, title, summary, cast(null as double), 1 from talks
   union all
-  select news_id, pub_time, ticker, case when sentiment_score is null then upper(title) else title end,
+  select news_id, pub_time, ticker, case when sentiment_score is null then 'Update: ' || title else title end,
     summary, 9.0, 2 from news)"""
 
 

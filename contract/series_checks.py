@@ -14,6 +14,8 @@ from tidewire.operators import indicators as I
 from tidewire.operators.quantiles import approximate_quantiles
 from tidewire.operators.recurrence import ewma_adjusted
 from tidewire.operators.series import (
+    COUNT,
+    POS,
     diff,
     drop_helpers,
     over_series,
@@ -34,14 +36,22 @@ def full(agg: str, x: str, n: int) -> str:
     return f"case when count({x}) over {frame(n)} = {n} then {agg}({x}) over {frame(n)} end"
 
 
-def key_and(df, *names):
-    return rounded(df.select("ticker", "trade_date", *names))
+# Price-sized irrational results are compared at 4 decimals: a double has no more to offer there.
+PRICE = 4
+
+
+def key_and(df, *names, digits=6):
+    return rounded(df.select("ticker", "trade_date", *names), digits)
 
 
 def indicator(spark, sf_dir, *groups):
     return I.add_indicators(bars(spark, sf_dir), groups)
 
 
+def numbered_returns(spark, sf_dir):
+    return I.add_indicators(bars(spark, sf_dir), ["change"], keep=(POS, COUNT))
+
+
 # Oracle building blocks.
 NUMBERED = """numbered as (
   select *, row_number() over (partition by ticker order by trade_date) as i,
@@ -104,7 +114,7 @@ RETURNS = """returns as (
     f"select ticker, trade_date, {r('lead(daily_return_pct) over w', 'target_forward_return')} "
     f"from returns {W}", BARS, NUMBERED, RETURNS))
 def _(spark, sf_dir):
-    out = I.add_one_day_targets(indicator(spark, sf_dir, "change"))
+    out = I.add_one_day_targets(numbered_returns(spark, sf_dir))
     return key_and(out, "target_forward_return")
 
 
@@ -113,7 +123,7 @@ def _(spark, sf_dir):
        cast(coalesce(lead(daily_return_pct) over w > 0, false) as integer) as target_direction
        from returns {W}""", BARS, NUMBERED, RETURNS))
 def _(spark, sf_dir):
-    out = I.add_one_day_targets(indicator(spark, sf_dir, "change"))
+    out = I.add_one_day_targets(numbered_returns(spark, sf_dir))
     return out.select("ticker", "trade_date", "target_direction")
 
 
@@ -127,7 +137,7 @@ TARGETS = f"""targets as (
     f"select ticker, trade_date, {r('target_forward_return', 'target_forward_return')} from targets",
     BARS, NUMBERED, RETURNS, TARGETS))
 def _(spark, sf_dir):
-    return key_and(Z.add_forward_target(indicator(spark, sf_dir, "change")), Z.TARGET)
+    return key_and(Z.add_forward_target(numbered_returns(spark, sf_dir)), Z.TARGET)
 
 
 @check("w6_forward_5_single", sql(
@@ -135,14 +145,14 @@ def _(spark, sf_dir):
         {r('case when i >= 5 then target_forward_return end', 'target_forward_return')}
         from targets""", BARS, NUMBERED, RETURNS, TARGETS))
 def _(spark, sf_dir):
-    return key_and(Z.add_forward_target(indicator(spark, sf_dir, "change"), single=True), Z.TARGET)
+    return key_and(Z.add_forward_target(numbered_returns(spark, sf_dir), single=True), Z.TARGET)
 
 
 @check("p5_drop_null_target", sql(
     f"""select ticker, trade_date, {r('target_forward_return', 'target_forward_return')} from targets
         where target_forward_return is not null""", BARS, NUMBERED, RETURNS, TARGETS))
 def _(spark, sf_dir):
-    labelled = Z.add_forward_target(indicator(spark, sf_dir, "change"))
+    labelled = Z.add_forward_target(numbered_returns(spark, sf_dir))
     return key_and(Z.drop_missing_target(labelled), Z.TARGET)
 
 
@@ -168,14 +178,14 @@ def _(spark, sf_dir):
 
 
 @check("w9_rolling_std_5_min1", sql(
-    f"select ticker, trade_date, {r(f'stddev_samp(close_px) over {frame(5)}', 'std_5')} from bars", BARS))
+    f"select ticker, trade_date, {r(f'stddev_samp(close_px) over {frame(5)}', 'std_5', PRICE)} from bars", BARS))
 def _(spark, sf_dir):
     out = over_series(
         bars(spark, sf_dir),
         lambda w: {"std_5": rolling(F.stddev_samp, F.col("close_px"), w, 5, 1)},
         before=4,
     )
-    return key_and(out, "std_5")
+    return key_and(out, "std_5", digits=PRICE)
 
 
 _F = "(2.0::double / 3)"
@@ -187,11 +197,11 @@ _WEIGHTED = f"""weighted as (
 
 
 @check("w10_ewma_5", sql(
-    f"select ticker, trade_date, {r('num / den', 'ewma_5')} from weighted join numbered using (ticker, i)",
+    f"select ticker, trade_date, {r('num / den', 'ewma_5', PRICE)} from weighted join numbered using (ticker, i)",
     BARS, NUMBERED, _WEIGHTED, recursive=True))
 def _(spark, sf_dir):
     out = ewma_adjusted(with_positions(bars(spark, sf_dir)), "close_px", 5, "ewma_5")
-    return key_and(out, "ewma_5")
+    return key_and(out, "ewma_5", digits=PRICE)
 
 
 @check("w11_log_volume_change", sql(
@@ -248,10 +258,10 @@ def _(spark, sf_dir):
 
 
 @check("w15_ema_20", sql(
-    f"""select n.ticker, n.trade_date, {r('e.e', 'ema_20')} from numbered n
+    f"""select n.ticker, n.trade_date, {r('e.e', 'ema_20', PRICE)} from numbered n
         left join ema20 e using (ticker, i)""", BARS, NUMBERED, CLOSES, EMA20, recursive=True))
 def _(spark, sf_dir):
-    return key_and(indicator(spark, sf_dir, "ema"), "ema_20")
+    return key_and(indicator(spark, sf_dir, "ema"), "ema_20", digits=PRICE)
 
 
 @check("w16_rsi_14", sql(
@@ -265,13 +275,13 @@ def _(spark, sf_dir):
 
 
 @check("w17_macd", sql(
-    f"""select n.ticker, n.trade_date, {r('m.x', 'macd')}, {r('m.x - s.e', 'macd_hist')},
-        {r('s.e', 'macd_signal')} from numbered n
+    f"""select n.ticker, n.trade_date, {r('m.x', 'macd', PRICE)},
+        {r('m.x - s.e', 'macd_hist', PRICE)}, {r('s.e', 'macd_signal', PRICE)} from numbered n
         left join line m on m.ticker = n.ticker and m.i = n.i - 25
         left join signal9 s on s.ticker = n.ticker and s.i = n.i - 25""",
     BARS, NUMBERED, CLOSES, EMA12, EMA26, LINE, SIGNAL, recursive=True))
 def _(spark, sf_dir):
-    return key_and(indicator(spark, sf_dir, "macd"), "macd", "macd_hist", "macd_signal")
+    return key_and(indicator(spark, sf_dir, "macd"), "macd", "macd_hist", "macd_signal", digits=PRICE)
 
 
 BANDS = f"""bands as (
@@ -280,19 +290,19 @@ BANDS = f"""bands as (
 
 
 @check("w18_bollinger", sql(
-    f"""select ticker, trade_date, {r('m - 2 * s', 'bbl_20_2')}, {r('m', 'bbm_20_2')},
-        {r('m + 2 * s', 'bbu_20_2')}, {r('100 * 4 * s / m', 'bbb_20_2')},
-        {r('(close_px - (m - 2 * s)) / nullif(4 * s, 0)', 'bbp_20_2')} from bands""", BARS, BANDS))
+    f"""select ticker, trade_date, {r('m - 2 * s', 'bbl_20_2', PRICE)}, {r('m', 'bbm_20_2', PRICE)},
+        {r('m + 2 * s', 'bbu_20_2', PRICE)}, {r('100 * 4 * s / m', 'bbb_20_2', PRICE)},
+        {r('(close_px - (m - 2 * s)) / nullif(4 * s, 0)', 'bbp_20_2', PRICE)} from bands""", BARS, BANDS))
 def _(spark, sf_dir):
-    return key_and(indicator(spark, sf_dir, "bbands"), *I.OUTPUTS["bbands"])
+    return key_and(indicator(spark, sf_dir, "bbands"), *I.OUTPUTS["bbands"], digits=PRICE)
 
 
 @check("w19_atr_14", sql(
-    f"""select n.ticker, n.trade_date, {r('a.e', 'atr_14')} from numbered n
+    f"""select n.ticker, n.trade_date, {r('a.e', 'atr_14', PRICE)} from numbered n
         left join atr14 a on a.ticker = n.ticker and a.i = n.i - 1""",
     BARS, NUMBERED, RANGES, ATR14, recursive=True))
 def _(spark, sf_dir):
-    return key_and(indicator(spark, sf_dir, "atr"), "atr_14")
+    return key_and(indicator(spark, sf_dir, "atr"), "atr_14", digits=PRICE)
 
 
 @check("w20_obv", sql(
@@ -317,8 +327,8 @@ def _(spark, sf_dir):
 
 
 MARKET = f"""market as (
-  select n.ticker, n.trade_date, n.i, open_px, high_px, low_px, close_px, volume,
-    change as daily_change_usd, close_px / prev_close - 1 as daily_return_pct, e.e as ema_20,
+  select n.ticker, n.trade_date, n.i, open_px, high_px, low_px, n.close_px, volume,
+    change as daily_change_usd, n.close_px / prev_close - 1 as daily_return_pct, e.e as ema_20,
     {full('avg', 'n.close_px', 50)} as sma_50, {full('avg', 'n.close_px', 200)} as sma_200,
     case when g.e + l.e <> 0 then 100 * g.e / (g.e + l.e) end as rsi_14, m.x as macd,
     m.x - s.e as macd_hist, s.e as macd_signal, b.m as bbm_20_2,
@@ -345,8 +355,12 @@ _E2_COLUMNS = (
 )
 
 
+def _digits(column: str) -> int:
+    return PRICE if column in ("ema_20", "macd", "macd_hist", "macd_signal", "atr_14") else 6
+
+
 @check("e2_market_table", sql(
-    f"""select ticker, trade_date, {', '.join(r(c, c) for c in _E2_COLUMNS)},
+    f"""select ticker, trade_date, {', '.join(r(c, c, _digits(c)) for c in _E2_COLUMNS)},
         {r('nxt', 'target_forward_return')},
         cast(coalesce(nxt > 0, false) as integer) as target_direction
         from (select *, lead(daily_return_pct) over (partition by ticker order by trade_date) as nxt
@@ -355,7 +369,10 @@ _E2_COLUMNS = (
     *MARKET_CTES, recursive=True))
 def _(spark, sf_dir):
     out = I.market_table(bars(spark, sf_dir), "1996-01-01", "1998-12-31")
-    return rounded(out.select("ticker", "trade_date", *_E2_COLUMNS, Z.TARGET, "target_direction"))
+    coarse = out.withColumns(
+        {c: F.round(c, PRICE) for c in _E2_COLUMNS if _digits(c) == PRICE}
+    )
+    return key_and(coarse, *_E2_COLUMNS, Z.TARGET, "target_direction")
 
 
 # --- stationary features ---
@@ -427,9 +444,9 @@ stationary as (
   select * from stationary0 where {' and '.join(f'{c} is not null' for c in Z.STATIONARY)})"""
 
 
-def labelled_features(spark, sf_dir):
-    labelled = Z.drop_missing_target(Z.add_forward_target(I.add_indicators(bars(spark, sf_dir))))
-    return Z.stationary_features(labelled)
+def labelled_features(spark, sf_dir, strict=False):
+    market = I.add_indicators(bars(spark, sf_dir), keep=(POS, COUNT))
+    return Z.labelled_features(market, strict=strict)
 
 
 @check("x4_stationary_features", sql(
@@ -447,8 +464,7 @@ def _(spark, sf_dir):
         " and ".join(f"{c} is not null" for c in (*Z.STATIONARY, *_E2_COLUMNS)),
     ), *MARKET_CTES, STATIONARY, recursive=True))
 def _(spark, sf_dir):
-    labelled = Z.drop_missing_target(Z.add_forward_target(I.add_indicators(bars(spark, sf_dir))))
-    return key_and(Z.stationary_features(labelled, strict=True), *Z.STATIONARY)
+    return key_and(labelled_features(spark, sf_dir, strict=True), *Z.STATIONARY)
 
 
 # --- sentiment features over the joined table ---

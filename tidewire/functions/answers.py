@@ -7,10 +7,9 @@ a one-key object, both at once, because the parser alone ignores trailing text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHARES = ("llm_positive", "llm_negative", "llm_neutral")
 # What a missing field of a float-scale answer stands for.
 FLOAT_DEFAULTS = {
     "llm_positive": 0.0,
@@ -31,20 +30,22 @@ PROBABILITY_FIELDS = (
     "impact_magnitude",
     "uncertainty",
 )
-ANSWER_TYPE = (
-    "struct<llm_positive:double,llm_negative:double,llm_neutral:double,llm_label:string,"
-    "llm_confidence:double,llm_score:double,llm_relevance:double,"
-    "llm_impact_magnitude:double,llm_uncertainty:double,llm_error:string>"
-)
 
 
-def strict_json(text: Column) -> Column:
-    """The text's JSON value as a VARIANT, or NULL unless the whole text is one JSON value."""
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    value = F.try_variant_get(listed, "$[0]", "variant")
-    second = F.try_variant_get(listed, "$[1]", "variant")
-    return F.when(keyed.isNotNull() & second.isNull(), value)
+def with_strict_json(df: DataFrame, text: Column, output: str) -> DataFrame:
+    """Add the text's JSON value as a VARIANT, NULL unless the whole text is one JSON value.
+
+    Done in steps, so that each parse is written once and runs once per row.
+    """
+    parsed = df.withColumns(
+        {
+            "_listed": F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))),
+            "_keyed": F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))),
+        }
+    )
+    only = F.col("_keyed").isNotNull() & _at("_listed", "$[1]", "variant").isNull()
+    value = F.when(only, _at("_listed", "$[0]", "variant"))
+    return parsed.withColumn(output, value).drop("_listed", "_keyed")
 
 
 def outer_braces(text: Column) -> Column:
@@ -52,50 +53,86 @@ def outer_braces(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
-def rescued_json(text: Column) -> Column:
+def with_rescued_json(df: DataFrame, text: Column, output: str) -> DataFrame:
     """The whole text, else what lies between the outer braces; NULL when neither parses."""
-    return F.coalesce(strict_json(text), strict_json(outer_braces(text)))
+    direct = with_strict_json(df, text, "_direct")
+    rest = F.when(F.col("_direct").isNull(), outer_braces(text))
+    both = with_strict_json(direct, rest, "_inner")
+    return both.withColumn(output, F.coalesce("_direct", "_inner")).drop("_direct", "_inner")
+
+
+def _at(value: str, path: str, kind: str) -> Column:
+    return F.try_variant_get(F.col(value), path, kind)
 
 
-def is_json_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+def json_kind(value: str) -> Column:
+    """OBJECT, ARRAY or another type name; NULL without a value."""
+    return F.regexp_extract(F.schema_of_variant(F.col(value)), "^[A-Z]+", 0)
 
 
-def _field(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", "variant")
+def _is_object(value: str) -> Column:
+    return F.coalesce(json_kind(value) == "OBJECT", F.lit(False))
+
+
+def _with_numbers(df: DataFrame, value: str, names) -> DataFrame:
+    """Per field ``_n_<name>``: its number; ``_bad``: first field that is there but is none."""
+    numbers = df.withColumns({f"_n_{n}": _at(value, f"$.{n}", "double") for n in names})
+    bad = [
+        F.when(
+            F.col(f"_n_{n}").isNull() & _at(value, f"$.{n}", "variant").isNotNull(), F.lit(n)
+        )
+        for n in names
+    ]
+    return numbers.withColumn("_bad", F.coalesce(*bad))
 
 
-def _number(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", "double")
+def _finish(df: DataFrame, before: list[str], answer: Column) -> DataFrame:
+    staged = df.withColumn("_answer", answer)
+    return staged.select(*before, "_answer.*")
 
 
 def _clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def _label(value: Column) -> Column:
-    text = F.lower(F.trim(F.try_variant_get(value, "$.llm_label", "string")))
+def _label(value: str) -> Column:
+    text = F.lower(F.trim(_at(value, "$.llm_label", "string")))
     return F.when(text.isin(*LABELS), text).otherwise(F.lit("neutral"))
 
 
-def _fixed_answer(confidence: float, uncertainty: float, error: Column | None) -> Column:
-    return F.struct(
-        F.lit(0.0).alias("llm_positive"),
-        F.lit(0.0).alias("llm_negative"),
-        F.lit(1.0).alias("llm_neutral"),
-        F.lit("neutral").alias("llm_label"),
-        F.lit(confidence).alias("llm_confidence"),
-        F.lit(0.0).alias("llm_score"),
-        F.lit(0.0).alias("llm_relevance"),
-        F.lit(0.0).alias("llm_impact_magnitude"),
-        F.lit(uncertainty).alias("llm_uncertainty"),
-        (F.lit(None).cast("string") if error is None else error).alias("llm_error"),
-    ).cast(ANSWER_TYPE)
+ORDER = (
+    "llm_positive",
+    "llm_negative",
+    "llm_neutral",
+    "llm_label",
+    "llm_confidence",
+    "llm_score",
+    "llm_relevance",
+    "llm_impact_magnitude",
+    "llm_uncertainty",
+    "llm_error",
+)
+
+
+def _answer(fields: dict[str, Column], label: Column, error: Column) -> Column:
+    every = {**fields, "llm_label": label, "llm_error": error}
+    kinds = {"llm_label": "string", "llm_error": "string"}
+    return F.struct(*[every[n].cast(kinds.get(n, "double")).alias(n) for n in ORDER])
+
+
+def _fixed_answer(confidence: float, uncertainty: float, error: Column) -> Column:
+    fields = {n: F.lit(0.0) for n in FLOAT_DEFAULTS}
+    fields |= {
+        "llm_neutral": F.lit(1.0),
+        "llm_confidence": F.lit(confidence),
+        "llm_uncertainty": F.lit(uncertainty),
+    }
+    return _answer(fields, F.lit("neutral"), error)
 
 
 def blank_answer() -> Column:
     """The answer for an empty article (sure that there is nothing)."""
-    return _fixed_answer(1.0, 0.0, None)
+    return _fixed_answer(1.0, 0.0, F.lit(None))
 
 
 def fallback_answer(error: Column) -> Column:
@@ -107,122 +144,94 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | (F.trim(text) == "")
 
 
-def float_answer(news_text: Column, answer: Column) -> Column:
+def add_float_answer(df: DataFrame, news_text: str, answer: str) -> DataFrame:
     """X19 + X22: float-scale answer, clamped; ``llm_error`` tells why a row fell back.
 
     A missing field takes its default. A field that is there but is no number (also JSON null)
     fails the row.
     """
-    value = rescued_json(answer)
-    fields = {}
-    bad = []
-    for name, default in FLOAT_DEFAULTS.items():
-        number = _number(value, name)
-        low = -1.0 if name == "llm_score" else 0.0
-        there = _field(value, name).isNotNull()
-        bad.append(F.when(there & number.isNull(), F.lit(name)))
-        fields[name] = _clamp(F.coalesce(number, F.lit(default)), low, 1.0).alias(name)
-    good = F.struct(
-        *[fields[n] for n in SHARES],
-        _label(value).alias("llm_label"),
-        *[fields[n] for n in FLOAT_DEFAULTS if n not in SHARES],
-        F.lit(None).cast("string").alias("llm_error"),
-    ).cast(ANSWER_TYPE)
-    first_bad = F.coalesce(*bad)
-    return (
-        F.when(is_blank(news_text), blank_answer())
-        .when(~is_json_object(value), fallback_answer(F.lit("no JSON object")))
-        .when(
-            first_bad.isNotNull(), fallback_answer(F.concat(F.lit("not a number: "), first_bad))
-        )
+    read = with_rescued_json(df, F.col(answer), "_v")
+    read = _with_numbers(read, "_v", FLOAT_DEFAULTS)
+    fields = {
+        n: _clamp(F.coalesce(F.col(f"_n_{n}"), F.lit(d)), -1.0 if n == "llm_score" else 0.0, 1.0)
+        for n, d in FLOAT_DEFAULTS.items()
+    }
+    good = _answer(fields, _label("_v"), F.lit(None))
+    error = F.when(~_is_object("_v"), F.lit("no JSON object")).otherwise(
+        F.concat(F.lit("not a number: "), F.col("_bad"))
+    )
+    read = read.withColumn("_error", error)
+    out = (
+        F.when(is_blank(F.col(news_text)), blank_answer())
+        .when(F.col("_error").isNotNull(), fallback_answer(F.col("_error")))
         .otherwise(good)
     )
+    return _finish(read, df.columns, out)
 
 
-def integer_answer(answer: Column) -> Column:
+def add_integer_answer(df: DataFrame, answer: str) -> DataFrame:
     """Score -5..5 and confidence 1..10 brought to unit scale, shares derived from the score.
 
     An answer without readable JSON counts as score 0 and confidence 0. A field that is there
     but is no number makes the row a reject: all columns NULL but ``llm_error``.
     """
-    parsed = strict_json(outer_braces(answer))
-    value = F.when(is_json_object(parsed), parsed)
-    raw_score = _number(value, "llm_score")
-    raw_conf = _number(value, "llm_confidence")
-    bad = F.coalesce(
-        F.when(_field(value, "llm_score").isNotNull() & raw_score.isNull(), F.lit("llm_score")),
-        F.when(
-            _field(value, "llm_confidence").isNotNull() & raw_conf.isNull(),
-            F.lit("llm_confidence"),
-        ),
+    read = with_strict_json(df, outer_braces(F.col(answer)), "_any")
+    read = read.withColumn("_v", F.when(_is_object("_any"), F.col("_any")))
+    read = _with_numbers(read, "_v", ("llm_score", "llm_confidence"))
+
+    def scaled(name: str, full: float, low: float) -> Column:
+        raw = F.coalesce(F.col(f"_n_{name}"), F.lit(0.0)) / full
+        return F.when(F.col("_bad").isNull(), F.bround(_clamp(raw, low, 1.0), 2))
+
+    read = read.withColumns(
+        {"_score": scaled("llm_score", 5.0, -1.0), "_conf": scaled("llm_confidence", 10.0, 0.0)}
     )
-    score = F.bround(_clamp(F.coalesce(raw_score, F.lit(0.0)) / 5.0, -1.0, 1.0), 2)
-    conf = F.bround(_clamp(F.coalesce(raw_conf, F.lit(0.0)) / 10.0, 0.0, 1.0), 2)
-    size = F.abs(score)
-    good = F.struct(
-        F.when(score > 0.2, size).otherwise(F.lit(0.0)).alias("llm_positive"),
-        F.when(score < -0.2, size).otherwise(F.lit(0.0)).alias("llm_negative"),
-        F.bround(1.0 - size, 2).alias("llm_neutral"),
-        _label(value).alias("llm_label"),
-        conf.alias("llm_confidence"),
-        score.alias("llm_score"),
-        F.lit(0.9).alias("llm_relevance"),
-        size.alias("llm_impact_magnitude"),
-        F.bround(1.0 - conf, 2).alias("llm_uncertainty"),
-        F.lit(None).cast("string").alias("llm_error"),
-    ).cast(ANSWER_TYPE)
-    none = F.lit(None).cast("double")
-    reject = F.struct(
-        *[none.alias(n) for n in SHARES],
-        F.lit(None).cast("string").alias("llm_label"),
-        *[none.alias(n) for n in FLOAT_DEFAULTS if n not in SHARES],
-        F.concat(F.lit("not a number: "), bad).alias("llm_error"),
-    ).cast(ANSWER_TYPE)
-    return F.when(bad.isNotNull(), reject).otherwise(good)
-
-
-def strict_answer(answer: Column, tolerance: float = 0.02) -> Column:
+    score, conf, size = F.col("_score"), F.col("_conf"), F.abs("_score")
+    ok = F.col("_bad").isNull()
+    fields = {
+        "llm_positive": F.when(score > 0.2, size).when(ok, 0.0),
+        "llm_negative": F.when(score < -0.2, size).when(ok, 0.0),
+        "llm_neutral": F.bround(1.0 - size, 2),
+        "llm_confidence": conf,
+        "llm_score": score,
+        "llm_relevance": F.when(ok, 0.9),
+        "llm_impact_magnitude": size,
+        "llm_uncertainty": F.bround(1.0 - conf, 2),
+    }
+    error = F.concat(F.lit("not a number: "), F.col("_bad"))
+    return _finish(read, df.columns, _answer(fields, F.when(ok, _label("_v")), error))
+
+
+def add_strict_answer(df: DataFrame, answer: str, tolerance: float = 0.02) -> DataFrame:
     """Six probabilities, all needed, in [0,1]; the three shares sum to 1 within tolerance.
 
     Label is the largest share (ties: positive, negative, neutral). A row that breaks a rule has
     NULL columns and the rule's name in ``llm_error``.
     """
-    parsed = strict_json(answer)
-    value = F.when(is_json_object(parsed), parsed)
-    n = {name: _number(value, name) for name in PROBABILITY_FIELDS}
-    out_of_range = F.coalesce(
+    read = with_strict_json(df, F.col(answer), "_any")
+    read = read.withColumn("_v", F.when(_is_object("_any"), F.col("_any")))
+    read = read.withColumns({f"_n_{n}": _at("_v", f"$.{n}", "double") for n in PROBABILITY_FIELDS})
+    n = {name: F.col(f"_n_{name}") for name in PROBABILITY_FIELDS}
+    outside = F.coalesce(
         *[
-            F.when(
-                n[name].isNull() | ~n[name].between(0.0, 1.0), F.concat(F.lit("range: "), F.lit(name))
-            )
-            for name in PROBABILITY_FIELDS
+            F.when(n[x].isNull() | ~n[x].between(0.0, 1.0), F.lit(f"range: {x}"))
+            for x in PROBABILITY_FIELDS
         ]
     )
     total = n["positive"] + n["negative"] + n["neutral"]
     error = (
-        F.when(value.isNull(), F.lit("no JSON object"))
-        .when(out_of_range.isNotNull(), out_of_range)
+        F.when(F.col("_v").isNull(), F.lit("no JSON object"))
+        .when(outside.isNotNull(), outside)
         .when(F.abs(total - 1.0) > tolerance, F.lit("shares do not sum to 1"))
     )
+    read = read.withColumn("_error", error)
     top = F.greatest(n["positive"], n["negative"], n["neutral"])
-    label = (
-        F.when(n["positive"] == top, F.lit("positive"))
-        .when(n["negative"] == top, F.lit("negative"))
-        .otherwise(F.lit("neutral"))
-    )
-    ok = error.isNull()
-    return F.struct(
-        F.when(ok, n["positive"]).alias("llm_positive"),
-        F.when(ok, n["negative"]).alias("llm_negative"),
-        F.when(ok, n["neutral"]).alias("llm_neutral"),
-        F.when(ok, label).alias("llm_label"),
-        F.when(ok, top).alias("llm_confidence"),
-        F.when(ok, n["positive"] - n["negative"]).alias("llm_score"),
-        F.when(ok, n["relevance"]).alias("llm_relevance"),
-        F.when(ok, n["impact_magnitude"]).alias("llm_impact_magnitude"),
-        F.when(ok, n["uncertainty"]).alias("llm_uncertainty"),
-        error.alias("llm_error"),
-    ).cast(ANSWER_TYPE)
+    label = F.coalesce(*[F.when(n[x] == top, F.lit(x)) for x in LABELS])
+    fields = {f"llm_{x}": n[x] for x in PROBABILITY_FIELDS}
+    fields |= {"llm_confidence": top, "llm_score": n["positive"] - n["negative"]}
+    ok = F.col("_error").isNull()
+    fields = {name: F.when(ok, value) for name, value in fields.items()}
+    return _finish(read, df.columns, _answer(fields, F.when(ok, label), F.col("_error")))
 
 
 def classifier_columns(logits: Column, labels: tuple[str, ...] = LABELS) -> list[Column]:

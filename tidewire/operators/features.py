@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.expressions import (
@@ -91,25 +91,18 @@ def fill_zero(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     return df.fillna(0, subset=names)
 
 
-def stationary_features(df: DataFrame, strict: bool = False) -> DataFrame:
-    """Scale-free features, then rows where one is missing are dropped.
+def _volume_frames(w) -> dict[str, Column]:
+    mean_volume = rolling(F.avg, F.col("volume"), w, 20)
+    return {
+        "log_volume_change": diff(F.log1p("volume"), w),
+        "relative_volume_20": ratio(F.col("volume"), mean_volume),
+        "obv_change_normalized": ratio(diff(F.col("obv"), w), mean_volume),
+    }
 
-    ``strict`` drops rows with a NULL in any column, so days without news vanish as well.
-    """
-    require_columns(
-        df, ["open_px", "close_px", "ema_20", "sma_50", "sma_200", "atr_14", "obv", "macd"]
-    )
-    close = F.col("close_px")
 
-    def frames(w):
-        mean_volume = rolling(F.avg, F.col("volume"), w, 20)
-        return {
-            "log_volume_change": diff(F.log1p("volume"), w),
-            "relative_volume_20": ratio(F.col("volume"), mean_volume),
-            "obv_change_normalized": ratio(diff(F.col("obv"), w), mean_volume),
-        }
-
-    out = over_series(df, frames, before=19).withColumns(
+def _row_features(df: DataFrame) -> DataFrame:
+    close = F.col("close_px")
+    return df.withColumns(
         {
             "open_close_return": open_close_return(F.col("open_px"), close),
             "high_low_range": high_low_range(F.col("high_px"), F.col("low_px"), close),
@@ -121,9 +114,39 @@ def stationary_features(df: DataFrame, strict: bool = False) -> DataFrame:
             "macd_hist_pct": ratio(F.col("macd_hist"), close),
         }
     )
+
+
+_INDICATORS = ("open_px", "close_px", "ema_20", "sma_50", "sma_200", "atr_14", "obv", "macd")
+
+
+def stationary_features(df: DataFrame, strict: bool = False) -> DataFrame:
+    """Scale-free features, then rows where one is missing are dropped.
+
+    ``strict`` drops rows with a NULL in any column, so days without news vanish as well.
+    """
+    require_columns(df, _INDICATORS)
+    out = _row_features(over_series(df, _volume_frames, before=19))
     return drop_incomplete(out, None if strict else STATIONARY)
 
 
+def labelled_features(df: DataFrame, days: int = 5, strict: bool = False) -> DataFrame:
+    """W5, P5, X4 and P6 in one pass over the series.
+
+    Looking back before or after P5's drop is the same here: with valid prices only the last
+    ``days`` rows of a series lack a target, and nothing looks back at those.
+    """
+    require_columns(df, _INDICATORS)
+
+    def frames(w):
+        return {
+            TARGET: forward_sum(F.col("daily_return_pct"), w, days),
+            **_volume_frames(w),
+        }
+
+    out = _row_features(over_series(df, frames, before=19, after=days))
+    return drop_incomplete(drop_missing_target(out), None if strict else STATIONARY)
+
+
 def sentiment_features(df: DataFrame, kind: str = "llm", fill: bool = True) -> DataFrame:
     """Memory, impact, surprise; for ``finbert`` also news spike and volatility.
 

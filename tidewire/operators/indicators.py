@@ -19,9 +19,9 @@ from tidewire.operators.series import (
     POS,
     block_window,
     core_rows,
-    lagged,
+    long_mean,
     over_series,
-    pct_change,
+    prefix_sum,
     rolling,
     with_blocks,
     with_positions,
@@ -95,50 +95,48 @@ def add_indicators(
     laid = with_blocks(with_positions(bars), before=max(REACH[g] for g in groups), rows=rows)
 
     # Frames over the raw columns.
-    step = {"_change": close - lagged(close, w)}
-    if "change" in groups:
-        step["daily_return_pct"] = pct_change(close, w)
+    step = {"_prev": F.lag(close, 1).over(w)}
     if "sma" in groups:
-        step["sma_50"] = rolling(F.avg, close, w, 50)
-        step["sma_200"] = rolling(F.avg, close, w, 200)
+        step["_prefix"] = prefix_sum(close, w)
     if "bbands" in groups:
-        step["bbm_20_2"] = rolling(F.avg, close, w, 20)
-        step["_sigma"] = rolling(F.stddev_pop, close, w, 20)
-    if "atr" in groups:
-        prev = lagged(close, w)
-        step["_range"] = F.when(
-            prev.isNotNull(), F.greatest(high - low, F.abs(high - prev), F.abs(low - prev))
-        )
+        frame = w.rowsBetween(-19, 0)
+        step["_mean20"] = F.avg(close).over(frame)
+        step["_sigma20"] = F.stddev_pop(close).over(frame)
     if "stoch" in groups:
-        lowest = rolling(F.min, low, w, 14)
-        highest = rolling(F.max, high, w, 14)
-        step["_raw_k"] = F.try_divide((close - lowest) * 100, highest - lowest)
+        frame = w.rowsBetween(-13, 0)
+        step["_lowest"] = F.min(low).over(frame)
+        step["_highest"] = F.max(high).over(frame)
     laid = laid.withColumns(step)
 
-    # Frames over those.
+    # Inputs of the recurrences, and frames over the first ones.
+    prev = F.col("_prev")
+    change = close - prev
     step = {}
+    if "sma" in groups:
+        step["sma_50"] = long_mean(F.col("_prefix"), w, 50)
+        step["sma_200"] = long_mean(F.col("_prefix"), w, 200)
     if "stoch" in groups:
-        step["stoch_k"] = rolling(F.avg, F.col("_raw_k"), w, 3)
+        raw = F.try_divide((close - F.col("_lowest")) * 100, F.col("_highest") - F.col("_lowest"))
+        step["_raw_k"] = from_place(raw, 13)
     if "ema" in groups:
-        step["_in_ema20"] = seeded(close, 20, _ema(20), 0, w)
+        step["_in_ema20"] = seeded(close, 20, _ema(20), 0)
     if "rsi" in groups:
-        gain = F.greatest(F.col("_change"), F.lit(0.0))
-        loss = F.greatest(-F.col("_change"), F.lit(0.0))
-        step["_in_gain"] = seeded(gain, 14, 1 / 14, 1, w)
-        step["_in_loss"] = seeded(loss, 14, 1 / 14, 1, w)
+        step["_in_gain"] = seeded(F.greatest(change, F.lit(0.0)), 14, 1 / 14, 1)
+        step["_in_loss"] = seeded(F.greatest(-change, F.lit(0.0)), 14, 1 / 14, 1)
     if "atr" in groups:
-        step["_in_atr"] = seeded(F.col("_range"), 14, 1 / 14, 1, w)
+        true_range = F.greatest(high - low, F.abs(high - prev), F.abs(low - prev))
+        step["_in_atr"] = seeded(true_range, 14, 1 / 14, 1)
     if "macd" in groups:
-        step["_in_fast"] = seeded(close, FAST, _ema(FAST), 0, w)
-        step["_in_slow"] = seeded(close, SLOW, _ema(SLOW), 0, w)
+        step["_in_fast"] = seeded(close, FAST, _ema(FAST), 0)
+        step["_in_slow"] = seeded(close, SLOW, _ema(SLOW), 0)
     if "obv" in groups:
-        first = F.col("_change").isNull()
-        step["_in_obv"] = F.when(first, F.col("volume")).otherwise(
-            F.signum(F.col("_change")).cast("long") * F.col("volume")
+        step["_in_obv"] = F.when(prev.isNull(), F.col("volume")).otherwise(
+            F.signum(change).cast("long") * F.col("volume")
         )
     if step:
         laid = laid.withColumns(step)
     if "stoch" in groups:
+        laid = laid.withColumn("stoch_k", rolling(F.avg, F.col("_raw_k"), w, 3))
         laid = laid.withColumn("stoch_d", rolling(F.avg, F.col("stoch_k"), w, 3))
 
     # From here on nothing looks back beyond the block: the copied rows can go.
@@ -152,19 +150,15 @@ def add_indicators(
             }
         )
         if "macd" in groups:
-            first_macd = SLOW - 1
-            done = done.withColumn("_line", F.col("_local__fast") - F.col("_local__slow"))
-            done = done.withColumn(
-                "_in_signal", seeded(F.col("_line"), SIGNAL, _ema(SIGNAL), first_macd, w)
-            )
-            done = done.withColumn(
-                "_local__signal", running(F.col("_in_signal"), 1 - _ema(SIGNAL), w, rows)
-            )
+            line = F.col("_local__fast") - F.col("_local__slow")
+            fed = seeded(line, SIGNAL, _ema(SIGNAL), SLOW - 1)
+            done = done.withColumn("_local__signal", running(fed, 1 - _ema(SIGNAL), w, rows))
         done = complete(done, scans, rows=rows)
 
     out = {}
     if "change" in groups:
-        out["daily_change_usd"] = F.col("_change")
+        out["daily_change_usd"] = change
+        out["daily_return_pct"] = F.try_divide(close, prev) - 1
     if "ema" in groups:
         out["ema_20"] = from_place(F.col("_ema20"), 19)
     if "rsi" in groups:
@@ -177,7 +171,9 @@ def add_indicators(
             F.col("_fast") - F.col("_slow") - F.col("_signal"), SLOW + SIGNAL - 2
         )
     if "bbands" in groups:
-        mid, half = F.col("bbm_20_2"), F.col("_sigma") * 2
+        mid = from_place(F.col("_mean20"), 19)
+        half = from_place(F.col("_sigma20"), 19) * 2
+        out["bbm_20_2"] = mid
         out["bbl_20_2"] = mid - half
         out["bbu_20_2"] = mid + half
         out["bbb_20_2"] = F.try_divide(half * 200, mid)

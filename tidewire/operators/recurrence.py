@@ -129,15 +129,17 @@ def complete(
     return carried.withColumns(done).drop(*helpers)
 
 
-def seeded(x: Column, n: int, alpha: float, start: int, w: WindowSpec) -> Column:
+def seeded(x: Column, n: int, alpha: float, start: int) -> Column:
     """Input of a moving average whose first value is the plain mean of ``n`` values.
 
-    The series ``x`` begins at place ``start``; the seed sits at ``start + n - 1``.
+    The series begins at place ``start``, the first value sits at ``start + n - 1``. Each of the
+    first ``n`` values enters with the weight that will have decayed to ``1/n`` by then, so no
+    extra frame is needed for the mean.
     """
     seed_at = start + n - 1
     pos = F.col(POS)
-    mean = F.avg(x).over(w.rowsBetween(-(n - 1), 0))
-    return F.when(pos > seed_at, x * alpha).when(pos == seed_at, mean).otherwise(F.lit(0.0))
+    early = x * F.pow(F.lit(1 - alpha), (pos - seed_at).cast("double")) / n
+    return F.when(pos > seed_at, x * alpha).when(pos >= start, early).otherwise(F.lit(0.0))
 
 
 def from_place(x: Column, first: int) -> Column:

@@ -144,6 +144,21 @@ def rolling(
     return F.when(F.count(x).over(frame) >= (n if min_periods is None else min_periods), agg(x).over(frame))
 
 
+def prefix_sum(x: Column, w: WindowSpec) -> Column:
+    """Running sum inside a block and its copied rows."""
+    return F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def long_mean(prefix: Column, w: WindowSpec, n: int) -> Column:
+    """Mean of the last ``n`` rows of a column without NULLs, NULL before row ``n``.
+
+    The difference of two prefix sums (``prefix`` is ``prefix_sum`` of the column, from an
+    earlier step), so the cost per row does not grow with ``n``.
+    """
+    total = prefix - F.coalesce(F.lag(prefix, n).over(w), F.lit(0.0))
+    return F.when(F.col(POS) >= n - 1, total / n)
+
+
 def forward_sum(x: Column, w: WindowSpec, n: int = 5) -> Column:
     """Sum of the next ``n`` rows, NULL unless all are there."""
     return _full(F.sum, x, w.rowsBetween(1, n), n)

@@ -24,6 +24,8 @@ def local_session(cores: str | int = "*", app: str = "tidewire", **conf: str) ->
     settings = {
         **DEFAULTS,
         "spark.sql.shuffle.partitions": "8",
+        # Small test data: keep all cores busy instead of merging it into one partition.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.driver.memory": "8g",
         **conf,
     }
