@@ -52,8 +52,8 @@ rescued as (
        json_extract_string(j, '$.llm_score') as score_text,
        json_extract_string(j, '$.llm_label') as label_text from rescued""", ANSWERS, RESCUED))
 def _(spark, sf_dir):
-    read = A.with_rescued_json(answers(spark, sf_dir), F.col("answer"), "v")
-    kind = A.json_kind("v")
+    read = answers(spark, sf_dir).withColumn("v", A.rescued_json(F.col("answer")))
+    kind = A.json_kind(F.col("v"))
     return read.select(
         "news_id",
         F.when(kind.isin("OBJECT", "ARRAY"), kind).alias("kind"),
@@ -97,13 +97,19 @@ def _float_column(name: str) -> str:
     )
 
 
+def _float_answers(spark, sf_dir):
+    return A.add_answer(
+        answers(spark, sf_dir), A.float_answer(F.col("news_text"), F.col("answer"))
+    )
+
+
 @check("x19_float_answer", sql(
     f"""select news_id, {', '.join(_float_column(n) for n in _ORDER)},
         case when state = 'good' then label else 'neutral' end as llm_label,
         case state when 'no JSON object' then state when 'bad' then 'not a number: llm_score' end
           as llm_error from states""", ANSWERS, RESCUED, _STATE))
 def _(spark, sf_dir):
-    out = A.add_float_answer(answers(spark, sf_dir), "news_text", "answer")
+    out = _float_answers(spark, sf_dir)
     return rounded(out.select("news_id", *A.ORDER))
 
 
@@ -113,7 +119,7 @@ def _(spark, sf_dir):
        sum(case state when 'blank' then 0.0 when 'good' then null else 1.0 end) as sum_uncertainty
        from states where state <> 'good' group by all""", ANSWERS, RESCUED, _STATE))
 def _(spark, sf_dir):
-    out = A.add_float_answer(answers(spark, sf_dir), "news_text", "answer")
+    out = _float_answers(spark, sf_dir)
     blank = A.is_blank(F.col("news_text"))
     return (
         out.filter(blank | F.col("llm_error").isNotNull())
@@ -152,7 +158,7 @@ def _ok(expr: str, name: str) -> str:
         case when bad then 'not a number: llm_score' end as llm_error from scaled""",
     ANSWERS, RESCUED, _INTEGER))
 def _(spark, sf_dir):
-    out = A.add_integer_answer(answers(spark, sf_dir), "answer")
+    out = A.add_answer(answers(spark, sf_dir), A.integer_answer(F.col("answer")))
     return rounded(out.select("news_id", *A.ORDER))
 
 
@@ -182,7 +188,7 @@ def _valid(expr: str, name: str) -> str:
           when negative >= neutral then 'negative' else 'neutral' end end as llm_label,
         llm_error from strict""", ANSWERS, RESCUED, _STRICT))
 def _(spark, sf_dir):
-    out = A.add_strict_answer(answers(spark, sf_dir), "share_answer")
+    out = A.add_answer(answers(spark, sf_dir), A.strict_answer(F.col("share_answer")))
     return rounded(out.select("news_id", *A.ORDER))
 
 

@@ -7,6 +7,8 @@ a one-key object, both at once, because the parser alone ignores trailing text.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +34,33 @@ PROBABILITY_FIELDS = (
 )
 
 
-def with_strict_json(df: DataFrame, text: Column, output: str) -> DataFrame:
-    """Add the text's JSON value as a VARIANT, NULL unless the whole text is one JSON value.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once, however often it is used there.
 
-    Done in steps, so that each parse is written once and runs once per row.
+    Plain nesting would repeat the parse for each field, and again in every filter the optimizer
+    pushes down.
     """
-    parsed = df.withColumns(
-        {
-            "_listed": F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))),
-            "_keyed": F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))),
-        }
-    )
-    only = F.col("_keyed").isNotNull() & _at("_listed", "$[1]", "variant").isNull()
-    value = F.when(only, _at("_listed", "$[0]", "variant"))
-    return parsed.withColumn(output, value).drop("_listed", "_keyed")
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _at(value: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(value, path, kind)
+
+
+def strict_json(text: Column) -> Column:
+    """The text's JSON value as a VARIANT, NULL unless the whole text is one JSON value."""
+
+    def parse(t: Column) -> Column:
+        return F.struct(
+            F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))).alias("listed"),
+            F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}"))).alias("keyed"),
+        )
+
+    def only_value(p: Column) -> Column:
+        alone = p["keyed"].isNotNull() & _at(p["listed"], "$[1]", "variant").isNull()
+        return F.when(alone, _at(p["listed"], "$[0]", "variant"))
+
+    return _let(text, lambda t: _let(parse(t), only_value))
 
 
 def outer_braces(text: Column) -> Column:
@@ -53,49 +68,42 @@ def outer_braces(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
-def with_rescued_json(df: DataFrame, text: Column, output: str) -> DataFrame:
+def rescued_json(text: Column) -> Column:
     """The whole text, else what lies between the outer braces; NULL when neither parses."""
-    direct = with_strict_json(df, text, "_direct")
-    rest = F.when(F.col("_direct").isNull(), outer_braces(text))
-    both = with_strict_json(direct, rest, "_inner")
-    return both.withColumn(output, F.coalesce("_direct", "_inner")).drop("_direct", "_inner")
-
+    return _let(text, lambda t: F.coalesce(strict_json(t), strict_json(outer_braces(t))))
 
-def _at(value: str, path: str, kind: str) -> Column:
-    return F.try_variant_get(F.col(value), path, kind)
 
-
-def json_kind(value: str) -> Column:
+def json_kind(value: Column) -> Column:
     """OBJECT, ARRAY or another type name; NULL without a value."""
-    return F.regexp_extract(F.schema_of_variant(F.col(value)), "^[A-Z]+", 0)
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def _is_object(value: str) -> Column:
+def _is_object(value: Column) -> Column:
     return F.coalesce(json_kind(value) == "OBJECT", F.lit(False))
 
 
-def _with_numbers(df: DataFrame, value: str, names) -> DataFrame:
-    """Per field ``_n_<name>``: its number; ``_bad``: first field that is there but is none."""
-    numbers = df.withColumns({f"_n_{n}": _at(value, f"$.{n}", "double") for n in names})
+def _numbers(v: Column, names: Sequence[str]) -> Column:
+    """Struct: per field its number, and ``bad``: the first field that is there but is none."""
+    fields = [_at(v, f"$.{n}", "double").alias(n) for n in names]
     bad = [
         F.when(
-            F.col(f"_n_{n}").isNull() & _at(value, f"$.{n}", "variant").isNotNull(), F.lit(n)
+            _at(v, f"$.{n}", "double").isNull() & _at(v, f"$.{n}", "variant").isNotNull(), F.lit(n)
         )
         for n in names
     ]
-    return numbers.withColumn("_bad", F.coalesce(*bad))
-
-
-def _finish(df: DataFrame, before: list[str], answer: Column) -> DataFrame:
-    staged = df.withColumn("_answer", answer)
-    return staged.select(*before, "_answer.*")
+    return F.struct(
+        *fields,
+        F.coalesce(*bad).alias("bad"),
+        _label(v).alias("label"),
+        _is_object(v).alias("is_object"),
+    )
 
 
 def _clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def _label(value: str) -> Column:
+def _label(value: Column) -> Column:
     text = F.lower(F.trim(_at(value, "$.llm_label", "string")))
     return F.when(text.isin(*LABELS), text).otherwise(F.lit("neutral"))
 
@@ -144,94 +152,110 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | (F.trim(text) == "")
 
 
-def add_float_answer(df: DataFrame, news_text: str, answer: str) -> DataFrame:
+def float_answer(news_text: Column, answer: Column) -> Column:
     """X19 + X22: float-scale answer, clamped; ``llm_error`` tells why a row fell back.
 
     A missing field takes its default. A field that is there but is no number (also JSON null)
     fails the row.
     """
-    read = with_rescued_json(df, F.col(answer), "_v")
-    read = _with_numbers(read, "_v", FLOAT_DEFAULTS)
-    fields = {
-        n: _clamp(F.coalesce(F.col(f"_n_{n}"), F.lit(d)), -1.0 if n == "llm_score" else 0.0, 1.0)
-        for n, d in FLOAT_DEFAULTS.items()
-    }
-    good = _answer(fields, _label("_v"), F.lit(None))
-    error = F.when(~_is_object("_v"), F.lit("no JSON object")).otherwise(
-        F.concat(F.lit("not a number: "), F.col("_bad"))
-    )
-    read = read.withColumn("_error", error)
-    out = (
-        F.when(is_blank(F.col(news_text)), blank_answer())
-        .when(F.col("_error").isNotNull(), fallback_answer(F.col("_error")))
-        .otherwise(good)
+
+    def good(n: Column) -> Column:
+        fields = {
+            x: _clamp(F.coalesce(n[x], F.lit(d)), -1.0 if x == "llm_score" else 0.0, 1.0)
+            for x, d in FLOAT_DEFAULTS.items()
+        }
+        error = F.when(~n["is_object"], F.lit("no JSON object")).otherwise(
+            F.concat(F.lit("not a number: "), n["bad"])
+        )
+        return F.when(error.isNotNull(), fallback_answer(error)).otherwise(
+            _answer(fields, n["label"], F.lit(None))
+        )
+
+    read = _let(
+        rescued_json(answer), lambda v: _let(_numbers(v, list(FLOAT_DEFAULTS)), good)
     )
-    return _finish(read, df.columns, out)
+    return F.when(is_blank(news_text), blank_answer()).otherwise(read)
 
 
-def add_integer_answer(df: DataFrame, answer: str) -> DataFrame:
+def integer_answer(answer: Column) -> Column:
     """Score -5..5 and confidence 1..10 brought to unit scale, shares derived from the score.
 
     An answer without readable JSON counts as score 0 and confidence 0. A field that is there
     but is no number makes the row a reject: all columns NULL but ``llm_error``.
     """
-    read = with_strict_json(df, outer_braces(F.col(answer)), "_any")
-    read = read.withColumn("_v", F.when(_is_object("_any"), F.col("_any")))
-    read = _with_numbers(read, "_v", ("llm_score", "llm_confidence"))
 
-    def scaled(name: str, full: float, low: float) -> Column:
-        raw = F.coalesce(F.col(f"_n_{name}"), F.lit(0.0)) / full
-        return F.when(F.col("_bad").isNull(), F.bround(_clamp(raw, low, 1.0), 2))
+    def scale(n: Column) -> Column:
+        def unit(name: str, full: float, low: float) -> Column:
+            raw = F.coalesce(n[name], F.lit(0.0)) / full
+            return F.when(n["bad"].isNull(), F.bround(_clamp(raw, low, 1.0), 2))
 
-    read = read.withColumns(
-        {"_score": scaled("llm_score", 5.0, -1.0), "_conf": scaled("llm_confidence", 10.0, 0.0)}
+        return F.struct(
+            unit("llm_score", 5.0, -1.0).alias("score"),
+            unit("llm_confidence", 10.0, 0.0).alias("conf"),
+            n["bad"].alias("bad"),
+            n["label"].alias("label"),
+        )
+
+    def shares(u: Column) -> Column:
+        score, conf, ok = u["score"], u["conf"], u["bad"].isNull()
+        size = F.abs(score)
+        fields = {
+            "llm_positive": F.when(score > 0.2, size).when(ok, 0.0),
+            "llm_negative": F.when(score < -0.2, size).when(ok, 0.0),
+            "llm_neutral": F.bround(1.0 - size, 2),
+            "llm_confidence": conf,
+            "llm_score": score,
+            "llm_relevance": F.when(ok, 0.9),
+            "llm_impact_magnitude": size,
+            "llm_uncertainty": F.bround(1.0 - conf, 2),
+        }
+        error = F.concat(F.lit("not a number: "), u["bad"])
+        return _answer(fields, F.when(ok, u["label"]), error)
+
+    names = ("llm_score", "llm_confidence")
+    return _let(
+        strict_json(outer_braces(answer)),
+        lambda v: _let(
+            F.when(_is_object(v), v),
+            lambda o: _let(_numbers(o, names), lambda n: _let(scale(n), shares)),
+        ),
     )
-    score, conf, size = F.col("_score"), F.col("_conf"), F.abs("_score")
-    ok = F.col("_bad").isNull()
-    fields = {
-        "llm_positive": F.when(score > 0.2, size).when(ok, 0.0),
-        "llm_negative": F.when(score < -0.2, size).when(ok, 0.0),
-        "llm_neutral": F.bround(1.0 - size, 2),
-        "llm_confidence": conf,
-        "llm_score": score,
-        "llm_relevance": F.when(ok, 0.9),
-        "llm_impact_magnitude": size,
-        "llm_uncertainty": F.bround(1.0 - conf, 2),
-    }
-    error = F.concat(F.lit("not a number: "), F.col("_bad"))
-    return _finish(read, df.columns, _answer(fields, F.when(ok, _label("_v")), error))
 
 
-def add_strict_answer(df: DataFrame, answer: str, tolerance: float = 0.02) -> DataFrame:
+def strict_answer(answer: Column, tolerance: float = 0.02) -> Column:
     """Six probabilities, all needed, in [0,1]; the three shares sum to 1 within tolerance.
 
     Label is the largest share (ties: positive, negative, neutral). A row that breaks a rule has
     NULL columns and the rule's name in ``llm_error``.
     """
-    read = with_strict_json(df, F.col(answer), "_any")
-    read = read.withColumn("_v", F.when(_is_object("_any"), F.col("_any")))
-    read = read.withColumns({f"_n_{n}": _at("_v", f"$.{n}", "double") for n in PROBABILITY_FIELDS})
-    n = {name: F.col(f"_n_{name}") for name in PROBABILITY_FIELDS}
-    outside = F.coalesce(
-        *[
-            F.when(n[x].isNull() | ~n[x].between(0.0, 1.0), F.lit(f"range: {x}"))
-            for x in PROBABILITY_FIELDS
-        ]
-    )
-    total = n["positive"] + n["negative"] + n["neutral"]
-    error = (
-        F.when(F.col("_v").isNull(), F.lit("no JSON object"))
-        .when(outside.isNotNull(), outside)
-        .when(F.abs(total - 1.0) > tolerance, F.lit("shares do not sum to 1"))
-    )
-    read = read.withColumn("_error", error)
-    top = F.greatest(n["positive"], n["negative"], n["neutral"])
-    label = F.coalesce(*[F.when(n[x] == top, F.lit(x)) for x in LABELS])
-    fields = {f"llm_{x}": n[x] for x in PROBABILITY_FIELDS}
-    fields |= {"llm_confidence": top, "llm_score": n["positive"] - n["negative"]}
-    ok = F.col("_error").isNull()
-    fields = {name: F.when(ok, value) for name, value in fields.items()}
-    return _finish(read, df.columns, _answer(fields, F.when(ok, label), F.col("_error")))
+
+    def judge(n: Column) -> Column:
+        outside = F.coalesce(
+            *[
+                F.when(n[x].isNull() | ~n[x].between(0.0, 1.0), F.lit(f"range: {x}"))
+                for x in PROBABILITY_FIELDS
+            ]
+        )
+        total = n["positive"] + n["negative"] + n["neutral"]
+        error = (
+            F.when(~n["is_object"], F.lit("no JSON object"))
+            .when(outside.isNotNull(), outside)
+            .when(F.abs(total - 1.0) > tolerance, F.lit("shares do not sum to 1"))
+        )
+        top = F.greatest(n["positive"], n["negative"], n["neutral"])
+        label = F.coalesce(*[F.when(n[x] == top, F.lit(x)) for x in LABELS])
+        fields = {f"llm_{x}": n[x] for x in PROBABILITY_FIELDS}
+        fields |= {"llm_confidence": top, "llm_score": n["positive"] - n["negative"]}
+        valid = _answer(fields, label, F.lit(None))
+        nothing = {x: F.lit(None) for x in fields}
+        return F.when(error.isNull(), valid).otherwise(_answer(nothing, F.lit(None), error))
+
+    return _let(strict_json(answer), lambda v: _let(_numbers(v, PROBABILITY_FIELDS), judge))
+
+
+def add_answer(df: DataFrame, answer: Column) -> DataFrame:
+    """Add one of the answer structs above as columns."""
+    return df.withColumn("_answer", answer).select(*df.columns, "_answer.*")
 
 
 def classifier_columns(logits: Column, labels: tuple[str, ...] = LABELS) -> list[Column]:
