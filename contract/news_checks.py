@@ -25,6 +25,7 @@ from contract.registry import check, sql
 from tidewire.functions import text as X
 from tidewire.operators import asof as J
 from tidewire.operators import news as N
+from tidewire.operators.near_titles import drop_near_titles
 
 NEWS_COLUMNS = "news_id, pub_time, ticker, title, summary, sentiment_score"
 
@@ -320,6 +321,18 @@ def _(spark, sf_dir):
     return kept.select("news_id", "title")
 
 
+@check("j7_near_titles", sql(
+    """select news_id, title from english e where not exists (
+         select 1 from english b where b.ticker = e.ticker
+           and cast(b.pub_time as date) = cast(e.pub_time as date)
+           and (b.pub_time, b.news_id) < (e.pub_time, e.news_id)
+           and abs(length(b.title) - length(e.title)) * 10 <= greatest(length(b.title), length(e.title))
+           and levenshtein(lower(b.title), lower(e.title)) * 10
+             <= greatest(length(b.title), length(e.title)))""", NEWS, ENGLISH))
+def _(spark, sf_dir):
+    return drop_near_titles(N.english_news(news(spark, sf_dir))).select("news_id", "title")
+
+
 # --- roll-up and mapping ---
 
 

@@ -11,6 +11,7 @@ from tidewire.operators import asof as J
 from tidewire.operators import dataset as D
 from tidewire.operators import features as Z
 from tidewire.operators import indicators as I
+from tidewire.plans import tables as P
 from tidewire.operators.quantiles import approximate_quantiles
 from tidewire.operators.recurrence import ewma_adjusted
 from tidewire.operators.series import (
@@ -687,3 +688,52 @@ def _(spark, sf_dir):
         out.select("ticker", "trade_date", F.size(f).alias("n_features"), f[0].alias("f1"),
                    f[1].alias("f2"), f[2].alias("f3"), f[5].alias("f6"), "y")
     )
+
+
+# --- the whole path ---
+
+E3 = """feature_rows as (
+  select s.*, a.llm_score, a.llm_relevance, coalesce(a.news_count, 0) as news_count,
+    row_number() over (partition by s.ticker order by s.trade_date) as k
+  from stationary s left join agg a on s.ticker = a.ticker and s.trade_date = a.market_date),
+recall as (
+  select ticker, k, coalesce(llm_score, 0.0)::double as num,
+    case when llm_score is null then 0.0::double else 1.0 end as den
+  from feature_rows where k = 1
+  union all
+  select s.ticker, s.k, (2.0::double / 3) * p.num + coalesce(s.llm_score, 0.0),
+    (2.0::double / 3) * p.den + case when s.llm_score is null then 0.0 else 1.0 end
+  from recall p join feature_rows s on s.ticker = p.ticker and s.k = p.k + 1),
+model_rows as (
+  select f.*, num / nullif(den, 0) as ewma from feature_rows f join recall using (ticker, k))"""
+_E3_COLUMNS = (*TECHNICAL_FEATURES, *ANSWER_FEATURES, Z.TARGET)
+_E3_SQL = {
+    "llm_score": "coalesce(llm_score, 0)",
+    "llm_relevance": "coalesce(llm_relevance, 0)",
+    "llm_ewma_5": "coalesce(ewma, 0)",
+    "llm_sentiment_impact": "coalesce(llm_score * ln(1 + news_count), 0)",
+    "llm_sentiment_delta": "coalesce(llm_score - ewma, 0)",
+}
+_E3_SHOWN = [c for c in _E3_COLUMNS if c not in ("llm_impact_magnitude", "llm_uncertainty", "news_count")]
+
+
+def e3(spark, sf_dir):
+    return P.model_table(bars(spark, sf_dir), daily(spark, sf_dir))
+
+
+@check("e3_model_table", sql(
+    f"""select ticker, trade_date, news_count, {', '.join(r(_E3_SQL.get(c, c), c) for c in _E3_SHOWN)},
+        (ticker = '2-HIGH')::int as "ticker_2-HIGH" from model_rows""",
+    *MARKET_CTES, STATIONARY, NEWS, SCORED, DAILY, MAPPED, AGG, E3, recursive=True))
+def _(spark, sf_dir):
+    return key_and(e3(spark, sf_dir), "news_count", *_E3_SHOWN, "`ticker_2-HIGH`")
+
+
+@check("e3_hybrid_sequences")
+def _(spark, sf_dir):
+    scaled = P.scaled_splits(e3(spark, sf_dir))
+    seqs = P.hybrid_sequences(scaled)
+    return seqs.select(
+        "split", "ticker", "trade_date", F.size("seq").alias("steps"), F.size("tech").alias("features"),
+        F.size("news_vec").alias("news_features"), "y",
+    )

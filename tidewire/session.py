@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Conf keys a caller may override; nothing here depends on the size of the cluster.
 DEFAULTS = {
@@ -50,3 +51,14 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="tidewire-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a costly intermediate to the shared folder and go on from the written table.
+
+    Later steps that read it several times do not run its plan again, and a lost executor costs
+    a re-read instead of a re-run.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
