@@ -25,6 +25,7 @@ from tidewire.operators.series import (
     with_positions,
 )
 from tidewire.schemas import ANSWER_FEATURES, TECHNICAL_FEATURES
+from tidewire.session import materialise
 
 W = "window w as (partition by ticker order by trade_date)"
 
@@ -472,7 +473,8 @@ def _(spark, sf_dir):
 
 
 def joined(spark, sf_dir):
-    return J.merge_market_and_sentiment(bars(spark, sf_dir), daily(spark, sf_dir), "llm_")
+    both = J.merge_market_and_sentiment(bars(spark, sf_dir), daily(spark, sf_dir), "llm_")
+    return materialise(both, "market-sentiment")
 
 
 SENTIMENT_BASE = """sentiment_base as (

@@ -183,6 +183,14 @@ def sentiment_features(df: DataFrame, kind: str = "llm", fill: bool = True) -> D
 MAX_LEVELS = 1000
 
 
+def distinct_levels(df: DataFrame, column: str = "ticker") -> list[str]:
+    """The values of a column with few of them, sorted."""
+    found = [r[0] for r in df.select(column).distinct().limit(MAX_LEVELS + 1).collect()]
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} values in {column}: use one_hot_vector")
+    return sorted(v for v in found if v is not None)
+
+
 def one_hot(df: DataFrame, column: str = "ticker", levels: Sequence[str] | None = None) -> DataFrame:
     """One 0/1 int column ``<column>_<value>`` per value, names sorted; the column is kept.
 
@@ -190,10 +198,7 @@ def one_hot(df: DataFrame, column: str = "ticker", levels: Sequence[str] | None
     columns than that make no sensible schema, use ``one_hot_vector``.
     """
     if levels is None:
-        found = [r[0] for r in df.select(column).distinct().limit(MAX_LEVELS + 1).collect()]
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"more than {MAX_LEVELS} values in {column}: use one_hot_vector")
-        levels = [v for v in found if v is not None]
+        levels = distinct_levels(df, column)
     return df.select(
         "*",
         *[

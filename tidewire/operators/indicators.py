@@ -13,16 +13,13 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators.recurrence import Scan, block_rows, complete, from_place, running, seeded
+from tidewire.operators.recurrence import TO_HERE, Scan, block_rows, complete, running, seeded
 from tidewire.operators.series import (
+    BLOCK,
     COUNT,
     POS,
-    block_window,
     core_rows,
-    long_mean,
     over_series,
-    prefix_sum,
-    rolling,
     with_blocks,
     with_positions,
 )
@@ -69,7 +66,6 @@ def add_indicators(
     require_columns(
         bars, ["ticker", "trade_date", "open_px", "high_px", "low_px", "close_px", "volume"]
     )
-    close, high, low = F.col("close_px"), F.col("high_px"), F.col("low_px")
     scans: list[Scan] = []
     if "ema" in groups:
         scans.append(Scan("_ema20", 1 - _ema(20)))
@@ -91,101 +87,106 @@ def add_indicators(
         scans.append(Scan("_obv", 1.0))
 
     rows = block_rows([s.factor for s in scans])
-    w = block_window()
     laid = with_blocks(with_positions(bars), before=max(REACH[g] for g in groups), rows=rows)
 
-    # Frames over the raw columns.
-    step = {"_prev": F.lag(close, 1).over(w)}
+    # Frames over the raw columns. Bars have no NULLs, so a frame is full from its n-th row on.
+    by = f"partition by ticker, {BLOCK} order by {POS}"
+    step = [f"lag(close_px) over ({by}) as _prev"]
     if "sma" in groups:
-        step["_prefix"] = prefix_sum(close, w)
+        step.append(f"sum(close_px) over ({by} {TO_HERE}) as _prefix")
     if "bbands" in groups:
-        frame = w.rowsBetween(-19, 0)
-        step["_mean20"] = F.avg(close).over(frame)
-        step["_sigma20"] = F.stddev_pop(close).over(frame)
+        last = f"({by} rows between 19 preceding and current row)"
+        step += [
+            f"avg(close_px) over {last} as _mean20",
+            f"stddev_pop(close_px) over {last} as _sigma20",
+        ]
     if "stoch" in groups:
-        frame = w.rowsBetween(-13, 0)
-        step["_lowest"] = F.min(low).over(frame)
-        step["_highest"] = F.max(high).over(frame)
-    laid = laid.withColumns(step)
+        last = f"({by} rows between 13 preceding and current row)"
+        step += [f"min(low_px) over {last} as _lowest", f"max(high_px) over {last} as _highest"]
+    laid = laid.selectExpr("*", *step)
 
     # Inputs of the recurrences, and frames over the first ones.
-    prev = F.col("_prev")
-    change = close - prev
-    step = {}
+    change = "(close_px - _prev)"
+    step = []
     if "sma" in groups:
-        step["sma_50"] = long_mean(F.col("_prefix"), w, 50)
-        step["sma_200"] = long_mean(F.col("_prefix"), w, 200)
+        step += [f"{_long_mean(n, by)} as sma_{n}" for n in (50, 200)]
     if "stoch" in groups:
-        raw = F.try_divide((close - F.col("_lowest")) * 100, F.col("_highest") - F.col("_lowest"))
-        step["_raw_k"] = from_place(raw, 13)
+        raw = "try_divide((close_px - _lowest) * 100, _highest - _lowest)"
+        step.append(f"case when {POS} >= 13 then {raw} end as _raw_k")
     if "ema" in groups:
-        step["_in_ema20"] = seeded(close, 20, _ema(20), 0)
+        step.append(f"{seeded('close_px', 20, _ema(20), 0)} as _in_ema20")
     if "rsi" in groups:
-        step["_in_gain"] = seeded(F.greatest(change, F.lit(0.0)), 14, 1 / 14, 1)
-        step["_in_loss"] = seeded(F.greatest(-change, F.lit(0.0)), 14, 1 / 14, 1)
+        step.append(f"{seeded(f'greatest({change}, 0D)', 14, 1 / 14, 1)} as _in_gain")
+        step.append(f"{seeded(f'greatest(-{change}, 0D)', 14, 1 / 14, 1)} as _in_loss")
     if "atr" in groups:
-        true_range = F.greatest(high - low, F.abs(high - prev), F.abs(low - prev))
-        step["_in_atr"] = seeded(true_range, 14, 1 / 14, 1)
+        true_range = "greatest(high_px - low_px, abs(high_px - _prev), abs(low_px - _prev))"
+        step.append(f"{seeded(true_range, 14, 1 / 14, 1)} as _in_atr")
     if "macd" in groups:
-        step["_in_fast"] = seeded(close, FAST, _ema(FAST), 0)
-        step["_in_slow"] = seeded(close, SLOW, _ema(SLOW), 0)
+        step.append(f"{seeded('close_px', FAST, _ema(FAST), 0)} as _in_fast")
+        step.append(f"{seeded('close_px', SLOW, _ema(SLOW), 0)} as _in_slow")
     if "obv" in groups:
-        step["_in_obv"] = F.when(prev.isNull(), F.col("volume")).otherwise(
-            F.signum(change).cast("long") * F.col("volume")
-        )
+        signed = f"cast(signum({change}) as bigint) * volume"
+        step.append(f"case when _prev is null then volume else {signed} end as _in_obv")
     if step:
-        laid = laid.withColumns(step)
+        laid = laid.selectExpr("*", *step)
     if "stoch" in groups:
-        laid = laid.withColumn("stoch_k", rolling(F.avg, F.col("_raw_k"), w, 3))
-        laid = laid.withColumn("stoch_d", rolling(F.avg, F.col("stoch_k"), w, 3))
+        laid = laid.selectExpr("*", f"{_mean3('_raw_k', by)} as stoch_k")
+        laid = laid.selectExpr("*", f"{_mean3('stoch_k', by)} as stoch_d")
 
     # From here on nothing looks back beyond the block: the copied rows can go.
     done = core_rows(laid)
     if scans:
-        done = done.withColumns(
-            {
-                s.local: running(F.col(f"_in{s.name}"), s.factor, w, rows)
-                for s in scans
-                if s.name != "_signal"
-            }
+        plain = [s for s in scans if not s.fed_by]
+        done = done.selectExpr(
+            "*", *[f"{running(f'_in{s.name}', s.factor, rows)} as {s.local}" for s in plain]
         )
         if "macd" in groups:
-            line = F.col("_local__fast") - F.col("_local__slow")
+            line = "_local__fast - _local__slow"
             fed = seeded(line, SIGNAL, _ema(SIGNAL), SLOW - 1)
-            done = done.withColumn("_local__signal", running(fed, 1 - _ema(SIGNAL), w, rows))
+            done = done.selectExpr(
+                "*", f"{running(fed, 1 - _ema(SIGNAL), rows)} as _local__signal"
+            )
         done = complete(done, scans, rows=rows)
 
-    out = {}
-    if "change" in groups:
-        out["daily_change_usd"] = change
-        out["daily_return_pct"] = F.try_divide(close, prev) - 1
-    if "ema" in groups:
-        out["ema_20"] = from_place(F.col("_ema20"), 19)
-    if "rsi" in groups:
-        both = F.col("_gain") + F.col("_loss")
-        out["rsi_14"] = from_place(F.try_divide(F.col("_gain") * 100, both), 14)
-    if "macd" in groups:
-        out["macd"] = from_place(F.col("_fast") - F.col("_slow"), SLOW - 1)
-        out["macd_signal"] = from_place(F.col("_signal"), SLOW + SIGNAL - 2)
-        out["macd_hist"] = from_place(
-            F.col("_fast") - F.col("_slow") - F.col("_signal"), SLOW + SIGNAL - 2
-        )
-    if "bbands" in groups:
-        mid = from_place(F.col("_mean20"), 19)
-        half = from_place(F.col("_sigma20"), 19) * 2
-        out["bbm_20_2"] = mid
-        out["bbl_20_2"] = mid - half
-        out["bbu_20_2"] = mid + half
-        out["bbb_20_2"] = F.try_divide(half * 200, mid)
-        out["bbp_20_2"] = F.try_divide(close - (mid - half), half * 2)
-    if "atr" in groups:
-        out["atr_14"] = from_place(F.col("_atr"), 14)
-    if "obv" in groups:
-        out["obv"] = F.col("_obv").cast("double")
-    if out:
-        done = done.withColumns(out)
-    wanted = [c for g in OUTPUTS if g in groups for c in OUTPUTS[g]]
-    return done.select(*bars.columns, *wanted, *keep)
+    first_signal = SLOW + SIGNAL - 2
+    half = "2 * _sigma20"
+    formulas = {
+        "daily_change_usd": (change, 0),
+        "daily_return_pct": ("try_divide(close_px, _prev) - 1", 0),
+        "ema_20": ("_ema20", 19),
+        "sma_50": ("sma_50", 49),
+        "sma_200": ("sma_200", 199),
+        "rsi_14": ("try_divide(_gain * 100, _gain + _loss)", 14),
+        "macd": ("_fast - _slow", SLOW - 1),
+        "macd_hist": ("_fast - _slow - _signal", first_signal),
+        "macd_signal": ("_signal", first_signal),
+        "bbl_20_2": (f"_mean20 - {half}", 19),
+        "bbm_20_2": ("_mean20", 19),
+        "bbu_20_2": (f"_mean20 + {half}", 19),
+        "bbb_20_2": (f"try_divide(200 * {half}, _mean20)", 19),
+        "bbp_20_2": (f"try_divide(close_px - (_mean20 - {half}), 2 * {half})", 19),
+        "atr_14": ("_atr", 14),
+        "obv": ("cast(_obv as double)", 0),
+        "stoch_k": ("stoch_k", 0),
+        "stoch_d": ("stoch_d", 0),
+    }
+    wanted = [
+        f"case when {POS} >= {formulas[c][1]} then {formulas[c][0]} end as {c}"
+        for g in OUTPUTS
+        if g in groups
+        for c in OUTPUTS[g]
+    ]
+    return done.selectExpr(*[f"`{c}`" for c in bars.columns], *wanted, *keep)
+
+
+def _long_mean(n: int, by: str) -> str:
+    """Mean of the last ``n`` closes as a difference of prefix sums: its cost does not grow with n."""
+    return f"(_prefix - coalesce(lag(_prefix, {n}) over ({by}), 0D)) / {n}"
+
+
+def _mean3(x: str, by: str) -> str:
+    last = f"({by} rows between 2 preceding and current row)"
+    return f"case when count({x}) over {last} = 3 then avg({x}) over {last} end"
 
 
 def add_one_day_targets(bars: DataFrame, keep_null: bool = False) -> DataFrame:

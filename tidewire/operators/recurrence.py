@@ -10,6 +10,8 @@ End values are one row per 1024, the fold's frame is bounded, and the final valu
 
 A recurrence may be fed by others (the MACD signal by two EMAs); the feeders' inflow then also
 reaches it, through the closed form of two chained geometric decays. So one round is enough.
+
+The formulas are SQL text: one parse per formula instead of a call per operator.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators.series import BLOCK, BLOCK_ROWS, CORE, POS, block_window, with_blocks
+from tidewire.operators.series import BLOCK, BLOCK_ROWS, CORE, POS, with_blocks
+
+TO_HERE = "rows between unbounded preceding and current row"
 
 
 @dataclass(frozen=True)
@@ -37,6 +41,11 @@ class Scan:
         return f"_local_{self.name}"
 
 
+def number(x: float) -> str:
+    """A double literal."""
+    return f"({float(x)!r}D)"
+
+
 def block_rows(factors: Sequence[float]) -> int:
     """Longest block (at most 1024 rows) whose scale factors stay well inside a double."""
     shrinking = [f for f in factors if f < 1.0]
@@ -45,27 +54,19 @@ def block_rows(factors: Sequence[float]) -> int:
     return min(BLOCK_ROWS, max(8, int(250 / -math.log10(min(shrinking)))))
 
 
-def place(rows: int) -> Column:
-    return (F.col(POS) % rows).cast("double")
-
-
-def running(x: Column, factor: float, w: WindowSpec, rows: int) -> Column:
+def running(x: str, factor: float, rows: int, key: Sequence[str] = ("ticker",)) -> str:
     """The recurrence inside a block, started from zero. ``x`` must not be NULL."""
-    prefix = w.rowsBetween(Window.unboundedPreceding, 0)
+    over = f"over (partition by {', '.join(key)}, {BLOCK} order by {POS} {TO_HERE})"
     if factor == 1.0:
-        return F.sum(x).over(prefix)
-    f = F.lit(factor)
-    return F.sum(x * F.pow(f, -place(rows))).over(prefix) * F.pow(f, place(rows))
-
-
-def _power(f: float, n):
-    return F.pow(F.lit(f), n) if isinstance(n, Column) else f**n
+        return f"sum({x}) {over}"
+    f, place = number(factor), f"cast({POS} % {rows} as double)"
+    return f"sum(({x}) * pow({f}, -{place})) {over} * pow({f}, {place})"
 
 
-def _reach(scan: Scan, source: Scan, gain: float, n):
-    """How much of ``source``'s inflow has arrived in ``scan`` after ``n`` rows."""
+def _reach(scan: Scan, source: Scan, gain: float) -> tuple[float, float, float]:
+    """(c, f, g): after n rows ``c * (f**n - g**n)`` of the source's inflow is in the scan."""
     f, g = source.factor, scan.factor
-    return (_power(f, n) - _power(g, n)) * (gain * f / (f - g))
+    return gain * f / (f - g), f, g
 
 
 def complete(
@@ -82,69 +83,57 @@ def complete(
     by_name = {s.name: s for s in scans}
     shrinking = [s for s in scans if s.factor < 1.0]
     sums = [s for s in scans if s.factor == 1.0]
-    ends = df.filter(F.col(POS) % rows == rows - 1).select(
-        *keys, BLOCK, *[F.col(s.local).alias(s.name) for s in scans]
-    )
-    by_block = Window.partitionBy(*keys).orderBy(BLOCK)
-    inflow = [(F.col(BLOCK) + 1).alias(BLOCK)]
+    ends = df.filter(f"{POS} % {rows} = {rows - 1}")
+    by_block = f"partition by {', '.join(keys)} order by {BLOCK}"
+    inflow = [f"{BLOCK} + 1 as {BLOCK}"]
     if shrinking:
         slowest = max(s.factor for s in shrinking)
         depth = 1 + math.ceil(320 / (-math.log10(slowest) * rows))
-        state = F.collect_list(F.struct(*[F.col(s.name) for s in shrinking])).over(
-            by_block.rowsBetween(-depth, 0)
-        )
-
-        def step(acc: Column, end: Column) -> Column:
-            fields = []
-            for s in shrinking:
-                value = acc[s.name] * (s.factor**rows) + end[s.name]
-                for other, gain in s.fed_by:
-                    value = value + acc[other] * _reach(s, by_name[other], gain, rows)
-                fields.append(value.alias(s.name))
-            return F.struct(*fields)
-
-        zero = F.struct(*[F.lit(0.0).alias(s.name) for s in shrinking])
-        inflow.append(F.aggregate(state, zero, step).alias("_in"))
-    for s in sums:
+        end = ", ".join(f"'{s.name}', {s.local}" for s in shrinking)
+        zero = ", ".join(f"'{s.name}', 0D" for s in shrinking)
+        steps = []
+        for s in shrinking:
+            step = f"acc.{s.name} * {number(s.factor**rows)} + e.{s.name}"
+            for other, gain in s.fed_by:
+                c, f, g = _reach(s, by_name[other], gain)
+                step += f" + acc.{other} * {number(c * (f**rows - g**rows))}"
+            steps.append(f"'{s.name}', {step}")
         inflow.append(
-            F.sum(s.name).over(by_block.rowsBetween(Window.unboundedPreceding, 0)).alias(
-                f"_sum_{s.name}"
-            )
+            f"aggregate(collect_list(named_struct({end})) over ({by_block}"
+            f" rows between {depth} preceding and current row), named_struct({zero}),"
+            f" (acc, e) -> named_struct({', '.join(steps)})) as _in"
         )
-    carried = df.join(ends.select(*keys, *inflow), [*keys, BLOCK], "left")
-
-    def came_in(name: str) -> Column:
-        return F.coalesce(F.col("_in")[name], F.lit(0.0))
+    inflow += [f"sum({s.local}) over ({by_block} {TO_HERE}) as _sum_{s.name}" for s in sums]
+    carried = df.join(ends.selectExpr(*keys, *inflow), [*keys, BLOCK], "left")
 
-    n = place(rows) + 1
-    done = {}
+    n = f"cast({POS} % {rows} + 1 as double)"
+    done = []
     for s in shrinking:
-        value = F.col(s.local) + came_in(s.name) * _power(s.factor, n)
+        value = f"{s.local} + coalesce(_in.{s.name}, 0D) * pow({number(s.factor)}, {n})"
         for other, gain in s.fed_by:
-            value = value + came_in(other) * _reach(s, by_name[other], gain, n)
-        done[s.name] = value
-    for s in sums:
-        done[s.name] = F.col(s.local) + F.coalesce(F.col(f"_sum_{s.name}"), F.lit(0))
-    helpers = [s.local for s in scans] + ["_in"] + [f"_sum_{s.name}" for s in sums]
-    return carried.withColumns(done).drop(*helpers)
+            c, f, g = _reach(s, by_name[other], gain)
+            grown = f"(pow({number(f)}, {n}) - pow({number(g)}, {n}))"
+            value += f" + coalesce(_in.{other}, 0D) * {number(c)} * {grown}"
+        done.append(f"{value} as {s.name}")
+    done += [f"{s.local} + coalesce(_sum_{s.name}, 0) as {s.name}" for s in sums]
+    local = {s.local for s in scans}
+    rest = [f"`{c}`" for c in df.columns if c not in local]
+    return carried.selectExpr(*rest, *done)
 
 
-def seeded(x: Column, n: int, alpha: float, start: int) -> Column:
+def seeded(x: str, n: int, alpha: float, start: int) -> str:
     """Input of a moving average whose first value is the plain mean of ``n`` values.
 
     The series begins at place ``start``, the first value sits at ``start + n - 1``. Each of the
     first ``n`` values enters with the weight that will have decayed to ``1/n`` by then, so no
     extra frame is needed for the mean.
     """
-    seed_at = start + n - 1
-    pos = F.col(POS)
-    early = x * F.pow(F.lit(1 - alpha), (pos - seed_at).cast("double")) / n
-    return F.when(pos > seed_at, x * alpha).when(pos >= start, early).otherwise(F.lit(0.0))
-
-
-def from_place(x: Column, first: int) -> Column:
-    """NULL before the place where an average has its first value."""
-    return F.when(F.col(POS) >= first, x)
+    at = start + n - 1
+    early = f"({x}) * pow({number(1 - alpha)}, cast({POS} - {at} as double)) / {n}"
+    return (
+        f"case when {POS} > {at} then ({x}) * {number(alpha)}"
+        f" when {POS} >= {start} then {early} else 0D end"
+    )
 
 
 def ewma_adjusted(
@@ -155,20 +144,16 @@ def ewma_adjusted(
     ``df`` must carry positions. A NULL row repeats the mean so far, as its weights only age.
     """
     factor = 1 - 2 / (span + 1)
-    scans = [Scan("_num", factor), Scan("_den", factor)]
     rows = block_rows([factor])
-    w = block_window(key)
-    x = F.col(column)
+    x = f"`{column}`"
+    weight = f"case when {x} is null then 0D else 1D end"
     laid = with_blocks(df, rows=rows)
-    local = laid.withColumns(
-        {
-            "_local__num": running(F.coalesce(x, F.lit(0.0)), factor, w, rows),
-            "_local__den": running(
-                F.when(x.isNull(), 0.0).otherwise(1.0), factor, w, rows
-            ),
-        }
+    local = laid.selectExpr(
+        "*",
+        f"{running(f'coalesce({x}, 0D)', factor, rows, key)} as _local__num",
+        f"{running(weight, factor, rows, key)} as _local__den",
     )
-    full = complete(local, scans, key, rows)
-    return full.withColumn(name, F.try_divide(F.col("_num"), F.col("_den"))).drop(
+    full = complete(local, [Scan("_num", factor), Scan("_den", factor)], key, rows)
+    return full.withColumn(name, F.expr("try_divide(_num, _den)")).drop(
         "_num", "_den", BLOCK, CORE
     )

@@ -26,39 +26,34 @@ POS, COUNT, BLOCK, CORE = "_pos", "_n", "_blk", "_core"
 HELPERS = (POS, COUNT, BLOCK, CORE, "_period")
 
 
-def by_year(column: str) -> Column:
-    """Period of a daily series: at most 366 rows per ticker."""
-    return F.year(F.col(column))
-
-
 def with_positions(
     df: DataFrame,
     key: Sequence[str] = ("ticker",),
     order: Sequence[str] = ("trade_date",),
-    period: Callable[[str], Column] = by_year,
+    period: str = "year({})",
 ) -> DataFrame:
     """Add ``_pos`` (0-based place in the ticker's series) and ``_n`` (the series' length).
 
-    ``period`` maps the first order column to a coarser, monotone one; for intraday series pass
-    a function that returns the day.
+    ``period`` maps the first order column to a coarser, monotone one, here the year: at most 366
+    rows of a daily series. For intraday series pass a day: ``"to_date({})"``.
     """
-    keys = list(key)
-    staged = df.withColumn("_period", period(order[0]))
-    counts = staged.groupBy(*keys, "_period").agg(F.count("*").alias("_rows"))
-    per_key = Window.partitionBy(*keys)
-    running = per_key.orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *keys,
+    keys = ", ".join(key)
+    staged = df.withColumn("_period", F.expr(period.format(order[0])))
+    counts = staged.groupBy(*key, "_period").agg(F.count("*").alias("_rows"))
+    offsets = counts.selectExpr(
+        *key,
         "_period",
-        F.coalesce(F.sum("_rows").over(running), F.lit(0)).alias("_offset"),
-        F.sum("_rows").over(per_key).alias(COUNT),
+        f"coalesce(sum(_rows) over (partition by {keys} order by _period"
+        " rows between unbounded preceding and 1 preceding), 0) as _offset",
+        f"sum(_rows) over (partition by {keys}) as {COUNT}",
     )
-    inside = Window.partitionBy(*keys, "_period").orderBy(*order)
+    inside = f"row_number() over (partition by {keys}, _period order by {', '.join(order)})"
     return (
-        staged.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, "_period"])
-        .withColumn(POS, F.col("_offset") + F.col("_rn") - 1)
-        .drop("_rn", "_offset", "_period")
+        staged.selectExpr("*", f"{inside} as _rn")
+        .join(offsets, [*key, "_period"])
+        .selectExpr(
+            *[f"`{c}`" for c in df.columns], f"_offset + _rn - 1 as {POS}", COUNT
+        )
     )
 
 
@@ -69,15 +64,13 @@ def with_blocks(
 
     Rows with ``_core`` false are copies: compute over them, then drop them.
     """
-    pos = F.col(POS)
-    own = F.floor(pos / rows)
+    own = f"{POS} div {rows}"
     if before == 0 and after == 0:
-        return df.withColumn(BLOCK, own).withColumn(CORE, F.lit(True))
-    first = F.floor(F.greatest(pos - after, F.lit(0)) / rows)
-    last = F.floor(F.least(pos + before, F.col(COUNT) - 1) / rows)
-    return df.withColumn(BLOCK, F.explode(F.sequence(first, last))).withColumn(
-        CORE, F.col(BLOCK) == own
-    )
+        return df.selectExpr("*", f"{own} as {BLOCK}", f"true as {CORE}")
+    first = f"greatest({POS} - {after}, 0) div {rows}"
+    last = f"least({POS} + {before}, {COUNT} - 1) div {rows}"
+    spread = df.selectExpr("*", f"explode(sequence({first}, {last})) as {BLOCK}")
+    return spread.selectExpr("*", f"{BLOCK} = {own} as {CORE}")
 
 
 def block_window(key: Sequence[str] = ("ticker",)) -> WindowSpec:
@@ -144,21 +137,6 @@ def rolling(
     return F.when(F.count(x).over(frame) >= (n if min_periods is None else min_periods), agg(x).over(frame))
 
 
-def prefix_sum(x: Column, w: WindowSpec) -> Column:
-    """Running sum inside a block and its copied rows."""
-    return F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
-
-
-def long_mean(prefix: Column, w: WindowSpec, n: int) -> Column:
-    """Mean of the last ``n`` rows of a column without NULLs, NULL before row ``n``.
-
-    The difference of two prefix sums (``prefix`` is ``prefix_sum`` of the column, from an
-    earlier step), so the cost per row does not grow with ``n``.
-    """
-    total = prefix - F.coalesce(F.lag(prefix, n).over(w), F.lit(0.0))
-    return F.when(F.col(POS) >= n - 1, total / n)
-
-
 def forward_sum(x: Column, w: WindowSpec, n: int = 5) -> Column:
     """Sum of the next ``n`` rows, NULL unless all are there."""
     return _full(F.sum, x, w.rowsBetween(1, n), n)

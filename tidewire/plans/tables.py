@@ -52,7 +52,8 @@ def model_table(
     if strict:
         joined = features.drop_incomplete(joined)
     stored = materialise(joined, "features")
-    return features.one_hot(features.sentiment_features(stored, kind))
+    levels = features.distinct_levels(stored)
+    return features.one_hot(features.sentiment_features(stored, kind), levels=levels)
 
 
 def scaled_splits(
