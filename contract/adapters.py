@@ -63,8 +63,8 @@ BARS = """bars as (
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    first_line = F.split_part("text", F.lit("\n"), F.lit(1))
-    rest = F.expr("substring(text, length(split_part(text, '\\n', 1)) + 2)")
+    first_line = F.substring_index("text", "\n", 1)
+    rest = F.expr("case when instr(text, '\\n') > 0 then substring(text, instr(text, '\\n') + 1) end")
     names = F.array(*[F.lit(t) for t in TICKERS])
     return documents.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("news_id"),

@@ -5,31 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters a title or summary may consist of (inside a regex class).
+# White space beyond blank, tab and line ends, inside a regex class.
+RARE_ASCII_BLANKS = r"\x{0b}\f\x{1c}-\x{1f}"
+RARE_BLANKS = (
+    RARE_ASCII_BLANKS + r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
+    r"\x{205f}\x{3000}"
+)
+COMMON_BLANKS = ("\n", "\t", "\r")
+BLANK_CLASS = r" \n\t\r" + RARE_BLANKS
+# The characters a title or summary may consist of, inside a regex class.
 ALLOWED_CLASS = (
-    r"a-zA-Z0-9"
-    r"\s\x{1c}-\x{1f}"
-    r".,!?;:'\"’“”"
-    r"()\[\]{}"
-    r"\-–—_/\\"
-    r"$%&+*=#@"
+    r"a-zA-Z0-9" + BLANK_CLASS + r".,!?;:'\"’“”" + r"()\[\]{}" + r"\-–—_/\\" + r"$%&+*=#@"
 )
+# The ASCII characters that are left out of it.
+FOREIGN_ASCII = r"\x{00}-\x{08}\x{0e}-\x{1b}\x{7f}<>^`|~"
 # Curly quotes and what replaces them (the opening single quote stays).
-CURLY = "’“”"
-STRAIGHT = "'\"\""
+QUOTES = {"’": "'", "“": '"', "”": '"'}
+
 
-# Blank runs as Python's str methods see them: Unicode white space plus the four separators.
-BLANKS = r"(?U)[\s\x{1c}-\x{1f}]+"
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def collapse_blanks(text: Column) -> Column:
-    """Every run of Unicode white space becomes one blank."""
-    return F.regexp_replace(text, BLANKS, " ")
+    """Every run of Unicode white space becomes one blank.
+
+    Common white space goes by plain replacement; a pattern with the wide character classes only
+    runs over text that is not pure ASCII, where it would cost most of the time.
+    """
+    plain = F.when(_is_ascii(text), F.regexp_replace(text, f"[{RARE_ASCII_BLANKS}]", " ")).otherwise(
+        F.regexp_replace(text, f"[{RARE_BLANKS}]", " ")
+    )
+    for blank in COMMON_BLANKS:
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    return F.regexp_replace(plain, " {2,}", " ")
 
 
 def straighten_quotes(text: Column) -> Column:
     """Closing single and both double curly quotes become plain ones."""
-    return F.translate(text, CURLY, STRAIGHT)
+    for curly, straight in QUOTES.items():
+        text = F.replace(text, F.lit(curly), F.lit(straight))
+    return text
 
 
 def tidy(text: Column) -> Column:
@@ -38,8 +54,16 @@ def tidy(text: Column) -> Column:
 
 
 def is_plain_english(text: Column) -> Column:
-    """X11: the whole, non-empty string stays inside the allowed characters; NULL is false."""
-    return F.coalesce(F.rlike(text, F.lit(f"(?U)\\A[{ALLOWED_CLASS}]++\\z")), F.lit(False))
+    """X11: the whole text stays inside the allowed characters and is not blank; NULL is false.
+
+    Gives the same answer before and after ``tidy``: that only trades allowed characters for
+    allowed ones. So filters can test the raw column and tidy what is left.
+    """
+    foreign = F.when(_is_ascii(text), F.rlike(text, F.lit(f"[{FOREIGN_ASCII}]"))).otherwise(
+        F.rlike(text, F.lit(f"[^{ALLOWED_CLASS}]"))
+    )
+    printed = F.rlike(text, F.lit(f"[^{BLANK_CLASS}]"))
+    return F.coalesce(printed & ~foreign, F.lit(False))
 
 
 def passes_english_filter(title: Column, summary: Column) -> Column:

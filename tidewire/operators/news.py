@@ -72,9 +72,9 @@ def merge_market(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def english_news(df: DataFrame) -> DataFrame:
-    """Tidied title and summary, articles outside the character set dropped."""
-    tidied = df.withColumns({"title": tidy(F.col("title")), "summary": tidy(F.col("summary"))})
-    return tidied.filter(passes_english_filter(F.col("title"), F.col("summary")))
+    """Articles inside the character set, with tidied title and summary."""
+    kept = df.filter(passes_english_filter(F.col("title"), F.col("summary")))
+    return kept.withColumns({"title": tidy(F.col("title")), "summary": tidy(F.col("summary"))})
 
 
 def dedupe_by_day(df: DataFrame, tie_break: Sequence[str] = ("news_id",)) -> DataFrame:

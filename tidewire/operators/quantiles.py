@@ -1,7 +1,6 @@
 """Exact order statistics and ranks over whole columns, without a single-task sort.
 
-Values fall into bins by a fixed, order-preserving function (power of two, then 2**14 equal steps
-inside it). Counting per bin shrinks before the shuffle; the running sum over bins tells which
+Values fall into bins by a fixed, order-preserving function (2**14 steps per power of two). Counting per bin shrinks before the shuffle; the running sum over bins tells which
 bin holds a wanted place. Only rows of those bins are looked at again, so nothing is collected
 into one task and the result is exact whatever the distribution.
 """
@@ -20,11 +19,13 @@ STEPS = 2**14
 
 
 def order_bin(v: Column) -> Column:
-    """Monotone bin number of a finite double."""
-    size = F.abs(v)
-    power = F.floor(F.log2(size))
-    step = F.floor((size / F.pow(F.lit(2.0), power) - 1) * STEPS)
-    number = (power + 1100) * STEPS + step
+    """Bin number of a finite double: grows with it or stays, never falls.
+
+    The logarithm, the product and ``floor`` are all monotone in floating point, so a bin holds
+    one stretch of values whatever the rounding.
+    """
+    # 1075 octaves reach below the smallest double; zero is a bin of its own.
+    number = F.floor((F.log2(F.abs(v)) + 1075.0) * STEPS) + 1
     return F.when(v == 0, F.lit(0)).when(v > 0, number).otherwise(-number).cast("long")
 
 
