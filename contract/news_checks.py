@@ -26,6 +26,7 @@ from tidewire.functions import text as X
 from tidewire.operators import asof as J
 from tidewire.operators import news as N
 from tidewire.operators.near_titles import drop_near_titles
+from tidewire.session import materialise
 
 NEWS_COLUMNS = "news_id, pub_time, ticker, title, summary, sentiment_score"
 
@@ -34,10 +35,15 @@ def clean(spark, sf_dir):
     return N.clean_news(news(spark, sf_dir))
 
 
-def daily(spark, sf_dir):
+def rolled_up(spark, sf_dir):
     return J.group_news_by_date(scored(clean(spark, sf_dir)))
 
 
+def daily(spark, sf_dir):
+    """The roll-up as a stored table: later steps read it more than once."""
+    return materialise(rolled_up(spark, sf_dir), "daily")
+
+
 _MEANS = ", ".join(f"avg({c}) as {c}" for c in SCORE_COLUMNS)
 _ROUNDED_SCORES = ", ".join(r(c, c) for c in SCORE_COLUMNS)
 
@@ -339,7 +345,7 @@ def _(spark, sf_dir):
 @check("a1_group_by_date", sql(
     f"select news_date, ticker, {_ROUNDED_SCORES}, news_count from daily", NEWS, SCORED, DAILY))
 def _(spark, sf_dir):
-    return rounded(daily(spark, sf_dir))
+    return rounded(rolled_up(spark, sf_dir))
 
 
 @check("a2_aggregate_mapped", sql(

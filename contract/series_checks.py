@@ -580,7 +580,7 @@ _SCALED = ("open_px", "close_px", "volume")
           f" from split_bars where split = 'train')", c)
         for c in _SCALED) + " from split_bars", BARS, _bounds(0)))
 def _(spark, sf_dir):
-    parts = D.split_by_date(bars(spark, sf_dir))
+    parts = materialise(D.split_by_date(bars(spark, sf_dir)), "splits")
     fitted = D.fit_scaler(parts.filter("split = 'train'"), _SCALED)
     out = D.apply_scaler(parts, fitted, _SCALED)
     return rounded(out.select("ticker", "trade_date", "split", *_SCALED))
@@ -592,7 +592,7 @@ def _(spark, sf_dir):
           f" / (select stddev_pop({c}) from split_bars where split = 'train')", c)
         for c in _SCALED) + " from split_bars", BARS, _bounds(0)))
 def _(spark, sf_dir):
-    parts = D.split_by_date(bars(spark, sf_dir))
+    parts = materialise(D.split_by_date(bars(spark, sf_dir)), "splits")
     fitted = D.fit_scaler(parts.filter("split = 'train'"), _SCALED, "standard")
     out = D.apply_scaler(parts, fitted, _SCALED)
     return rounded(out.select("ticker", "trade_date", "split", *_SCALED))

@@ -63,8 +63,8 @@ def split_by_date(
 
     A warm-up row belongs to two splits and comes out twice, once per value of ``split``.
     """
-    b = split_bounds(df, train, val, warmup, date).select(F.struct("*")).scalar()
-    d = F.col(date)
+    bounds = split_bounds(df, train, val, warmup, date).select(F.struct("*")).scalar()
+    b, d = F.col("_bounds"), F.col(date)
     names = F.array_compact(
         F.array(
             F.when(d < b["train_end"], "train"),
@@ -72,7 +72,7 @@ def split_by_date(
             F.when(d >= b["test_start"], "test"),
         )
     )
-    return df.withColumn("split", F.explode(names))
+    return df.withColumn("_bounds", bounds).withColumn("split", F.explode(names)).drop("_bounds")
 
 
 def fit_scaler(train: DataFrame, columns: Sequence[str], method: str = "robust") -> DataFrame:
@@ -113,9 +113,9 @@ def apply_scaler(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> Da
     ).scalar()
     done = {}
     for c in columns:
-        one = F.try_element_at(table, F.lit(c))
+        one = F.try_element_at(F.col("_fitted"), F.lit(c))
         done[c] = F.try_divide(q(c) - one["center"], one["scale"])
-    return df.withColumns(done)
+    return df.withColumn("_fitted", table).withColumns(done).drop("_fitted")
 
 
 def sequences(

@@ -166,9 +166,7 @@ def with_signals(
 ) -> DataFrame:
     """X24, X25 with A15's thresholds: adds both thresholds, ``signal`` and ``ret``."""
     t = thresholds(predictions, upper, lower).select(F.struct("*")).scalar()
-    marked = predictions.withColumns(
-        {"upper_threshold": t["upper_threshold"], "lower_threshold": t["lower_threshold"]}
-    ).withColumn(
+    marked = predictions.withColumn("_t", t).select(*predictions.columns, "_t.*").withColumn(
         "signal",
         trading_signal(F.col("y_hat"), F.col("upper_threshold"), F.col("lower_threshold")),
     )
@@ -198,14 +196,15 @@ def percentile_sweep(
         )
     )
     marked = (
-        predictions.select("y", "y_hat", rows.alias("c"))
-        .select("y", "y_hat", "c.*")
+        predictions.withColumn("_cuts", table)
+        .select("y", "y_hat", "_cuts", rows.alias("c"))
+        .select("y", "y_hat", "_cuts", "c.*")
         .withColumn(
             "signal",
             trading_signal(
                 F.col("y_hat"),
-                F.try_element_at(table, F.col("hi")),
-                F.try_element_at(table, F.col("lo")),
+                F.try_element_at("_cuts", F.col("hi")),
+                F.try_element_at("_cuts", F.col("lo")),
             ),
         )
         .withColumn("ret", strategy_return(F.col("signal"), F.col("y")))
@@ -257,7 +256,7 @@ def evaluation_report(
         F.first("lower_threshold").alias("lower_threshold"),
     )
     ic = information_coefficient(predictions).select(F.struct("ic", "p_value")).scalar()
-    return main.select("*", ic["ic"].alias("ic"), ic["p_value"].alias("p_value"))
+    return main.withColumn("_ic", ic).select(*main.columns, "_ic.*")
 
 
 def price_table(predictions: DataFrame) -> DataFrame:

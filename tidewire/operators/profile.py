@@ -81,10 +81,10 @@ def outlier_percent(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """Share of all rows (also those with a NULL) outside the 1.5-IQR fences, in percent."""
     columns = numeric_columns(df) if columns is None else list(columns)
     quartiles = quantile_map(exact_quantiles(df, columns, (0.25, 0.75)))
-    fences = df.select(*[finite(q(c)).alias(c) for c in columns])
+    fences = df.select(*[finite(q(c)).alias(c) for c in columns]).withColumn("_q", quartiles)
     flagged = []
     for c in columns:
-        both = F.try_element_at(quartiles, F.lit(c))
+        both = F.try_element_at(F.col("_q"), F.lit(c))
         q1, q3 = (F.try_element_at(both, F.lit(p)) for p in (0.25, 0.75))
         reach = (q3 - q1) * 1.5
         flagged.append(((q(c) < q1 - reach) | (q(c) > q3 + reach)).alias(c))

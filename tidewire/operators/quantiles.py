@@ -1,8 +1,11 @@
 """Exact order statistics and ranks over whole columns, without a single-task sort.
 
-Values fall into bins by a fixed, order-preserving function (2**14 steps per power of two). Counting per bin shrinks before the shuffle; the running sum over bins tells which
-bin holds a wanted place. Only rows of those bins are looked at again, so nothing is collected
-into one task and the result is exact whatever the distribution.
+Values fall into bins by a fixed, order-preserving function (2**14 steps per power of two).
+Counting per bin shrinks before the shuffle; the running sum over bins tells which bin holds a
+wanted place. Only rows of those bins are looked at again. Values may crowd in one bin, so each
+bin is cut once more into 2**16 equal steps between its own smallest and largest value before
+values are put in order. Nothing is collected into one task, and the result is exact whatever
+the distribution.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from tidewire.functions.expressions import finite
 from tidewire.schemas import q
 
 STEPS = 2**14
+SUB_STEPS = 2**16
 
 
 def order_bin(v: Column) -> Column:
@@ -38,50 +42,81 @@ def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _bin_totals(binned: DataFrame, rows: Column) -> DataFrame:
-    """Per (feature, bin): rows in smaller bins and rows of the feature in all."""
+    """Per (feature, bin): its range, rows in smaller bins, and rows of the feature in all."""
     per_feature = Window.partitionBy("feature")
     smaller = per_feature.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = binned.groupBy("feature", "bin").agg(rows.alias("rows"))
+    counts = binned.groupBy("feature", "bin").agg(
+        rows.alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")
+    )
     return counts.select(
         "feature",
         "bin",
         "rows",
+        "low",
+        "high",
         F.coalesce(F.sum("rows").over(smaller), F.lit(0)).alias("before"),
         F.sum("rows").over(per_feature).alias("n"),
     )
 
 
+def _with_places(values: DataFrame) -> DataFrame:
+    """Distinct values of bins, with ``same``, ``before``, ``low``, ``high``: add ``upto``.
+
+    ``upto`` is the number of the feature's rows up to and including the value.
+    """
+    share = F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low"))
+    cut = values.withColumn(
+        "sub", F.coalesce(F.floor(share * SUB_STEPS), F.lit(0)).cast("long")
+    ).drop("low", "high")
+    by_bin = Window.partitionBy("feature", "bin").orderBy("sub")
+    totals = cut.groupBy("feature", "bin", "sub").agg(F.sum("same").alias("_rows"))
+    totals = totals.select(
+        "feature",
+        "bin",
+        "sub",
+        F.coalesce(
+            F.sum("_rows").over(by_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_smaller"),
+    )
+    inside = Window.partitionBy("feature", "bin", "sub").orderBy("v")
+    placed = cut.withColumn("_here", F.sum("same").over(inside))
+    return (
+        placed.join(totals, ["feature", "bin", "sub"])
+        .withColumn("upto", F.col("before") + F.col("_smaller") + F.col("_here"))
+        .drop("sub", "_smaller", "_here")
+    )
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
     """(feature, p, value): linear interpolation between the two neighbouring values."""
     binned = long_form(df, columns).withColumn("bin", order_bin(F.col("v")))
-    totals = _bin_totals(binned, F.count("*"))
-    spot = (F.col("n") - 1) * F.col("p")
-    wanted = (
-        totals.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("place", F.explode(F.array(F.floor(spot), F.ceil(spot))))
-        .filter(
-            (F.col("place") >= F.col("before"))
-            & (F.col("place") < F.col("before") + F.col("rows"))
-        )
-        .select("feature", "bin", "before", "n", "p", "place")
+    spot = "(n - 1) * p"
+    places = (
+        _bin_totals(binned, F.count("*"))
+        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+        .withColumn("place", F.expr(f"explode(array(floor({spot}), ceil({spot})))"))
+        .filter("place >= before and place < before + rows")
     )
     # At most two bins per feature and probability: always small enough to broadcast.
-    hit = F.broadcast(wanted.select("feature", "bin").distinct())
+    wanted = places.groupBy("feature", "bin", "before", "low", "high", "n").agg(
+        F.collect_set(F.struct("p", "place")).alias("spots")
+    )
     values = (
-        binned.join(hit, ["feature", "bin"], "left_semi")
+        binned.join(F.broadcast(wanted.select("feature", "bin")), ["feature", "bin"], "left_semi")
         .groupBy("feature", "bin", "v")
         .agg(F.count("*").alias("same"))
+        .join(F.broadcast(wanted), ["feature", "bin"])
     )
-    inside = Window.partitionBy("feature", "bin").orderBy("v")
-    upto = values.withColumn("upto", F.sum("same").over(inside))
-    picked = upto.join(F.broadcast(wanted), ["feature", "bin"]).filter(
-        (F.col("place") < F.col("before") + F.col("upto"))
-        & (F.col("place") >= F.col("before") + F.col("upto") - F.col("same"))
+    picked = (
+        _with_places(values)
+        .withColumn("spot", F.explode("spots"))
+        .select("feature", "v", "n", "upto", "same", "spot.*")
+        .filter("place < upto and place >= upto - same")
     )
+    share = F.first(F.expr(f"{spot} % 1"))
     low, high = F.min("v"), F.max("v")
-    share = F.first((F.col("n") - 1) * F.col("p") % 1)
     return picked.groupBy("feature", "p").agg((low + (high - low) * share).alias("value"))
 
 
@@ -116,14 +151,5 @@ def average_ranks(values: DataFrame) -> DataFrame:
     """
     binned = values.withColumn("bin", order_bin(F.col("v")))
     totals = _bin_totals(binned, F.sum("same")).drop("rows")
-    inside = Window.partitionBy("feature", "bin").orderBy("v")
-    return (
-        binned.withColumn("upto", F.sum("same").over(inside))
-        .join(totals, ["feature", "bin"])
-        .select(
-            "feature",
-            "v",
-            (F.col("before") + F.col("upto") - (F.col("same") - 1) / 2).alias("rank"),
-            "n",
-        )
-    )
+    placed = _with_places(binned.join(totals, ["feature", "bin"]))
+    return placed.select("feature", "v", F.expr("upto - (same - 1) / 2").alias("rank"), "n")
