@@ -11,10 +11,17 @@ from tidewire.functions.expressions import strategy_return, trading_signal
 from tidewire.operators import dataset as D
 from tidewire.operators import evaluate as E
 from tidewire.operators import profile as P
-from tidewire.operators.quantiles import quantile_map
+from tidewire.session import materialise
 
 _METRICS = """avg(abs(y - y_hat)) as mae, sqrt(avg((y - y_hat) * (y - y_hat))) as rmse,
   1 - sum((y - y_hat) * (y - y_hat)) / (var_pop(y) * count(y)) as r2"""
+
+
+def stored_predictions(spark, sf_dir):
+    """As a model job leaves them: a table that the report reads several times."""
+    return materialise(predictions(spark, sf_dir), "predictions")
+
+
 METRICS = f"metrics as (select {_METRICS} from predictions)"
 
 
@@ -40,12 +47,12 @@ RANKS = """ranked as (
 @check("a12_information_coefficient", sql(
     f"select {r('corr(ry, rp)', 'ic')}, count(*) as n from ranked", PREDICTIONS, RANKS))
 def _(spark, sf_dir):
-    return rounded(E.information_coefficient(predictions(spark, sf_dir)).select("ic", "n"))
+    return rounded(E.information_coefficient(stored_predictions(spark, sf_dir)).select("ic", "n"))
 
 
 @check("a12_information_coefficient_p")
 def _(spark, sf_dir):
-    return E.information_coefficient(predictions(spark, sf_dir))
+    return E.information_coefficient(stored_predictions(spark, sf_dir))
 
 
 def _vectors(spark, sf_dir, size: int):
@@ -82,11 +89,11 @@ signals as (select *, signal * y as ret, greatest(signal * y, -0.03) as floored
     f"select {r('hi', 'upper_threshold')}, {r('lo', 'lower_threshold')} from thresholds",
     PREDICTIONS, THRESHOLDS))
 def _(spark, sf_dir):
-    return rounded(E.thresholds(predictions(spark, sf_dir)))
+    return rounded(E.thresholds(stored_predictions(spark, sf_dir)))
 
 
 def _signals(spark, sf_dir, floor=None):
-    return E.with_signals(predictions(spark, sf_dir), floor=floor)
+    return E.with_signals(stored_predictions(spark, sf_dir), floor=floor)
 
 
 @check("x24_trading_signal", sql("select row_id, signal from signals", PREDICTIONS, SIGNALS))
@@ -147,7 +154,7 @@ sweep as (
     f"""select pct, {r('avg((signal <> 0)::int::double) * 100', 'time_in_market')}, {_backtest_sql()}
         from sweep group by pct""", PREDICTIONS, SWEEP))
 def _(spark, sf_dir):
-    return _coarse_sharpe(E.percentile_sweep(predictions(spark, sf_dir)))
+    return _coarse_sharpe(E.percentile_sweep(stored_predictions(spark, sf_dir)))
 
 
 @check("a19_split_report", sql(
@@ -173,7 +180,7 @@ def _(spark, sf_dir):
           {r('max(hi)', 'upper_threshold')}, {r('max(lo)', 'lower_threshold')} from signals) s""",
     PREDICTIONS, METRICS, RANKS, SIGNALS))
 def _(spark, sf_dir):
-    report = E.evaluation_report(predictions(spark, sf_dir), floor=-0.03)
+    report = E.evaluation_report(stored_predictions(spark, sf_dir), floor=-0.03)
     return _coarse_sharpe(report.drop("p_value"))
 
 

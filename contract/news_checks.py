@@ -26,6 +26,7 @@ from tidewire.functions import text as X
 from tidewire.operators import asof as J
 from tidewire.operators import news as N
 from tidewire.operators.near_titles import drop_near_titles
+from tidewire.plans.tables import news_to_daily
 from tidewire.session import materialise
 
 NEWS_COLUMNS = "news_id, pub_time, ticker, title, summary, sentiment_score"
@@ -348,6 +349,20 @@ def _(spark, sf_dir):
     return rounded(rolled_up(spark, sf_dir))
 
 
+_MERGED = """news as (
+  select news_id, pub_time, ticker, title, summary, sentiment_score from (
+    select *, 0 as file_rank from first_file union all
+    select news_id, pub_time, ticker, title, summary, null, 1 from talks)
+  qualify row_number() over (partition by pub_time, ticker, title order by file_rank, news_id) = 1)"""
+
+
+@check("e1_news_to_daily", sql(
+    f"select news_date, ticker, {_ROUNDED_SCORES}, news_count from daily",
+    NEWS.replace("news as (", "first_file as ("), TALKS, _MERGED, SCORED, DAILY))
+def _(spark, sf_dir):
+    return rounded(news_to_daily([news(spark, sf_dir), talks(spark, sf_dir)], scored))
+
+
 @check("a2_aggregate_mapped", sql(
     f"select market_date, ticker, {_ROUNDED_SCORES}, news_count from agg",
     BARS, NEWS, SCORED, DAILY, MAPPED, AGG))

@@ -59,6 +59,15 @@ def _(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@check("s4_save_table", sql("select * from bars union all select * from bars", BARS))
+def _(spark, sf_dir):
+    path = scratch(spark, "market")
+    whole = bars(spark, sf_dir)
+    for mode in ("fail", "append", "replace", "append"):
+        S.save_table(whole, path, mode)
+    return spark.read.parquet(path)
+
+
 @check("s5_retrieve_by_ticker", sql(
     "select * from bars where ticker = '3-MEDIUM' order by trade_date", BARS))
 def _(spark, sf_dir):

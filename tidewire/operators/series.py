@@ -34,7 +34,7 @@ def with_positions(
 ) -> DataFrame:
     """Add ``_pos`` (0-based place in the ticker's series) and ``_n`` (the series' length).
 
-    ``period`` maps the first order column to a coarser, monotone one, here the year: at most 366
+    Rows without ticker or date have no place and are dropped. ``period`` maps the first order column to a coarser, monotone one, here the year: at most 366
     rows of a daily series. For intraday series pass a day: ``"to_date({})"``.
     """
     keys = ", ".join(key)

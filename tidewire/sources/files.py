@@ -86,6 +86,13 @@ def save_to_db(df: DataFrame, url: str, table: str, mode: str = "append", **opti
     df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(TABLE_MODES[mode]).save()
 
 
+def save_table(df: DataFrame, path: str, mode: str = "append") -> None:
+    """S4 for a table in files, with the same rules for a table that exists already."""
+    if mode not in TABLE_MODES:
+        raise ValueError(f"mode is one of {sorted(TABLE_MODES)}")
+    write_table(df, path, TABLE_MODES[mode])
+
+
 def read_from_db(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """S5's database form; filters on the result are pushed into the query."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
