@@ -78,7 +78,11 @@ def _with_places(values: DataFrame) -> DataFrame:
             F.sum("_rows").over(by_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_smaller"),
     )
-    inside = Window.partitionBy("feature", "bin", "sub").orderBy("v")
+    inside = (
+        Window.partitionBy("feature", "bin", "sub")
+        .orderBy("v")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     placed = cut.withColumn("_here", F.sum("same").over(inside))
     return (
         placed.join(totals, ["feature", "bin", "sub"])
@@ -104,10 +108,9 @@ def exact_quantiles(
         F.collect_set(F.struct("p", "place")).alias("spots")
     )
     values = (
-        binned.join(F.broadcast(wanted.select("feature", "bin")), ["feature", "bin"], "left_semi")
-        .groupBy("feature", "bin", "v")
+        binned.join(F.broadcast(wanted), ["feature", "bin"])
+        .groupBy("feature", "bin", "v", "before", "low", "high", "n", "spots")
         .agg(F.count("*").alias("same"))
-        .join(F.broadcast(wanted), ["feature", "bin"])
     )
     picked = (
         _with_places(values)
