@@ -731,11 +731,19 @@ def _(spark, sf_dir):
     return key_and(e3(spark, sf_dir), "news_count", *_E3_SHOWN, "`ticker_2-HIGH`")
 
 
-@check("e3_hybrid_sequences")
+@check("e3_hybrid_sequences", sql(
+    f"""select split, ticker, trade_date, 20 as steps, 15 as features, 8 as news_features,
+        {r('target_forward_return', 'y')}
+        from (select *, row_number() over (partition by split, ticker order by trade_date) as place
+              from split_bars) where place > 20""",
+    *MARKET_CTES, STATIONARY, NEWS, SCORED, DAILY, MAPPED, AGG, E3,
+    _bounds(20).replace("from bars", "from model_rows"), recursive=True))
 def _(spark, sf_dir):
     scaled = P.scaled_splits(e3(spark, sf_dir))
     seqs = P.hybrid_sequences(scaled)
-    return seqs.select(
-        "split", "ticker", "trade_date", F.size("seq").alias("steps"), F.size("tech").alias("features"),
-        F.size("news_vec").alias("news_features"), "y",
+    return rounded(
+        seqs.select(
+            "split", "ticker", "trade_date", F.size("seq").alias("steps"),
+            F.size("tech").alias("features"), F.size("news_vec").alias("news_features"), "y",
+        )
     )
