@@ -168,3 +168,12 @@ def test_keep_first_is_a_dedupe(spark, picks):
     for i, m, t, title, _ in rows:
         want.setdefault((m, t, title), i)
     assert sorted(r.news_id for r in out) == sorted(want.values())
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "news")
+    articles(spark, (1, 0, "A", "t", None)).write.parquet(path)
+    out = N.between_days(spark.read.parquet(path), "2024-05-01", "2024-05-02").select("news_id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(pub_time," in plan and "LessThan(pub_time," in plan
+    assert "ReadSchema: struct<news_id:bigint,pub_time:timestamp_ntz>" in plan
