@@ -8,11 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import exact_blocks, mixing, packing, simhash_grid
+from tidewire.llm import exact_blocks, mixing, packing, simhash_grid, toxicity
 from tidewire.llm.queries import PACKING_TOKENIZER
 from tidewire.session import materialise
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model learned from the labels scores below its threshold."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest id."""
     return exact_blocks.drop_copies(docs)
@@ -34,6 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
     ("exact_dedup", exact_dedup),
     ("simhash_near_dedup", near_dedup),
     ("source_mixing", mix_sources),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewire.llm import exact_blocks, mixing, packing, simhash_grid
+from tidewire.llm import exact_blocks, mixing, packing, simhash_grid, toxicity
+from tidewire.llm.text import remainder
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -14,6 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.scores(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_grid.near_groups(_table(spark, sf_dir, "documents"))
     return groups.select(
@@ -37,6 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op8_source_mixing": op8_source_mixing,
