@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewire.llm import exact_blocks, mixing, packing, simhash_grid, toxicity
+from tidewire.llm import exact_blocks, language, mixing, packing, quality_forest, simhash_grid, toxicity
 from tidewire.llm.text import remainder
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,18 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id").drop("row")
 
 
+def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_forest.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select(F.col("id").alias("doc_id"), *quality_forest.BASE, "base_failed", "kept", "anomaly")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.detect(docs, language.train(docs)).withColumnRenamed("id", "doc_id")
+    held_out = (remainder("doc_id", language.FOLDS) == language.HELD_OUT).alias("held_out")
+    return found.select("doc_id", held_out, F.col("lang").alias("lang_pred"), "score", F.size("spans").alias("n_spans"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -53,6 +65,8 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_quality_forest": op6_quality_forest,
+    "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
