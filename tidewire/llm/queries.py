@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewire.llm import exact_blocks, language, mixing, packing, quality_forest, simhash_grid, toxicity
+from tidewire.llm import chat_trees, exact_blocks, language, mixing, packing, quality_forest, secret_spans, simhash_grid, toxicity
 from tidewire.llm.text import remainder
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id").drop("row")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans.scan(_table(spark, sf_dir, "documents"))
+    counts = [
+        secret_spans.number_of(F.col("base"), kind).alias(f"n_{name}")
+        for kind, (name, *_) in enumerate(secret_spans.KINDS[: secret_spans.GENERIC])
+    ]
+    base = F.sha2(secret_spans.spans_text(F.col("base")), 256).alias("base_sha256")
+    return found.select(F.col("id").alias("doc_id"), *counts, base, secret_spans.spans_text(F.col("spans")).alias("spans"), "n_live", "n_copied")
+
+
 def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_forest.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select(F.col("id").alias("doc_id"), *quality_forest.BASE, "base_failed", "kept", "anomaly")
@@ -56,6 +66,22 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = [(-7, i, role, "\\### Assistant: </turn> ok") for i, role in enumerate(("user", "assistant"))]
+    turns = turns.unionByName(spark.createDataFrame(tricky, turns.schema))
+    read = chat_trees.read_back(chat_trees.formatted_paths(chat_trees.turn_nodes(turns)))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        F.col("tree_id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_blocks.exact_groups(_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -65,13 +91,53 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_secret_scan": op5_secret_scan,
     "op6_quality_forest": op6_quality_forest,
     "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
+    "op9_chat_trees": op9_chat_trees,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SECRET_PATTERNS = ((_ASSIGN, 2, 6), ("AKIA[A-Z0-9]+", 0, 20), ("[0-9a-f]+", 0, 24), ("[A-Za-z0-9+/_=-]+", 0, 20))
+_SECRET_KINDS = "\n    union all ".join(
+    f"""select doc_id, source, {k} as kind, {least} as least, regexp_extract_all(t, '{pattern}', 0) as found,
+        regexp_extract_all(t, '{pattern}', {group}) as inner_values, string_split_regex(t, '{pattern}') as gaps from texts"""
+    for k, (pattern, group, least) in enumerate(_SECRET_PATTERNS)
+)
+
 ORACLES = {
+    "op5_secret_scan": f"""
+with texts as (select doc_id, source, coalesce(text, '') as t from documents),
+raw as ({_SECRET_KINDS}),
+each as (
+    select doc_id, source, kind, least, unnest(inner_values) as value, unnest(found) as hit,
+           unnest(gaps[:len(found)]) as gap, generate_subscripts(found, 1) as i
+    from raw where len(found) > 0),
+placed as (
+    select *, sum(length(gap) + length(hit)) over (partition by doc_id, kind order by i rows unbounded preceding)::bigint as stop
+    from each),
+spans as (select doc_id, source, kind, value, stop - length(hit) as start, stop from placed where length(value) >= least),
+candidates as (
+    select * from spans s where kind < 3 or (
+        regexp_matches(value, '[0-9]') and regexp_matches(value, '[a-z]') and regexp_matches(value, '[A-Z]')
+        and not exists (select 1 from spans b where b.doc_id = s.doc_id and b.kind < 3 and s.start < b.stop and b.start < s.stop))),
+owners as (select value, count(distinct coalesce(source, '')) as owners from candidates group by value),
+told as (
+    select c.*, owners >= 3 as copied, ['assign', 'access', 'hex', 'generic'][kind + 1] || ':' || start || ':' || stop as span
+    from candidates c join owners using (value) where kind < 3 or owners < 3),
+per_doc as (
+    select doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access,
+           count(*) filter (where kind = 2) as n_hex,
+           coalesce(string_agg(span, ',' order by start, kind) filter (where kind < 3), '') as base,
+           string_agg(span, ',' order by start, kind) as spans,
+           count(*) filter (where not copied) as n_live, count(*) filter (where copied) as n_copied
+    from told group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live,
+       coalesce(n_copied, 0) as n_copied
+from documents d left join per_doc using (doc_id)""",
     "op8_source_mixing": r"""
 with recursive docs as (
     select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
@@ -102,6 +168,23 @@ select doc_id, size, source_size, target,
        (size * (sure + case when target - source_size * sure > 0 and upto - size / 2 <= target - source_size * sure
                             then 1 else 0 end))::bigint as taken
 from ranked""",
+    "op9_chat_trees": r"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+    union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized as (
+    select *, length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) as body,
+           length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) as head
+    from turns),
+whole as (
+    select conv_id, count(*) as n_turns,
+           string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as lines,
+           coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as loss,
+           sum(4 + head + 2 + body + 8)::bigint as formatted_chars
+    from sized group by conv_id)
+select conv_id, n_turns, sha256(lines) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars
+from whole""",
     "op10_exact_dedup": """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
        row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept,
