@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewire.llm import chat_trees, exact_blocks, language, mixing, packing, quality_forest, secret_spans, simhash_grid, toxicity
+from tidewire.llm import attention_lm, chat_trees, exact_blocks, language, mixing, packing, quality_forest, secret_spans, simhash_grid, toxicity
 from tidewire.llm.text import remainder
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+SUBWORD_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id").drop("row")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(_table(spark, sf_dir, "documents"), SUBWORD_RANKS).withColumnRenamed("id", "doc_id").drop("row")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans.scan(_table(spark, sf_dir, "documents"))
     counts = [
@@ -91,6 +96,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_forest": op6_quality_forest,
     "op7_language_id": op7_language_id,
