@@ -131,13 +131,13 @@ candidates as (
         and not exists (select 1 from spans b where b.doc_id = s.doc_id and b.kind < 3 and s.start < b.stop and b.start < s.stop))),
 owners as (select value, count(distinct coalesce(source, '')) as owners from candidates group by value),
 told as (
-    select c.*, owners >= 3 as copied, ['assign', 'access', 'hex', 'generic'][kind + 1] || ':' || start || ':' || stop as span
-    from candidates c join owners using (value) where kind < 3 or owners < 3),
+    select c.*, owners >= 3 as copied, kind < 3 or owners < 3 as shown, ['assign', 'access', 'hex', 'generic'][kind + 1] || ':' || start || ':' || stop as span
+    from candidates c join owners using (value)),
 per_doc as (
     select doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access,
            count(*) filter (where kind = 2) as n_hex,
            coalesce(string_agg(span, ',' order by start, kind) filter (where kind < 3), '') as base,
-           string_agg(span, ',' order by start, kind) as spans,
+           string_agg(span, ',' order by start, kind) filter (where shown) as spans,
            count(*) filter (where not copied) as n_live, count(*) filter (where copied) as n_copied
     from told group by doc_id)
 select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,

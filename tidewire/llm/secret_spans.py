@@ -123,9 +123,9 @@ def scan(
     one = one.select("row", "repository", "owner", F.sha2("span.value", 256).alias("value_hash"), "span.kind", "span.start", "span.end")
     counts = materialise(ownership(one), "secret-owners")
     judged = with_ownership(one.drop("repository", "owner"), counts).withColumn("copied", F.col("owners") >= copied_owners)
-    told = judged.where(~F.col("copied") | (F.col("kind") < GENERIC))
-    per_row = told.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("told"),
+    told = F.when(~F.col("copied") | (F.col("kind") < GENERIC), F.struct("start", "kind", "end"))
+    per_row = judged.groupBy("row").agg(
+        F.sort_array(F.collect_list(told)).alias("told"),
         F.count_if(~F.col("copied")).alias("n_live"),
         F.count_if("copied").alias("n_copied"),
     )
