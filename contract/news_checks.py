@@ -83,7 +83,7 @@ def _(spark, sf_dir):
 
 @check("x10_trim_lower", sql("select news_id, lower(trim(title)) as title from news", NEWS))
 def _(spark, sf_dir):
-    return news(spark, sf_dir).select("news_id", F.lower(F.trim("title")).alias("title"))
+    return news(spark, sf_dir).select("news_id", X.trimmed_lower(F.col("title")).alias("title"))
 
 
 @check("x11_english_filter", sql("select news_id, title, summary from english", NEWS, ENGLISH))
@@ -165,7 +165,7 @@ def _(spark, sf_dir):
 @check("p4_drop_columns", sql(
     "select news_id, pub_time, ticker, title, summary from news", NEWS))
 def _(spark, sf_dir):
-    return news(spark, sf_dir).drop("sentiment_score")
+    return N.drop_columns(news(spark, sf_dir), "sentiment_score")
 
 
 @check("p7_fill_zero", sql(
@@ -263,13 +263,12 @@ def _(spark, sf_dir):
     """select d.trade_date from (select distinct trade_date from bars) d
        where d.trade_date not in (select cast(pub_time as date) from news)""", BARS, NEWS))
 def _(spark, sf_dir):
-    days = news(spark, sf_dir).select(F.to_date("pub_time").alias("trade_date")).distinct()
-    return bars(spark, sf_dir).select("trade_date").distinct().join(days, "trade_date", "left_anti")
+    return N.date_difference(bars(spark, sf_dir), news(spark, sf_dir), "trade_date", "pub_time")
 
 
 @check("u6_sort", sql("select * from bars order by trade_date, ticker", BARS))
 def _(spark, sf_dir):
-    return bars(spark, sf_dir).orderBy("trade_date", "ticker")
+    return N.in_order(bars(spark, sf_dir), "trade_date", "ticker")
 
 
 # --- joins ---
@@ -306,11 +305,13 @@ def _(spark, sf_dir):
 @check("j3_missing_dates_by_ticker", sql(
     """select t.ticker, cast(d as date) as day
        from range(timestamp '1995-01-01', timestamp '2002-01-01', interval 1 day) r(d)
-       cross join (select distinct ticker from news) t
+       cross join (select distinct ticker from news union select 'NOT STORED' as ticker) t
        where not exists (select 1 from news n
          where n.ticker = t.ticker and cast(n.pub_time as date) = cast(d as date))""", NEWS))
 def _(spark, sf_dir):
-    return N.missing_days(news(spark, sf_dir), "pub_time", "1995-01-01", "2001-12-31", ["ticker"])
+    seen = news(spark, sf_dir)
+    wanted = seen.select("ticker").unionByName(spark.createDataFrame([("NOT STORED",)], "ticker string"))
+    return N.missing_days(seen, "pub_time", "1995-01-01", "2001-12-31", ["ticker"], groups=wanted)
 
 
 @check("j4_side_by_side", sql(
@@ -329,15 +330,18 @@ def _(spark, sf_dir):
 
 
 @check("j7_near_titles", sql(
-    """select news_id, title from english e where not exists (
-         select 1 from english b where b.ticker = e.ticker
+    """select news_id, title from untitled e where not exists (
+         select 1 from untitled b where b.ticker = e.ticker
            and cast(b.pub_time as date) = cast(e.pub_time as date)
            and (b.pub_time, b.news_id) < (e.pub_time, e.news_id)
            and abs(length(b.title) - length(e.title)) * 10 <= greatest(length(b.title), length(e.title))
            and levenshtein(lower(b.title), lower(e.title)) * 10
-             <= greatest(length(b.title), length(e.title)))""", NEWS, ENGLISH))
+             <= greatest(length(b.title), length(e.title)))""", NEWS, ENGLISH,
+    "untitled as (select * replace (case when news_id % 7 <> 0 then title end as title) from english)"))
 def _(spark, sf_dir):
-    return drop_near_titles(N.english_news(news(spark, sf_dir))).select("news_id", "title")
+    english = N.english_news(news(spark, sf_dir))
+    untitled = english.withColumn("title", F.when(F.col("news_id") % 7 != 0, F.col("title")))
+    return drop_near_titles(untitled).select("news_id", "title")
 
 
 # --- roll-up and mapping ---

@@ -80,10 +80,13 @@ def _settled(pairs: DataFrame, titles: DataFrame, share: float) -> DataFrame:
 
 
 def drop_near_titles(df: DataFrame, share: float = 0.9, tie_break: str = "news_id") -> DataFrame:
-    """J7 on a news table with unique ``tie_break``; earlier means smaller (pub_time, tie_break)."""
+    """J7 on a news table with unique ``tie_break``; earlier means smaller (pub_time, tie_break).
+
+    A row without a title is like no other and stays.
+    """
     if not 0.9 <= share <= 1:
         raise ValueError("the filter is laid out for similarities from 0.9 to 1")
-    placed = df.select(
+    placed = df.filter(F.col("title").isNotNull()).select(
         F.to_date("pub_time").alias("day"),
         "ticker",
         F.lower("title").alias("low"),
@@ -109,8 +112,7 @@ def drop_near_titles(df: DataFrame, share: float = 0.9, tie_break: str = "news_i
     )
     near_any = _settled(other_pairs, titles, share)
     kept = titles.select("id").join(near_leader.unionByName(near_any), "id", "left_anti")
-    return (
-        df.withColumn("id", F.struct("pub_time", F.col(tie_break).alias("n")))
-        .join(kept, "id", "left_semi")
-        .drop("id")
-    )
+    own = F.struct("pub_time", F.col(tie_break).alias("n"))
+    titled = df.filter(F.col("title").isNotNull()).withColumn("id", own)
+    stays = titled.join(kept, "id", "left_semi").drop("id")
+    return stays.unionByName(df.filter(F.col("title").isNull()))

@@ -35,6 +35,23 @@ def add_column(df: DataFrame, name: str, value) -> DataFrame:
     return df.select(q(head), F.lit(value).alias(name), *[q(c) for c in tail])
 
 
+def drop_columns(df: DataFrame, *names: str) -> DataFrame:
+    """Without the named columns; names that are not there are an error, not a silent no-op."""
+    require_columns(df, list(names))
+    return df.drop(*names)
+
+
+def in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """Sorted at the sink, NULLs first."""
+    return df.orderBy(*[q(c) for c in columns])
+
+
+def date_difference(left: DataFrame, right: DataFrame, column: str, other: str) -> DataFrame:
+    """The distinct dates of ``left.column`` that are not among the days of ``right.other``."""
+    days = right.select(F.to_date(q(other)).alias(column)).distinct()
+    return left.select(q(column)).distinct().join(days, column, "left_anti")
+
+
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the smallest by ``order`` (which must be a total order).
 
@@ -98,10 +115,16 @@ def clean_news(
 
 
 def missing_days(
-    df: DataFrame, column: str, start: str, end: str, by: Sequence[str] = ()
+    df: DataFrame,
+    column: str,
+    start: str,
+    end: str,
+    by: Sequence[str] = (),
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """Calendar days of [start, end] without a row, per ``by`` group if given.
 
+    ``groups`` (the ``by`` columns) names the groups, seen or not; by default those in ``df``.
     The day list is as long as the period, whatever the size of ``df``.
     """
     seen = df.select(*by, F.to_date(F.col(column)).alias("day")).distinct()
@@ -109,7 +132,7 @@ def missing_days(
         F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
     ).alias("day")
     if by:
-        wanted = df.select(*by).distinct().select(*by, span)
+        wanted = (df if groups is None else groups).select(*by).distinct().select(*by, span)
     else:
         wanted = df.sparkSession.range(1).select(span)
     return wanted.join(seen, [*by, "day"], "left_anti")

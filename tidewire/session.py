@@ -60,5 +60,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     a re-read instead of a re-run.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Folders that ``materialise`` has written in this process.
+_WRITTEN: list[str] = []
+
+
+def discard_materialised(spark: SparkSession, after: int = 0) -> int:
+    """Remove what ``materialise`` has written since the process had written ``after`` folders.
+
+    Call it once results are stored: frames that read the intermediates no longer work. Returns
+    how many folders went. ``written_so_far`` gives the mark to pass.
+    """
+    gone = _WRITTEN[after:]
+    configuration = spark._jsc.hadoopConfiguration()
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(configuration).delete(where, True)
+    del _WRITTEN[after:]
+    return len(gone)
+
+
+def written_so_far() -> int:
+    return len(_WRITTEN)

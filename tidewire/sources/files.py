@@ -32,12 +32,12 @@ def read_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
     schema: T.StructType = NEWS_RAW,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """One read over all paths with a declared schema, quotes as in RFC 4180.
 
-    A file with line breaks inside quotes cannot be split; pass ``multi_line=False`` for large
-    files that have none.
+    Files are split over tasks. Line breaks inside quotes need ``multi_line=True``, which reads
+    each file in one task: keep such files small, or collect them without line breaks.
     """
     reader = spark.read.schema(schema).options(**CSV_OPTIONS).option("multiLine", multi_line)
     return empty_to_null(reader.csv([paths] if isinstance(paths, str) else list(paths)))
@@ -67,14 +67,41 @@ def write_table(
 
 
 def _keep_input_safe(df: DataFrame, path: str, mode: str) -> None:
+    """Refuse to overwrite a folder that the plan reads, lies in, or has read files below."""
     if mode != "overwrite":
         return
-    target = path.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
-    for name in df.inputFiles():
-        if target in name.split("://")[-1].removeprefix("file:"):
+    target = _steps(path)
+    for root in scan_roots(df):
+        own = _steps(root)
+        shared = min(len(own), len(target))
+        if own[:shared] == target[:shared]:
             raise ValueError(f"refusing to overwrite {path}: it is an input of the same plan")
 
 
+def _steps(path: str) -> list[str]:
+    """The names a path consists of, without scheme and host."""
+    scheme, colon, rest = path.partition(":")
+    plain = rest if colon and "/" not in scheme else path
+    if plain.startswith("//"):
+        plain = plain[2:].partition("/")[2]
+    return [step for step in plain.split("/") if step]
+
+
+def scan_roots(df: DataFrame) -> list[str]:
+    """Paths that the plan's file scans were given: as many as the reader named, not its files."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    roots = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            continue
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() == "HadoopFsRelation":
+            paths = relation.location().rootPaths()
+            roots += [paths.apply(k).toString() for k in range(paths.size())]
+    return roots
+
+
 # How a table that exists already is treated, and the writer's word for it.
 TABLE_MODES = {"append": "append", "replace": "overwrite", "fail": "error"}
 

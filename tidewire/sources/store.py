@@ -65,22 +65,33 @@ def append_to_store(
     if existing is None:
         fresh = keep_first(batch, NEWS_KEY, tie_break)
     else:
-        touched = existing.filter(F.col(MONTH).isin(months)).select(*NEWS_KEY)
+        within = F.col(MONTH).isin([m for m in months if m is not None])
+        if None in months:
+            within = within | F.col(MONTH).isNull()
+        touched = existing.filter(within).select(*NEWS_KEY)
         fresh = new_rows(touched, batch, tie_break)
     fresh.hint("rebalance", F.col(MONTH)).write.mode("append").partitionBy(MONTH).parquet(path)
 
 
 def backfill_days(
-    stored: DataFrame, start: str, end: str, max_empty: int = 7, column: str = "pub_time"
+    stored: DataFrame,
+    start: str,
+    end: str,
+    max_empty: int = 7,
+    column: str = "pub_time",
+    tickers: DataFrame | None = None,
 ) -> DataFrame:
     """Per ticker the days still to fetch, as a walk from ``end`` back to ``start`` finds them.
 
+    ``tickers`` (a column ticker) names what to collect, stored before or not; by default only
+    what is stored. A ticker without a stored row is walked until the empty days run out.
     The walk ends after more than ``max_empty`` empty days in a row; stored days are not listed.
     A window per ticker holds one row per day of the period, whatever the store's size.
     """
     seen = stored.select("ticker", F.to_date(column).alias("day"), F.lit(1).alias("has")).distinct()
     span = F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    days = stored.select("ticker").distinct().select("ticker", span.alias("day"))
+    wanted = stored.select("ticker") if tickers is None else tickers.select("ticker")
+    days = wanted.distinct().select("ticker", span.alias("day"))
     newest_first = Window.partitionBy("ticker").orderBy(F.col("day").desc())
     upto = newest_first.rowsBetween(Window.unboundedPreceding, 0)
     newer = newest_first.rowsBetween(Window.unboundedPreceding, -1)

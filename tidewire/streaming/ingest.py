@@ -9,21 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tidewire.operators.news import NEWS_KEY
 from tidewire.plans.scoring import Scorer, score_texts
 from tidewire.sources.store import append_to_store
 
 
-EVENT_TIME = "_event_time"
-
-
-def _timed(news: DataFrame, delay: str) -> DataFrame:
-    """Watermarks need a zoned time; wall-clock time is UTC, as is the session."""
-    return news.withColumn(EVENT_TIME, F.col("pub_time").cast("timestamp")).withWatermark(
-        EVENT_TIME, delay
-    )
-
-
 def landed(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 1000) -> DataFrame:
     """A landing folder of Parquet files as a stream."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
@@ -35,21 +24,20 @@ def stream_upsert(
     store: str,
     checkpoint: str,
     tie_break: Sequence[str] = ("news_id",),
-    delay: str = "7 days",
 ) -> StreamingQuery:
     """Land new articles in the store; rows already stored win.
 
-    Repeats within the watermark are dropped from the stream's own state, older ones by the
-    store's key check. A batch that is run again after a failure adds nothing twice.
+    No watermark: feeds are collected from new to old, so an article may be of any age. Repeats
+    inside a batch and against the store are settled by the store itself, from the months the
+    batch touches. A batch that is run again after a failure adds nothing twice.
     """
-    once = _timed(news, delay).dropDuplicatesWithinWatermark(list(NEWS_KEY)).drop(EVENT_TIME)
 
     def merge(batch: DataFrame, _: int) -> None:
         held = batch.persist()  # read twice below; lost pieces are computed again
         append_to_store(held, store, tie_break)
         held.unpersist()
 
-    return _start(once, merge, checkpoint)
+    return _start(news, merge, checkpoint)
 
 
 def stream_scores(
@@ -74,33 +62,38 @@ def stream_scores(
     return _start(news, score, checkpoint)
 
 
-def daily_means(
-    news: DataFrame, scores: dict[str, Column], delay: str = "1 day"
-) -> DataFrame:
-    """A1 over tumbling days; a day comes out once the watermark has passed its end."""
-    means = [F.avg(c).alias(name) for name, c in scores.items()]
-    closed = (
-        _timed(news, delay)
-        .groupBy(F.window(EVENT_TIME, "1 day").alias("w"), "ticker")
-        .agg(*means, F.count("*").alias("news_count"))
-    )
-    return closed.select(
-        F.to_date("w.start").alias("news_date"), "ticker", *scores, "news_count"
+def daily_parts(news: DataFrame, scores: dict[str, Column]) -> DataFrame:
+    """Sums that add up to A1: per (news_date, ticker) each score's sum and count, and all rows."""
+    parts = []
+    for name, score in scores.items():
+        parts += [F.sum(score).alias(f"{name}_sum"), F.count(score).alias(f"{name}_rows")]
+    return news.groupBy(F.to_date("pub_time").alias("news_date"), "ticker").agg(
+        *parts, F.count("*").alias("news_count")
     )
 
 
 def stream_daily(
-    news: DataFrame, scores: dict[str, Column], store: str, checkpoint: str, delay: str = "1 day"
+    news: DataFrame, scores: dict[str, Column], store: str, checkpoint: str
 ) -> StreamingQuery:
-    """T3 into Parquet files."""
-    return (
-        daily_means(news, scores, delay)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(store)
-    )
+    """Roll up each batch into a folder of its own, replaced as a whole if it is run again.
+
+    A day is never closed: late articles add to it, and the newest day is there at once.
+    ``read_daily`` gives the means.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        daily_parts(batch, scores).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    return _start(news, write, checkpoint)
+
+
+def read_daily(spark: SparkSession, store: str, scores: Sequence[str]) -> DataFrame:
+    """T3's table so far, as A1 over all articles: one row per day and ticker."""
+    means = [
+        F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_rows")).alias(name) for name in scores
+    ]
+    parts = spark.read.parquet(store)
+    return parts.groupBy("news_date", "ticker").agg(*means, F.sum("news_count").alias("news_count"))
 
 
 def _start(df: DataFrame, sink, checkpoint: str) -> StreamingQuery:
