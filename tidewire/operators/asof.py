@@ -51,43 +51,44 @@ def asof_forward(
 ) -> DataFrame:
     """For each left row the earliest right date at or after its own, in the same group.
 
-    Rows without one get NULL. Work is split by (group, year): inside a year a running last-seen
-    value over descending dates finds the match; a row after its year's last right date takes
-    the first right date of a later year, from a table with one row per group and year. So no
-    task holds a whole group, and no range join is needed.
+    Rows without one get NULL. Only the distinct (group, date) pairs of the left side are
+    matched: inside a year, at most 366 of them, a running last-seen value over descending dates
+    finds the match; a date after its year's last right date takes the first right date of a
+    later year. The left rows then join their date, an equi-join that run-time statistics can
+    split. So no task holds a group's rows, and no range join is needed.
     """
     by = list(by)
-    dates = right.select(*by, F.col(right_on).alias(output)).distinct()
-    points = left.withColumns({"_date": F.col(left_on), "_is_right": F.lit(0)}).unionByName(
-        dates.withColumns({"_date": F.col(output), "_is_right": F.lit(1)}),
-        allowMissingColumns=True,
+    right_dates = right.select(*by, F.col(right_on).alias("_date")).distinct()
+    left_dates = left.select(*by, F.col(left_on).alias("_date")).distinct()
+    points = (
+        left_dates.withColumn("_right", F.lit(None).cast("date"))
+        .unionByName(right_dates.withColumn("_right", F.col("_date")))
+        .groupBy(*by, "_date")
+        .agg(F.max("_right").alias("_right"))
+        .withColumn("_period", F.year("_date"))
     )
-    points = points.withColumn("_period", F.year("_date"))
-    back = (
-        Window.partitionBy(*by, "_period")
-        .orderBy(F.col("_date").desc(), F.col("_is_right").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    newest_first = Window.partitionBy(*by, "_period").orderBy(F.col("_date").desc())
+    in_year = F.last("_right", ignorenulls=True).over(
+        newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    matched = points.withColumn("_in_year", F.last(output, ignorenulls=True).over(back)).filter(
-        F.col("_is_right") == 0
+    first_of_year = points.groupBy(*by, "_period").agg(F.min("_right").alias("_first"))
+    later = Window.partitionBy(*by).orderBy(F.col("_period").desc())
+    next_year = first_of_year.select(
+        *by,
+        "_period",
+        F.last("_first", ignorenulls=True)
+        .over(later.rowsBetween(Window.unboundedPreceding, -1))
+        .alias("_next"),
     )
-    years = (
-        left.select(*by, F.year(left_on).alias("_period"), F.lit(None).cast("date").alias("_d"))
-        .unionByName(dates.select(*by, F.year(output).alias("_period"), F.col(output).alias("_d")))
-        .groupBy(*by, "_period")
-        .agg(F.min("_d").alias("_first"))
-    )
-    later = (
-        Window.partitionBy(*by)
-        .orderBy(F.col("_period").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    next_year = years.select(
-        *by, "_period", F.last("_first", ignorenulls=True).over(later).alias("_next")
-    )
-    return matched.join(next_year, [*by, "_period"], "left").select(
-        *[q(c) for c in left.columns], F.coalesce("_in_year", "_next").alias(output)
+    matched = (
+        points.withColumn("_in_year", in_year)
+        .join(next_year, [*by, "_period"], "left")
+        .select(
+            *[q(c).alias(f"_{c}") for c in by], "_date", F.coalesce("_in_year", "_next").alias(output)
+        )
     )
+    same = [q(c) == F.col(f"_{c}") for c in by] + [q(left_on) == F.col("_date")]
+    return left.join(matched, same, "left").select(*[q(c) for c in left.columns], q(output))
 
 
 def map_to_market_days(daily: DataFrame, market: DataFrame) -> DataFrame:
