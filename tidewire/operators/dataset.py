@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +16,14 @@ from tidewire.schemas import q
 
 
 def split_by_row(df: DataFrame, train: float = 0.9) -> DataFrame:
-    """M1: the first ``int(n * train)`` rows of each series are train, the rest test."""
+    """M1: the first ``int(n * train)`` rows of each series are train, the rest test.
+
+    Rows without ticker or date belong to neither (NULL).
+    """
     numbered = with_positions(df)
     cut = F.floor(F.col(COUNT) * F.lit(train))
     return numbered.withColumn(
-        "split", F.when(F.col(POS) < cut, "train").otherwise("test")
+        "split", F.when(F.col(POS) < cut, "train").when(F.col(POS) >= cut, "test")
     ).drop(POS, COUNT)
 
 
@@ -107,14 +111,16 @@ def fit_scaler(train: DataFrame, columns: Sequence[str], method: str = "robust")
 
 
 def apply_scaler(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """M4: ``(x - center) / scale``; the few parameters travel as one scalar."""
-    table = fitted.agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", F.struct("center", "scale"))))
-    ).scalar()
-    done = {}
-    for c in columns:
-        one = F.try_element_at(F.col("_fitted"), F.lit(c))
-        done[c] = F.try_divide(q(c) - one["center"], one["scale"])
+    """M4: ``(x - center) / scale``; the parameters travel as one row with a field per column."""
+    parts = []
+    for i, c in enumerate(columns):
+        own = F.col("feature") == c
+        parts += [F.max(F.when(own, F.col("center"))).alias(f"c{i}"), F.max(F.when(own, F.col("scale"))).alias(f"s{i}")]
+    table = fitted.agg(*parts).select(F.struct("*")).scalar()
+    done = {
+        c: F.try_divide(q(c) - F.col("_fitted")[f"c{i}"], F.col("_fitted")[f"s{i}"])
+        for i, c in enumerate(columns)
+    }
     return df.withColumn("_fitted", table).withColumns(done).drop("_fitted")
 
 
@@ -126,26 +132,35 @@ def sequences(
     target: str = TARGET,
     group: Sequence[str] = ("ticker",),
     extra: Sequence[str] = (),
+    horizon_gap: int = 1,
+    vectors: Sequence[str] = (),
 ) -> DataFrame:
-    """Per label row the ``lookback`` feature rows before it.
+    """Per label row the ``lookback`` feature rows up to ``horizon_gap`` rows before it.
 
     ``seq`` is array<array<double>>, ``tech`` its last step, ``news_vec`` the news of that last
-    step, ``y`` the label row's target (so one day lies between window and label's own day).
-    Series shorter than the look-back give nothing. For several splits put ``split`` in ``group``.
+    step, ``y`` the label row's target. With a gap of 1 the window ends the day before the label's
+    own day, with 0 on that day. ``vectors`` names ML vector columns whose values follow the
+    features in each step. Series shorter than the look-back give nothing. For several splits put
+    ``split`` in ``group``.
     """
-    vector = F.array(*[q(c).cast("double") for c in features])
+    if horizon_gap < 0:
+        raise ValueError("the window cannot end after the label's row")
+    parts = [F.array(*[q(c).cast("double") for c in features]), *[vector_to_array(q(c)) for c in vectors]]
+    vector = F.concat(*parts) if vectors else parts[0]
+    last = -horizon_gap
 
     def columns(w):
-        out = {"seq": F.collect_list(vector).over(w.rowsBetween(-lookback, -1))}
+        out = {"seq": F.collect_list("_step").over(w.rowsBetween(last - lookback + 1, last))}
         if news:
-            out["news_vec"] = F.lag(F.array(*[q(c).cast("double") for c in news]), 1).over(w)
+            out["news_vec"] = F.lag(F.array(*[q(c).cast("double") for c in news]), horizon_gap).over(w)
         return out
 
-    needed = list(
-        dict.fromkeys([*group, "ticker", "trade_date", *features, *news, target, *extra])
-    )
+    needed = list(dict.fromkeys([*group, "ticker", "trade_date", *news, target, *extra]))
     wide = over_series(
-        df.select(*[q(c) for c in needed]), columns, before=lookback, key=group
+        df.select(*[q(c) for c in needed], vector.alias("_step")),
+        columns,
+        before=lookback + horizon_gap - 1,
+        key=group,
     )
     full = wide.filter(F.size("seq") == lookback)
     return full.select(

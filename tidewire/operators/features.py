@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,25 +180,12 @@ def sentiment_features(df: DataFrame, kind: str = "llm", fill: bool = True) -> D
     return fill_zero(out) if fill else out
 
 
-MAX_LEVELS = 1000
+def one_hot(df: DataFrame, levels: Sequence[str], column: str = "ticker") -> DataFrame:
+    """One 0/1 int column ``<column>_<value>`` per given value, names sorted; the column is kept.
 
-
-def distinct_levels(df: DataFrame, column: str = "ticker") -> list[str]:
-    """The values of a column with few of them, sorted."""
-    found = [r[0] for r in df.select(column).distinct().limit(MAX_LEVELS + 1).collect()]
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} values in {column}: use one_hot_vector")
-    return sorted(v for v in found if v is not None)
-
-
-def one_hot(df: DataFrame, column: str = "ticker", levels: Sequence[str] | None = None) -> DataFrame:
-    """One 0/1 int column ``<column>_<value>`` per value, names sorted; the column is kept.
-
-    Without ``levels`` the distinct values are read, which is only done up to 1000 of them: more
-    columns than that make no sensible schema, use ``one_hot_vector``.
+    The values are part of the schema, so the caller names them. Where they are not known, or
+    too many for columns, ``one_hot_vector`` takes them from the data.
     """
-    if levels is None:
-        levels = distinct_levels(df, column)
     return df.select(
         "*",
         *[
@@ -209,11 +196,13 @@ def one_hot(df: DataFrame, column: str = "ticker", levels: Sequence[str] | None
 
 
 def one_hot_vector(df: DataFrame, column: str = "ticker", output: str = "ticker_vec") -> DataFrame:
-    """X27 for many values: a sparse vector column instead of one column per value."""
-    stages = Pipeline(
-        stages=[
-            StringIndexer(inputCol=column, outputCol="_index", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=["_index"], outputCols=[output], dropLast=False),
-        ]
-    )
-    return stages.fit(df).transform(df).drop("_index")
+    """X27 for any number of values: a sparse vector column; for NULL it is all zeros."""
+    indexer = StringIndexer(
+        inputCol=column, outputCol="_index", stringOrderType="alphabetAsc", handleInvalid="keep"
+    ).fit(df)
+    if not indexer.labels:
+        return df.withColumn(output, array_to_vector(F.array().cast("array<double>")))
+    # The place that the indexer keeps for NULL is the one that is left out.
+    encoder = OneHotEncoder(inputCols=["_index"], outputCols=[output], dropLast=True)
+    indexed = indexer.transform(df)
+    return encoder.fit(indexed).transform(indexed).drop("_index")

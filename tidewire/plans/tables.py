@@ -18,6 +18,7 @@ from tidewire.schemas import (
 from tidewire.session import materialise
 
 SCORES = {"llm": ANSWER_SCORES, "finbert": CLASSIFIER_SCORES}
+TICKER_VECTOR = "ticker_vec"
 NEWS_FEATURES = {"llm": ANSWER_FEATURES, "finbert": CLASSIFIER_FEATURES}
 
 
@@ -41,10 +42,16 @@ def feature_table(bars: DataFrame, daily: DataFrame, kind: str = "llm") -> DataF
 
 
 def model_table(
-    bars: DataFrame, daily: DataFrame, kind: str = "llm", strict: bool = False
+    bars: DataFrame,
+    daily: DataFrame,
+    kind: str = "llm",
+    strict: bool = False,
+    tickers: Sequence[str] | None = None,
 ) -> DataFrame:
     """E3 up to the split: feature table, sentiment features, NULL to 0, one-hot tickers.
 
+    With ``tickers`` named, each becomes a 0/1 column ``ticker_<name>``; otherwise the vector
+    column ``ticker_vec`` holds all that occur, however many.
     ``strict`` drops days without news, as a drop over all columns after the join does.
     Sentiment memory counts rows that are left, so the table is written before it is numbered.
     """
@@ -52,8 +59,10 @@ def model_table(
     if strict:
         joined = features.drop_incomplete(joined)
     stored = materialise(joined, "features")
-    levels = features.distinct_levels(stored)
-    return features.one_hot(features.sentiment_features(stored, kind), levels=levels)
+    remembered = features.sentiment_features(stored, kind)
+    if tickers is not None:
+        return features.one_hot(remembered, tickers)
+    return features.one_hot_vector(remembered, output=TICKER_VECTOR)
 
 
 def scaled_splits(
@@ -72,11 +81,13 @@ def scaled_splits(
 
 def hybrid_sequences(scaled: DataFrame, kind: str = "llm", lookback: int = 20) -> DataFrame:
     """Look-back sequences with technical, one-hot and news parts, split by split."""
-    one_hot = sorted(c for c in scaled.columns if c.startswith("ticker_"))
+    vectors = [TICKER_VECTOR] if TICKER_VECTOR in scaled.columns else []
+    named = sorted(c for c in scaled.columns if c.startswith("ticker_") and c != TICKER_VECTOR)
     return dataset.sequences(
         scaled,
-        [*TECHNICAL_FEATURES, *one_hot],
+        [*TECHNICAL_FEATURES, *named],
         lookback,
+        vectors=vectors,
         news=NEWS_FEATURES[kind],
         group=("split", "ticker"),
         extra=("close_px",),

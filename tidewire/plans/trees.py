@@ -21,9 +21,9 @@ SEED = 42
 class TreePreset:
     """Settings of one boosted-tree model.
 
-    Spark's trees have no L1/L2 terms, sample columns per node instead of per tree, and stop on a
-    validation tolerance instead of a patience in rounds; results are comparable, not equal.
-    ``validation`` names the split that early stopping watches.
+    Spark's trees have no L1/L2 terms and sample columns per node instead of per tree; results are
+    comparable, not equal. ``validation`` names the split that early stopping watches, ``patience``
+    the rounds without gain after which it stops.
     """
 
     trees: int
@@ -33,13 +33,13 @@ class TreePreset:
     row_sample: float
     column_sample: float
     validation: str = "val"
-    tolerance: float = 0.0001
+    patience: int = 30
 
 
 # The model settings, by name.
 PRESETS = {
-    "single": TreePreset(500, 0.06, 4, 1, 0.8, 0.7, "test"),
-    "single_hybrid": TreePreset(500, 0.03, 4, 1, 0.8, 0.5, "test"),
+    "single": TreePreset(500, 0.06, 4, 1, 0.8, 0.7, "test", 20),
+    "single_hybrid": TreePreset(500, 0.03, 4, 1, 0.8, 0.5, "test", 20),
     "multi": TreePreset(1000, 0.01, 3, 15, 0.3, 0.3),
     "multi_hybrid": TreePreset(1000, 0.01, 3, 15, 0.5, 0.5),
     "classifier_sentiment": TreePreset(1000, 0.01, 3, 15, 0.5, 0.5),
@@ -62,8 +62,6 @@ def regressor(p: TreePreset, label: str = TARGET, checkpoint_every: int = 10) ->
         minInstancesPerNode=p.min_rows,
         subsamplingRate=p.row_sample,
         featureSubsetStrategy=str(p.column_sample),
-        validationIndicatorCol="is_validation",
-        validationTol=p.tolerance,
         checkpointInterval=checkpoint_every,
         seed=SEED,
     )
@@ -75,29 +73,54 @@ def fit_trees(
     settings: TreePreset,
     label: str = TARGET,
 ) -> PipelineModel:
-    """M5: fit on the ``train`` rows with early stopping on the validation rows.
-
-    ``df`` has a ``split`` column. ``features`` is a list of numeric columns, or the name of one
-    array column (hybrid rows).
+    """M5: fit on the ``train`` rows, stop early by the validation rows, keep the best round.
+
+    Spark's own early stopping measures the gain against a fixed small error, which ends at once
+    on targets of the size of returns. Here models of growing length are fitted (equal seeds give
+    equal first trees) until the error on the validation rows has not gained for ``patience``
+    rounds, or all trees are there; then the model of the best length is fitted. ``df`` has a
+    ``split`` column; pass a written table, as it is read many times. ``features`` is a list of
+    numeric columns, or the name of one array column (hybrid rows). Without validation rows all
+    trees are kept.
     """
-    used = df.filter(F.col("split").isin("train", settings.validation)).withColumn(
-        "is_validation", F.col("split") == settings.validation
-    )
-    stages = []
-    if isinstance(features, str):
-        used = used.withColumn("features", array_to_vector(F.col(features).cast("array<double>")))
-    else:
-        stages.append(VectorAssembler(inputCols=list(features), outputCol="features"))
-    return Pipeline(stages=[*stages, regressor(settings, label)]).fit(used)
+    train = _with_array(df.filter(F.col("split") == "train"), features)
+    watched = _with_array(df.filter(F.col("split") == settings.validation), features)
+    stages = [] if isinstance(features, str) else [_assembler(features)]
+    length, best = min(settings.trees, 2 * settings.patience), settings.trees
+    has_rows = not watched.isEmpty()
+    while True:
+        model = Pipeline(stages=[*stages, regressor(replace(settings, trees=length), label)]).fit(train)
+        if not has_rows:
+            if length == settings.trees:
+                return model
+            length = settings.trees
+            continue
+        data = model.stages[0].transform(watched) if stages else watched
+        errors = trees_of(model).evaluateEachIteration(data, "squared")
+        best = 1 + min(range(len(errors)), key=errors.__getitem__)
+        if best + settings.patience <= length or length == settings.trees:
+            break
+        length = min(settings.trees, 4 * length)
+    if best == length:
+        return model
+    return Pipeline(stages=[*stages, regressor(replace(settings, trees=best), label)]).fit(train)
+
+
+def _assembler(features: Sequence[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=list(features), outputCol="features")
+
+
+def _with_array(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
+    if not isinstance(features, str):
+        return df
+    return df.withColumn("features", array_to_vector(F.col(features).cast("array<double>")))
 
 
 def predict(
     model: PipelineModel, df: DataFrame, features: Sequence[str] | str, label: str = TARGET
 ) -> DataFrame:
     """Predictions table: the rows with ``y`` and ``y_hat``."""
-    if isinstance(features, str):
-        df = df.withColumn("features", array_to_vector(F.col(features).cast("array<double>")))
-    return model.transform(df).drop("features").withColumn("y", F.col(label))
+    return model.transform(_with_array(df, features)).drop("features").withColumn("y", F.col(label))
 
 
 def trees_of(model: PipelineModel) -> GBTRegressionModel:
@@ -124,9 +147,9 @@ def feature_importance(
 def training_curve(
     model: PipelineModel, df: DataFrame, features: Sequence[str], settings: TreePreset, label: str = TARGET
 ) -> DataFrame:
-    """M8: RMSE and MAE per boosting round on the train and the validation rows."""
+    """M8: RMSE and MAE per boosting round kept, on the train and the validation rows."""
     trees = trees_of(model)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    assembler = _assembler(features)
     rows = []
     for name, part in (("train", "train"), ("val", settings.validation)):
         data = assembler.transform(df.filter(F.col("split") == part)).select(
