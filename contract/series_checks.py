@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contract.adapters import BARS, NEWS, SCORED, bars, r, rounded, table
+from contract.adapters import BARS, NEWS, SCORED, TICKERS, bars, r, rounded, table
 from contract.news_checks import AGG, DAILY, MAPPED, daily
 from contract.registry import check, sql
 from tidewire.operators import asof as J
@@ -50,6 +50,31 @@ def indicator(spark, sf_dir, *groups):
     return I.add_indicators(bars(spark, sf_dir), groups)
 
 
+def gapped_indicator(spark, sf_dir, *groups):
+    """Indicators over bars of which some lack a price or the volume."""
+    day = F.dayofmonth("trade_date")
+    holes = bars(spark, sf_dir).withColumns(
+        {
+            "close_px": F.when(day != 13, F.col("close_px")),
+            "high_px": F.when(day != 17, F.col("high_px")),
+            "volume": F.when(day != 21, F.col("volume")),
+        }
+    )
+    return I.add_indicators(holes, groups)
+
+
+# The same bars; an oracle works on the whole ones, the others have no indicators.
+GAPPED = BARS.replace("bars as (", "all_bars as (") + """,
+bars as (select * from all_bars where day(trade_date) not in (13, 17, 21))"""
+
+
+def gapped(select: str, names, *ctes: str, recursive: bool = False) -> str:
+    nulls = ", ".join(f"null::double as {n}" for n in names)
+    both = f"""select * from ({select}) union all by name
+      select ticker, trade_date, {nulls} from all_bars where day(trade_date) in (13, 17, 21)"""
+    return sql(both, GAPPED, *ctes, recursive=recursive)
+
+
 def numbered_returns(spark, sf_dir):
     return I.add_indicators(bars(spark, sf_dir), ["change"], keep=(POS, COUNT))
 
@@ -249,41 +274,41 @@ def _(spark, sf_dir):
     return key_and(out, "obv_change_normalized")
 
 
-@check("w14_sma_50_200", sql(
+@check("w14_sma_50_200", gapped(
     f"""select ticker, trade_date, {r(full('avg', 'close_px', 50), 'sma_50')},
-        {r(full('avg', 'close_px', 200), 'sma_200')} from bars""", BARS))
+        {r(full('avg', 'close_px', 200), 'sma_200')} from bars""", ["sma_50", "sma_200"]))
 def _(spark, sf_dir):
-    return key_and(indicator(spark, sf_dir, "sma"), "sma_50", "sma_200")
+    return key_and(gapped_indicator(spark, sf_dir, "sma"), "sma_50", "sma_200")
 
 
 # --- recurrences ---
 
 
-@check("w15_ema_20", sql(
+@check("w15_ema_20", gapped(
     f"""select n.ticker, n.trade_date, {r('e.e', 'ema_20', PRICE)} from numbered n
-        left join ema20 e using (ticker, i)""", BARS, NUMBERED, CLOSES, EMA20, recursive=True))
+        left join ema20 e using (ticker, i)""", ["ema_20"], NUMBERED, CLOSES, EMA20, recursive=True))
 def _(spark, sf_dir):
-    return key_and(indicator(spark, sf_dir, "ema"), "ema_20", digits=PRICE)
+    return key_and(gapped_indicator(spark, sf_dir, "ema"), "ema_20", digits=PRICE)
 
 
-@check("w16_rsi_14", sql(
+@check("w16_rsi_14", gapped(
     f"""select n.ticker, n.trade_date,
         {r('case when g.e + l.e <> 0 then 100 * g.e / (g.e + l.e) end', 'rsi_14')}
         from numbered n left join gain14 g on g.ticker = n.ticker and g.i = n.i - 1
         left join loss14 l on l.ticker = n.ticker and l.i = n.i - 1""",
-    BARS, NUMBERED, GAINS, LOSSES, GAIN14, LOSS14, recursive=True))
+    ["rsi_14"], NUMBERED, GAINS, LOSSES, GAIN14, LOSS14, recursive=True))
 def _(spark, sf_dir):
-    return key_and(indicator(spark, sf_dir, "rsi"), "rsi_14")
+    return key_and(gapped_indicator(spark, sf_dir, "rsi"), "rsi_14")
 
 
-@check("w17_macd", sql(
+@check("w17_macd", gapped(
     f"""select n.ticker, n.trade_date, {r('m.x', 'macd', PRICE)},
         {r('m.x - s.e', 'macd_hist', PRICE)}, {r('s.e', 'macd_signal', PRICE)} from numbered n
         left join line m on m.ticker = n.ticker and m.i = n.i - 25
         left join signal9 s on s.ticker = n.ticker and s.i = n.i - 25""",
-    BARS, NUMBERED, CLOSES, EMA12, EMA26, LINE, SIGNAL, recursive=True))
+    ["macd", "macd_hist", "macd_signal"], NUMBERED, CLOSES, EMA12, EMA26, LINE, SIGNAL, recursive=True))
 def _(spark, sf_dir):
-    return key_and(indicator(spark, sf_dir, "macd"), "macd", "macd_hist", "macd_signal", digits=PRICE)
+    return key_and(gapped_indicator(spark, sf_dir, "macd"), "macd", "macd_hist", "macd_signal", digits=PRICE)
 
 
 BANDS = f"""bands as (
@@ -291,26 +316,26 @@ BANDS = f"""bands as (
     {full('stddev_pop', 'close_px', 20)} as s from bars)"""
 
 
-@check("w18_bollinger", sql(
+@check("w18_bollinger", gapped(
     f"""select ticker, trade_date, {r('m - 2 * s', 'bbl_20_2', PRICE)}, {r('m', 'bbm_20_2', PRICE)},
         {r('m + 2 * s', 'bbu_20_2', PRICE)}, {r('100 * 4 * s / m', 'bbb_20_2', PRICE)},
-        {r('(close_px - (m - 2 * s)) / nullif(4 * s, 0)', 'bbp_20_2', PRICE)} from bands""", BARS, BANDS))
+        {r('(close_px - (m - 2 * s)) / nullif(4 * s, 0)', 'bbp_20_2', PRICE)} from bands""", I.OUTPUTS["bbands"], BANDS))
 def _(spark, sf_dir):
-    return key_and(indicator(spark, sf_dir, "bbands"), *I.OUTPUTS["bbands"], digits=PRICE)
+    return key_and(gapped_indicator(spark, sf_dir, "bbands"), *I.OUTPUTS["bbands"], digits=PRICE)
 
 
-@check("w19_atr_14", sql(
+@check("w19_atr_14", gapped(
     f"""select n.ticker, n.trade_date, {r('a.e', 'atr_14', PRICE)} from numbered n
         left join atr14 a on a.ticker = n.ticker and a.i = n.i - 1""",
-    BARS, NUMBERED, RANGES, ATR14, recursive=True))
+    ["atr_14"], NUMBERED, RANGES, ATR14, recursive=True))
 def _(spark, sf_dir):
-    return key_and(indicator(spark, sf_dir, "atr"), "atr_14", digits=PRICE)
+    return key_and(gapped_indicator(spark, sf_dir, "atr"), "atr_14", digits=PRICE)
 
 
-@check("w20_obv", sql(
-    f"select ticker, trade_date, {r('obv', 'obv')} from obv", BARS, NUMBERED, OBV))
+@check("w20_obv", gapped(
+    f"select ticker, trade_date, {r('obv', 'obv')} from obv", ["obv"], NUMBERED, OBV))
 def _(spark, sf_dir):
-    return key_and(indicator(spark, sf_dir, "obv"), "obv")
+    return key_and(gapped_indicator(spark, sf_dir, "obv"), "obv")
 
 
 STOCH = f"""raw_k as (
@@ -321,11 +346,11 @@ smooth_k as (select ticker, trade_date, {full('avg', 'k0', 3)} as k1 from raw_k)
 stoch as (select ticker, trade_date, k1 as stoch_k, {full('avg', 'k1', 3)} as stoch_d from smooth_k)"""
 
 
-@check("w21_stochastic", sql(
+@check("w21_stochastic", gapped(
     f"select ticker, trade_date, {r('stoch_k', 'stoch_k')}, {r('stoch_d', 'stoch_d')} from stoch",
-    BARS, STOCH))
+    ["stoch_k", "stoch_d"], STOCH))
 def _(spark, sf_dir):
-    return key_and(indicator(spark, sf_dir, "stoch"), "stoch_k", "stoch_d")
+    return key_and(gapped_indicator(spark, sf_dir, "stoch"), "stoch_k", "stoch_d")
 
 
 MARKET = f"""market as (
@@ -530,7 +555,7 @@ def _(spark, sf_dir):
        (ticker = '4-NOT SPECIFIED')::int as "ticker_4-NOT SPECIFIED",
        (ticker = '5-LOW')::int as "ticker_5-LOW" from bars""", BARS))
 def _(spark, sf_dir):
-    return Z.one_hot(bars(spark, sf_dir).select("ticker", "trade_date"))
+    return Z.one_hot(bars(spark, sf_dir).select("ticker", "trade_date"), TICKERS)
 
 
 # --- splits and scaling ---
@@ -603,10 +628,10 @@ def _(spark, sf_dir):
 _SEQ_FEATURES = ("open_px", "close_px", "volume")
 
 
-def _sequence_sql(lookback: int, group: str) -> str:
+def _sequence_sql(lookback: int, group: str, gap: int = 1) -> str:
     w = (
-        f"(partition by {group} order by trade_date rows between {lookback} preceding "
-        "and 1 preceding)"
+        f"(partition by {group} order by trade_date rows between {lookback - 1 + gap} preceding "
+        f"and {gap} preceding)"
     )
     return f"""seq as (
   select {group}, trade_date, close_px as y, count(*) over {w} as n_steps,
@@ -643,6 +668,14 @@ def _(spark, sf_dir):
     return _reduced(seqs, "ticker")
 
 
+@check("w22_sequences_no_gap", sql(
+    _sequence_select("ticker", False).format(lookback=10), BARS,
+    _sequence_sql(10, "ticker", gap=0).format(source="bars")))
+def _(spark, sf_dir):
+    seqs = D.sequences(bars(spark, sf_dir), _SEQ_FEATURES, 10, target="close_px", horizon_gap=0)
+    return _reduced(seqs, "ticker")
+
+
 @check("w23_sequences_multi", sql(
     _sequence_select("split, ticker", False).format(lookback=20), BARS, _bounds(20),
     _sequence_sql(20, "split, ticker").format(source="split_bars")))
@@ -720,7 +753,7 @@ _E3_SHOWN = [c for c in _E3_COLUMNS if c not in ("llm_impact_magnitude", "llm_un
 
 
 def e3(spark, sf_dir):
-    return P.model_table(bars(spark, sf_dir), daily(spark, sf_dir))
+    return P.model_table(bars(spark, sf_dir), daily(spark, sf_dir), tickers=TICKERS)
 
 
 @check("e3_model_table", sql(

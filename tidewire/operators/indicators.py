@@ -1,7 +1,8 @@
 """Technical indicators over daily bars (W1-W4, W14-W21), one pass for any subset.
 
-Bars need non-NULL prices and volume and one row per (ticker, trade_date). Definitions that
-depend on the indicator library of the original are fixed here: EMAs start from the plain mean
+Bars have one row per (ticker, trade_date). A bar that lacks a price or the volume counts as no
+bar: it is in no frame, recurrences go on from the bar before it to the next, and its own
+indicators are NULL. Definitions that depend on the indicator library of the original are fixed here: EMAs start from the plain mean
 of their first values; Wilder averages (RSI, ATR) likewise, with a = 1/n; the true range starts
 at the second bar; Bollinger bands use the population deviation; OBV starts at +volume.
 """
@@ -37,6 +38,7 @@ REACH = {
     "obv": 1,
     "stoch": 17,
 }
+BAR_COLUMNS = ("open_px", "high_px", "low_px", "close_px", "volume")
 FAST, SLOW, SIGNAL = 12, 26, 9
 OUTPUTS = {
     "change": ("daily_change_usd", "daily_return_pct"),
@@ -63,9 +65,7 @@ def add_indicators(
     ``keep`` may name the position helpers, so that a next step need not number rows again.
     """
     groups = set(groups)
-    require_columns(
-        bars, ["ticker", "trade_date", "open_px", "high_px", "low_px", "close_px", "volume"]
-    )
+    require_columns(bars, ["ticker", "trade_date", *BAR_COLUMNS])
     scans: list[Scan] = []
     if "ema" in groups:
         scans.append(Scan("_ema20", 1 - _ema(20)))
@@ -87,9 +87,10 @@ def add_indicators(
         scans.append(Scan("_obv", 1.0))
 
     rows = block_rows([s.factor for s in scans])
-    laid = with_blocks(with_positions(bars), before=max(REACH[g] for g in groups), rows=rows)
+    numbered = with_positions(bars, complete=BAR_COLUMNS)
+    laid = with_blocks(numbered, before=max(REACH[g] for g in groups), rows=rows)
 
-    # Frames over the raw columns. Bars have no NULLs, so a frame is full from its n-th row on.
+    # Frames over the raw columns. Numbered bars have no NULLs: a frame is full from its n-th row on.
     by = f"partition by ticker, {BLOCK} order by {POS}"
     step = [f"lag(close_px) over ({by}) as _prev"]
     if "sma" in groups:

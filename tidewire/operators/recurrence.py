@@ -154,6 +154,7 @@ def ewma_adjusted(
         f"{running(weight, factor, rows, key)} as _local__den",
     )
     full = complete(local, [Scan("_num", factor), Scan("_den", factor)], key, rows)
-    return full.withColumn(name, F.expr("try_divide(_num, _den)")).drop(
+    value = f"case when {POS} is not null then try_divide(_num, _den) end"
+    return full.withColumn(name, F.expr(value)).drop(
         "_num", "_den", BLOCK, CORE
     )

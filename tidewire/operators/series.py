@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1024
 POS, COUNT, BLOCK, CORE = "_pos", "_n", "_blk", "_core"
+NO_PLACE = "!"
 HELPERS = (POS, COUNT, BLOCK, CORE, "_period")
 
 
@@ -31,15 +32,24 @@ def with_positions(
     key: Sequence[str] = ("ticker",),
     order: Sequence[str] = ("trade_date",),
     period: str = "year({})",
+    complete: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``_pos`` (0-based place in the ticker's series) and ``_n`` (the series' length).
 
-    Rows without ticker or date have no place and are dropped. ``period`` maps the first order column to a coarser, monotone one, here the year: at most 366
-    rows of a daily series. For intraday series pass a day: ``"to_date({})"``.
+    Rows that lack a ticker, a date or one of the ``complete`` columns are kept, but have no place
+    (both NULL): they are in no frame, and everything computed over the series is NULL for them.
+    ``period`` maps the first order column to a coarser one whose text sorts in the same order,
+    here the year: at most 366 rows of a daily series. For intraday series pass a day:
+    ``"to_date({})"``.
     """
     keys = ", ".join(key)
-    staged = df.withColumn("_period", F.expr(period.format(order[0])))
-    counts = staged.groupBy(*key, "_period").agg(F.count("*").alias("_rows"))
+    whole = " and ".join(f"`{c}` is not null" for c in (*key, *order, *complete))
+    # Rows without a place are spread over many parts, however many there are.
+    parted = f"concat('{NO_PLACE}', {_part(df)})"
+    named = f"case when {whole} then cast({period.format(order[0])} as string) else {parted} end"
+    staged = df.withColumn("_period", F.expr(named))
+    has_place = f"not startswith(_period, '{NO_PLACE}')"
+    counts = staged.filter(has_place).groupBy(*key, "_period").agg(F.count("*").alias("_rows"))
     offsets = counts.selectExpr(
         *key,
         "_period",
@@ -50,13 +60,21 @@ def with_positions(
     inside = f"row_number() over (partition by {keys}, _period order by {', '.join(order)})"
     return (
         staged.selectExpr("*", f"{inside} as _rn")
-        .join(offsets, [*key, "_period"])
+        .join(offsets, [*key, "_period"], "left")
         .selectExpr(
-            *[f"`{c}`" for c in df.columns], f"_offset + _rn - 1 as {POS}", COUNT
+            *[f"`{c}`" for c in df.columns],
+            f"case when {has_place} then _offset + _rn - 1 end as {POS}",
+            COUNT,
         )
     )
 
 
+def _part(df: DataFrame, parts: int = 1024) -> str:
+    """A number below ``parts`` from a row's plain columns."""
+    plain = [f"`{f.name}`" for f in df.schema.fields if not f.dataType.simpleString().startswith("map")]
+    return f"pmod(xxhash64({', '.join(plain)}), {parts})"
+
+
 def with_blocks(
     df: DataFrame, before: int = 0, after: int = 0, rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -64,13 +82,15 @@ def with_blocks(
 
     Rows with ``_core`` false are copies: compute over them, then drop them.
     """
-    own = f"{POS} div {rows}"
+    # Rows without a place go to blocks of their own, below zero.
+    own = f"coalesce({POS} div {rows}, -1 - {_part(df)})"
     if before == 0 and after == 0:
         return df.selectExpr("*", f"{own} as {BLOCK}", f"true as {CORE}")
     first = f"greatest({POS} - {after}, 0) div {rows}"
     last = f"least({POS} + {before}, {COUNT} - 1) div {rows}"
-    spread = df.selectExpr("*", f"explode(sequence({first}, {last})) as {BLOCK}")
-    return spread.selectExpr("*", f"{BLOCK} = {own} as {CORE}")
+    blocks = f"case when {POS} is null then array({own}) else sequence({first}, {last}) end"
+    spread = df.selectExpr("*", f"explode({blocks}) as {BLOCK}")
+    return spread.selectExpr("*", f"{POS} is null or {BLOCK} = {POS} div {rows} as {CORE}")
 
 
 def block_window(key: Sequence[str] = ("ticker",)) -> WindowSpec:
@@ -100,7 +120,8 @@ def over_series(
     """
     numbered = df if POS in df.columns else with_positions(df, key, order)
     laid = with_blocks(numbered, before, after)
-    laid = laid.withColumns(columns(block_window(key)))
+    made = columns(block_window(key))
+    laid = laid.withColumns({n: F.when(F.col(POS).isNotNull(), c) for n, c in made.items()})
     return drop_helpers(core_rows(laid), keep)
 
 
