@@ -50,9 +50,24 @@ def _(spark, sf_dir):
     return rounded(E.information_coefficient(stored_predictions(spark, sf_dir)).select("ic", "n"))
 
 
-@check("a12_information_coefficient_p")
+# The p-value as a ratio of integrals: with x = sin(a) the density of a correlation of n pairs
+# without dependence is cos(a)^(n - 3). Simpson's rule over a = u / sqrt(n), where it is not tiny.
+P_VALUE = """measured as (select abs(corr(ry, rp)) as ic, count(*) as n from ranked),
+steps as (
+  select ic, n, i, case when i in (0, 20000) then 1 when i % 2 = 1 then 4 else 2 end as weight,
+    least(pi() / 2, 40 / sqrt(n)) as reach
+  from measured, range(0, 20001) t(i)),
+areas as (
+  select sum(weight * exp((n - 3) * ln(greatest(cos(reach * i / 20000), 1e-300)))) * any_value(reach) as whole,
+    sum(case when asin(ic) < reach then weight * exp((n - 3) * ln(greatest(cos(
+      asin(ic) + (reach - asin(ic)) * i / 20000), 1e-300))) end) * any_value(reach - asin(ic)) as tail
+  from steps)"""
+
+
+@check("a12_information_coefficient_p", sql(
+    f"select {r('coalesce(tail / whole, 0)', 'p_value')} from areas", PREDICTIONS, RANKS, P_VALUE))
 def _(spark, sf_dir):
-    return E.information_coefficient(stored_predictions(spark, sf_dir))
+    return rounded(E.information_coefficient(stored_predictions(spark, sf_dir)).select("p_value"))
 
 
 def _vectors(spark, sf_dir, size: int):
@@ -69,11 +84,16 @@ def _(spark, sf_dir):
     return rounded(E.feature_correlation(_vectors(spark, sf_dir, 5), [f"f{i}" for i in range(5)]))
 
 
-@check("a14_dead_features", """select (var_pop(embedding[1]) = 0)::int + (var_pop(embedding[2]) = 0)::int
-  + (var_pop(embedding[3]) = 0)::int + 1 as dead_features, 4 as features from embeddings""")
+@check("a14_dead_features", """with spread as (
+    select i, var_pop(embedding[i]::double) = 0 as dead
+    from (select embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by i)
+  select count(*) filter (where dead) + 1 as dead_features, count(*) + 1 as features from spread""")
 def _(spark, sf_dir):
-    with_constant = _vectors(spark, sf_dir, 3).withColumn("f3", F.lit(0.5))
-    return E.dead_features(with_constant, ["f0", "f1", "f2", "f3"])
+    """Every position of the vector, and a constant beside."""
+    size = len(table(spark, sf_dir, "embeddings").first()["embedding"])
+    with_constant = _vectors(spark, sf_dir, size).withColumn("constant", F.lit(0.5))
+    out = E.dead_features(with_constant, [*[f"f{i}" for i in range(size)], "constant"])
+    return out.select(F.col("dead_features").cast("long"), F.col("features").cast("long"))
 
 
 THRESHOLDS = """thresholds as (

@@ -150,7 +150,7 @@ def test_division_by_zero_gives_null_and_drop(spark):
 
 def test_one_hot(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",)], "ticker string")
-    out = Z.one_hot(df)
+    out = Z.one_hot(df, ["b", "a"])
     assert out.columns == ["ticker", "ticker_a", "ticker_b"]
     assert Z.one_hot_vector(df).filter("ticker = 'b'").first().ticker_vec.toArray().tolist() == [0.0, 1.0]
 

@@ -30,7 +30,7 @@ def test_csv_quotes_lines_and_missing(spark, tmp_path):
     head = "pub_time,ticker,title,summary,sentiment_score\n"
     a.write_text(head + '2024-05-01 10:00:00,A,"He said ""no"", twice","two\nlines",0.5\n', encoding="utf-8")
     b.write_text(head + '2024-05-02 00:00:00,B,“x”,,nan\n2024-05-02 00:00:01,B,y,"",\n', encoding="utf-8")
-    rows = one_by_title(S.read_csv(spark, [str(a), str(b)]))
+    rows = one_by_title(S.read_csv(spark, [str(a), str(b)], multi_line=True))
     assert rows == {
         'He said "no", twice': (T0, "two\nlines", 0.5),
         "“x”": (dt.datetime(2024, 5, 2), None, None),

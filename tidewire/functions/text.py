@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,11 +16,10 @@ RARE_BLANKS = (
 COMMON_BLANKS = ("\n", "\t", "\r")
 BLANK_CLASS = r" \n\t\r" + RARE_BLANKS
 # The characters a title or summary may consist of, inside a regex class.
-ALLOWED_CLASS = (
-    r"a-zA-Z0-9" + BLANK_CLASS + r".,!?;:'\"’“”" + r"()\[\]{}" + r"\-–—_/\\" + r"$%&+*=#@"
-)
+ALLOWED_CLASS = BLANK_CLASS + r"""a-zA-Z0-9.,!?;:'"’“”()\[\]{}\-–—_/\\$%&+*=#@"""
 # The ASCII characters that are left out of it.
-FOREIGN_ASCII = r"\x{00}-\x{08}\x{0e}-\x{1b}\x{7f}<>^`|~"
+_ALLOWED = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), ALLOWED_CLASS) + "]")
+FOREIGN_ASCII = "".join(f"\\x{{{i:02x}}}" for i in range(128) if not _ALLOWED.match(chr(i)))
 # Curly quotes and what replaces them (the opening single quote stays).
 QUOTES = {"’": "'", "“": '"', "”": '"'}
 
@@ -53,6 +54,11 @@ def tidy(text: Column) -> Column:
     return F.trim(straighten_quotes(collapse_blanks(text)))
 
 
+def trimmed_lower(text: Column) -> Column:
+    """Without blanks at the ends, in lower case."""
+    return F.lower(F.trim(text))
+
+
 def is_plain_english(text: Column) -> Column:
     """X11: the whole text stays inside the allowed characters and is not blank; NULL is false.
 

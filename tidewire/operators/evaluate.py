@@ -101,7 +101,8 @@ def two_sided_p(r: Column, n: Column) -> Column:
         df = count - 2
         return _incomplete_beta(df / 2, 0.5, 1 - r_value * r_value)
 
-    return F.udf(p_value, "double")(r, n)
+    # One row: the result of the aggregate.
+    return F.udf(p_value, "double", useArrow=False)(r, n)
 
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
