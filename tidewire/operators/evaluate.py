@@ -34,13 +34,13 @@ def _direction() -> Column:
     return (F.avg(same.cast("double")) * 100).alias("directional_accuracy")
 
 
-def _backtest(days: int) -> list[Column]:
+def _backtest(days: int, ret: str = "ret", signal: str = "signal") -> list[Column]:
     per_year = TRADING_DAYS / days
-    mean, spread = F.avg("ret"), F.stddev_pop("ret")
+    mean, spread = F.avg(ret), F.stddev_pop(ret)
     moving = spread != 0
     zero = F.lit(0.0)
     return [
-        (F.avg((F.col("signal") != 0).cast("double")) * 100).alias("time_in_market"),
+        (F.avg((F.col(signal) != 0).cast("double")) * 100).alias("time_in_market"),
         F.when(moving, mean * per_year).otherwise(zero).alias("annualized_return"),
         F.when(moving, spread * math.sqrt(per_year)).otherwise(zero).alias("annualized_volatility"),
         F.when(moving, F.try_divide(mean * per_year, spread * math.sqrt(per_year)))
@@ -184,33 +184,24 @@ def percentile_sweep(
     percents: Sequence[int] = (70, 75, 80, 85, 90, 95),
     days: int = 5,
 ) -> DataFrame:
-    """The backtest for several upper percentiles (lower = 100 - upper), all in one pass."""
+    """The backtest for several upper percentiles (lower = 100 - upper), all in one pass.
+
+    Each percentile is a pair of columns beside the row, not a copy of it.
+    """
     probs = sorted({p / 100 for p in percents} | {(100 - p) / 100 for p in percents})
     qs = exact_quantiles(predictions, ["y_hat"], probs)
-    table = qs.agg(F.map_from_entries(F.collect_list(F.struct("p", "value")))).scalar()
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(p).alias("pct"), F.lit(p / 100).alias("hi"), F.lit((100 - p) / 100).alias("lo"))
-                for p in percents
-            ]
-        )
-    )
-    marked = (
-        predictions.withColumn("_cuts", table)
-        .select("y", "y_hat", "_cuts", rows.alias("c"))
-        .select("y", "y_hat", "_cuts", "c.*")
-        .withColumn(
-            "signal",
-            trading_signal(
-                F.col("y_hat"),
-                F.try_element_at("_cuts", F.col("hi")),
-                F.try_element_at("_cuts", F.col("lo")),
-            ),
-        )
-        .withColumn("ret", strategy_return(F.col("signal"), F.col("y")))
-    )
-    return marked.groupBy("pct").agg(*_backtest(days))
+    cuts = [F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"c{i}") for i, p in enumerate(probs)]
+    table = qs.agg(*cuts).select(F.struct("*")).scalar()
+
+    def cut(p: float) -> Column:
+        return F.col("_cuts")[f"c{probs.index(p)}"]
+
+    marked = predictions.select("y", "y_hat", table.alias("_cuts"))
+    signals = {f"signal_{p}": trading_signal(F.col("y_hat"), cut(p / 100), cut((100 - p) / 100)) for p in percents}
+    marked = marked.withColumns(signals)
+    marked = marked.withColumns({f"ret_{p}": strategy_return(F.col(f"signal_{p}"), F.col("y")) for p in percents})
+    rows = [F.struct(F.lit(p).alias("pct"), *_backtest(days, f"ret_{p}", f"signal_{p}")) for p in percents]
+    return marked.agg(F.array(*rows).alias("_all")).select(F.inline("_all"))
 
 
 def best_of_sweep(sweep: DataFrame) -> DataFrame:

@@ -44,8 +44,13 @@ def column_info(df: DataFrame) -> DataFrame:
     return out.withColumn("data_type", F.element_at(names, F.col("feature")))
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """A5: count, mean, sample deviation, min, exact quartiles, max per numeric column."""
+def describe(
+    df: DataFrame, columns: Sequence[str] | None = None, quartiles: Column | None = None
+) -> DataFrame:
+    """A5: count, mean, sample deviation, min, exact quartiles, max per numeric column.
+
+    ``quartiles`` is a map that another step has asked for already (see ``profile``).
+    """
     columns = numeric_columns(df) if columns is None else list(columns)
 
     def stats(c: Column) -> list[Column]:
@@ -58,7 +63,8 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
             F.max(x).alias("max"),
         ]
 
-    quartiles = quantile_map(exact_quantiles(df, columns, QUARTILES))
+    if quartiles is None:
+        quartiles = quantile_map(exact_quantiles(df, columns, QUARTILES))
     return (
         _per_column(df, columns, stats)
         .withColumn("_q", F.try_element_at(quartiles, F.col("feature")))
@@ -77,10 +83,13 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
 
 
-def outlier_percent(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def outlier_percent(
+    df: DataFrame, columns: Sequence[str] | None = None, quartiles: Column | None = None
+) -> DataFrame:
     """Share of all rows (also those with a NULL) outside the 1.5-IQR fences, in percent."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    quartiles = quantile_map(exact_quantiles(df, columns, (0.25, 0.75)))
+    if quartiles is None:
+        quartiles = quantile_map(exact_quantiles(df, columns, (0.25, 0.75)))
     fences = df.select(*[finite(q(c)).alias(c) for c in columns]).withColumn("_q", quartiles)
     flagged = []
     for c in columns:
@@ -126,11 +135,12 @@ def scaler_advice(profile: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """A5-A8 as one table, one row per numeric column."""
+    """A5-A8 as one table, one row per numeric column; the quartiles are found once."""
     columns = numeric_columns(df) if columns is None else list(columns)
+    quartiles = quantile_map(exact_quantiles(df, columns, QUARTILES))
     joined = (
-        describe(df, columns)
-        .join(outlier_percent(df, columns), "feature")
+        describe(df, columns, quartiles)
+        .join(outlier_percent(df, columns, quartiles), "feature")
         .join(skewness(df, columns), "feature")
     )
     return scaler_advice(joined)

@@ -42,20 +42,34 @@ def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _bin_totals(binned: DataFrame, rows: Column) -> DataFrame:
-    """Per (feature, bin): its range, rows in smaller bins, and rows of the feature in all."""
-    per_feature = Window.partitionBy("feature")
-    smaller = per_feature.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = binned.groupBy("feature", "bin").agg(
-        rows.alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")
+    """Per (feature, bin): its range, rows in smaller bins, and rows of the feature in all.
+
+    Bins are added up per power of two first; there are a few thousand of these at most, whatever
+    the data. The running sum over a feature only goes over them, and inside each over its own
+    ``STEPS`` bins, so no task holds all bins of a column.
+    """
+    counts = (
+        binned.withColumn("octave", F.floor(F.col("bin") / STEPS))
+        .groupBy("feature", "octave", "bin")
+        .agg(rows.alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
-    return counts.select(
+    per_feature = Window.partitionBy("feature")
+    smaller = per_feature.orderBy("octave").rowsBetween(Window.unboundedPreceding, -1)
+    octaves = counts.groupBy("feature", "octave").agg(F.sum("rows").alias("_rows"))
+    offsets = octaves.select(
         "feature",
-        "bin",
-        "rows",
-        "low",
-        "high",
-        F.coalesce(F.sum("rows").over(smaller), F.lit(0)).alias("before"),
-        F.sum("rows").over(per_feature).alias("n"),
+        "octave",
+        F.coalesce(F.sum("_rows").over(smaller), F.lit(0)).alias("_below"),
+        F.sum("_rows").over(per_feature).alias("n"),
+    )
+    inside = Window.partitionBy("feature", "octave").orderBy("bin")
+    here = F.sum("rows").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        counts.withColumn("_here", F.coalesce(here, F.lit(0)))
+        .join(offsets, ["feature", "octave"])
+        .select(
+            "feature", "bin", "rows", "low", "high", (F.col("_below") + F.col("_here")).alias("before"), "n"
+        )
     )
 
 
