@@ -28,7 +28,7 @@ END_ID = 1
 # Tasks whose open bins meet in one task of the next round.
 FAN_IN = 16
 # Words whose ids a worker keeps; beyond this it starts anew.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_200_000
 ENCODED_TOGETHER = 2048
 MARKS = b".,;:!?"
 # Scripts up to here are settled in every version of Unicode that the libraries may follow.
@@ -69,7 +69,8 @@ class WordIds:
 
     def _learn(self, words: set[bytes]) -> None:
         heads = {w: w.rstrip(MARKS) for w in words}
-        fresh = {w: str(w, "utf-8", "replace") for w in {*heads.values(), b""} - self.known.keys()}
+        known = self.known
+        fresh = {w: str(w, "utf-8", "replace") for w in {*heads.values(), b""} if w not in known}
         letters = [w for w, s in fresh.items() if self._plain(s)]
         for at in range(0, len(letters), ENCODED_TOGETHER):
             part = letters[at : at + ENCODED_TOGETHER]
@@ -78,10 +79,9 @@ class WordIds:
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             raw = ids.tobytes()
             starts = [0, *stops.tolist()[:-1]]
-            self.known.update(zip(part, [raw[a:b] for a, b in zip(starts, stops.tolist(), strict=True)], strict=True))
-        known = self.known
+            known.update(zip(part, [raw[a:b] for a, b in zip(starts, stops.tolist(), strict=True)], strict=True))
         composed = {w: w[len(head) :] for w, head in heads.items() if head in known and head != w}
-        rest = [w for w in {*words, *composed.values()} - composed.keys() - known.keys()]
+        rest = [w for w in {*words, *composed.values()} if w not in composed and w not in known]
         found = self.whole.encode_batch_fast([str(w, "utf-8", "replace") for w in rest], add_special_tokens=False)
         known.update((w, np.array(encoded.ids, "<u4").tobytes()) for w, encoded in zip(rest, found, strict=True))
         known.update([(w, known[heads[w]] + known[tail]) for w, tail in composed.items()])
@@ -92,7 +92,7 @@ class WordIds:
         # The tokenizer folds case itself; folding first only shortens the list of words. Special
         # tokens are matched before that, so texts that may hold one stay as they are.
         split = [split_words(t if b"<|" in t else fold_ascii(t)) for t in texts]
-        self._learn(set().union(*split) - self.known.keys())
+        self._learn(set().union(*split).difference(self.known))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
