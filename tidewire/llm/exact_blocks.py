@@ -23,34 +23,39 @@ TASK_SHIFT = 40
 
 
 def _name_runs(carried: list[str]):
-    """Task function: rows sorted by ``key`` get one name per run of equal keys.
+    """Task function: rows sorted by (``mark``, ``key``) get one name per run of equal keys.
 
-    Besides the rows it gives out the first and the last key of the task with their names
-    (``edge`` is set), so that a run which goes on in the next task can be joined up.
+    Besides the rows it gives out, with ``edge`` set, the keys that share the task's first or last
+    mark, and their names: only their runs can go on in another task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = (TaskContext.get().partitionId() << TASK_SHIFT) - 1
-        first = last = None
+        mark = last = None
+        started, first_done = False, False
+        edges: list[tuple[bytes, int]] = []
+        same_mark: list[tuple[bytes, int]] = []
         for batch in batches:
             names = []
-            for key in batch.column("key").to_pylist():
+            for here, key in zip(batch.column("mark").to_pylist(), batch.column("key").to_pylist(), strict=True):
+                if not started or here != mark:
+                    if started and not first_done:
+                        edges, first_done = same_mark, True
+                    mark, same_mark, started, last = here, [], True, None
                 if key != last:
                     name += 1
                     last = key
-                    if first is None:
-                        first = (key, name)
+                    same_mark.append((key, name))
                 names.append(name)
-            kept = [batch.column(c) for c in carried]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(names, pa.int64()), pa.nulls(len(names), pa.binary())],
+                [*(batch.column(c) for c in carried), pa.array(names, pa.int64()), pa.nulls(len(names), pa.binary())],
                 names=[*carried, "name", "edge"],
             )
-        if first is not None:
+        if started:
+            edges = edges + same_mark
             kinds = [batch.schema.field(c).type for c in carried]
-            edges = [first, (last, name)]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.nulls(2, kind) for kind in kinds), pa.array([n for _, n in edges], pa.int64()), pa.array([k for k, _ in edges], pa.binary())],
+                [*(pa.nulls(len(edges), kind) for kind in kinds), pa.array([n for _, n in edges], pa.int64()), pa.array([k for k, _ in edges], pa.binary())],
                 names=[*carried, "name", "edge"],
             )
 
@@ -60,18 +65,22 @@ def _name_runs(carried: list[str]):
 def name_by_sort(rows: DataFrame, order: str) -> DataFrame:
     """Give equal values of the binary column ``key`` the same integer ``name``.
 
-    Rows are range-partitioned by (``key``, ``order``): a key that many rows have is spread over as
-    many tasks as its size asks for, instead of one. Such a key gets one name per task first; the
-    smallest of them holds. ``key`` is not in the result. The result is a written table.
+    Rows are sorted by a 64-bit mark of the key, then the key itself, and range-partitioned by
+    (mark, ``order``): a key that many rows have is spread over as many tasks as its size asks
+    for, instead of one, and only marks go through the driver to find the ranges. Keys are always
+    compared whole, so equal marks of different keys do no harm. A key in several tasks gets one
+    name per task first; the smallest of them holds. ``key`` is not in the result, which is a
+    written table.
     """
     carried = [c for c in rows.columns if c != "key"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*carried).schema.fields)
-    dealt = rows.repartitionByRange("key", order).sortWithinPartitions("key")
-    named = dealt.select(*carried, "key").mapInArrow(_name_runs(carried), f"{kinds}, name long, edge binary")
+    marked = rows.withColumn("mark", F.xxhash64("key"))
+    dealt = marked.repartitionByRange("mark", order).sortWithinPartitions("mark", "key")
+    named = dealt.select(*carried, "mark", "key").mapInArrow(_name_runs(carried), f"{kinds}, name long, edge binary")
     named = materialise(named, "block-names")
     edges = named.where("edge is not null").select("edge", "name")
     whole = edges.groupBy("edge").agg(F.min("name").alias("first_name"))
-    # At most two rows per task of the sort: a bound that rows and texts do not move.
+    # The keys of two marks per task of the sort: a bound that rows and texts do not move.
     alias = edges.join(whole, "edge").where("name <> first_name").select("name", "first_name").distinct()
     return (
         named.where("edge is null")
