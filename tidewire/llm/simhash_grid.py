@@ -91,7 +91,10 @@ def near_edges(fps: DataFrame, max_bits: int = MAX_BITS, paired: int = PAIRED_ME
     """
     if max_bits not in (0, 1, 2):
         raise ValueError("the grid step of one on either side covers links of up to two bits")
-    entered = fps.select("fp", F.explode(grid_points(F.col("fp"))).alias("point"))
+    # A few bytes per fingerprint become up to 65 rows: deal them over all tasks first.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fps.select("fp").repartition(tasks, "fp")
+    entered = dealt.select("fp", F.explode(grid_points(F.col("fp"))).alias("point"))
     points = entered.groupBy("point").agg(
         F.count(F.lit(1)).alias("members"), F.min("fp").alias("u"), F.max("fp").alias("v")
     )
