@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.llm.text import map_batches, raw_text, remainder
+from tidewire.llm.text import drawn, map_batches, raw_text, remainder
 
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
@@ -231,8 +231,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not sizes:
         return Model([], np.zeros((0, 0)), np.zeros((0, 0), bool))
     rates = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))))
-    drawn = F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    counts = map_batches(rows.where(drawn < rates[F.col("lang")]).select("lang", "bytes"), _CountGrams, "lang string, kind string, slot int, n long")
+    counts = map_batches(rows.where(drawn("key", "language") < rates[F.col("lang")]).select("lang", "bytes"), _CountGrams, "lang string, kind string, slot int, n long")
     found = counts.groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in found})
     grams = np.full((1 << BUCKET_BITS, len(languages)), SMOOTHING)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.llm.text import BLANKS, map_batches, raw_text, split_words
+from tidewire.llm.text import BLANKS, drawn, map_batches, raw_text, split_words
 from tidewire.session import materialise
 
 SYMBOLS = b"#*$%&|<>"
@@ -22,7 +22,7 @@ WINDOW = 8
 # The base rules (fixed values): fewest words, and most words in repeated windows per hundred.
 LEAST_WORDS, MOST_REPEATED = 20, 30
 TREES, SAMPLE_PER_TREE = 100, 256
-# Rows the forest may be grown on, taken by a hash.
+# About so many rows the forests grow on, drawn by a hash.
 SAMPLE_ROWS = 20_000
 # The share of good labelled rows that the thresholds may reject together, and how many times the
 # share of good rows that of bad rows must be.
@@ -223,15 +223,17 @@ def judge(
 
     A row fails the base rules with fewer than 20 words, or with more than 30 of 100 words in
     repeated windows of 8 words. Rows that pass are kept unless a statistic's anomaly reaches its
-    threshold; ``anomaly`` is the largest of a row. The forests grow on at most ``SAMPLE_ROWS``
-    rows that pass, by a hash of their statistics; all else covers every row. NULL text has no
+    threshold; ``anomaly`` is the largest of a row. The forests grow on about ``SAMPLE_ROWS``
+    rows that pass, drawn by a hash; all else covers every row. NULL text has no
     words. An empty table gives an empty result.
     """
     stats = materialise(document_statistics(docs, id_col, text_col), "rule-statistics")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
-    sample = stats.where(~failed).select("ratios").orderBy(F.xxhash64("ratios"), "ratios").limit(SAMPLE_ROWS)
-    x = np.array([r.ratios for r in sample.collect()], float)
+    passing = stats.where(~failed)
+    rate = SAMPLE_ROWS / max(passing.count(), 1)
+    sample = passing.where(drawn("row", "forest") < rate).select("row", "ratios").collect()
+    x = np.array([r.ratios for r in sorted(sample)], float)
     if not len(x):
         return stats.drop("ratios").withColumn("anomaly", F.lit(0.0)).withColumn("kept", ~F.col("base_failed"))
     forests = [grow(x[:, [i]], seed=SEED + i) for i in range(x.shape[1])]

@@ -27,6 +27,12 @@ def remainder(id_col: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def drawn(key: str, salt: str) -> Column:
+    """A number in [0, 1) from a hash of a column: rows below a rate are a sample that reruns repeat."""
+    steps = 1 << 40
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(steps)) / float(steps)
+
+
 def raw_text(text_col: str) -> Column:
     """The text as UTF-8 bytes, NULL as no bytes."""
     return F.coalesce(F.col(text_col), F.lit("")).cast("binary")
