@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from tidewire.llm import components, exact_blocks, simhash_grid
 
+from .conftest import written
+
 
 def test_identities_are_equality_of_texts(docs):
     for block in (16, 1000, exact_blocks.BLOCK_BYTES):
@@ -20,6 +22,23 @@ def test_identities_are_equality_of_texts(docs):
         assert sorted(map(sorted, by_name.values())) == sorted(map(sorted, by_text.values()))
 
 
+def test_last_byte_of_every_length_is_compared(spark, tmp_path):
+    block = 16
+    lengths = [1, *(k * block + more for k in (1, 2, 3, 4) for more in (-1, 0, 1, 2))]
+    texts = [("ab" * n)[: n - 1] + last for n in lengths for last in (".", "!", ".")]
+    whole = exact_blocks.BLOCK_BYTES
+    large = [("ab" * n)[: n - 1] + last for n in (whole, whole + 1, whole + 2, 2 * whole + 1) for last in (".", "!", ".")]
+    for made, size in ((texts, block), (large, whole)):
+        docs = written(spark, [(i, t, "en", "s") for i, t in enumerate(made)], tmp_path / f"documents{size}.parquet")
+        by_name, by_text = defaultdict(set), defaultdict(set)
+        for r in exact_blocks.identities(docs, block_bytes=size).collect():
+            by_name[r.n_bytes, r.name].add(r.id)
+            by_text[made[r.id]].add(r.id)
+        assert sorted(map(sorted, by_name.values())) == sorted(map(sorted, by_text.values()))
+        if size == whole:
+            assert exact_blocks.drop_copies(docs).count() == len(set(made))
+
+
 def test_largest_id_stays(docs, rows):
     found = exact_blocks.exact_groups(docs).collect()
     groups = defaultdict(list)

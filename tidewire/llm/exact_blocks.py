@@ -106,7 +106,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.octet_length(text).cast("long").alias("n_bytes"),
         text.cast("binary").alias("bytes"),
     )
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.col("n_bytes") - 1) / block_bytes), F.lit(1)).cast("int") - 1)
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_bytes") / block_bytes), F.lit(1)).cast("int") - 1)
     cut = F.transform(starts, lambda i: F.substr("bytes", i * block_bytes + 1, F.lit(block_bytes)))
     blocks = rows.select("row", "id", "text_sha256", "n_bytes", F.posexplode(_cover(cut, block_bytes)).alias("idx", "key"))
     named = name_by_sort(blocks, "row")
