@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from zlib import crc32
 
@@ -46,6 +47,35 @@ def test_hidden_insults_are_restored(toxic_model):
     assert toxic_model.score("") < toxicity.THRESHOLD
 
 
+@pytest.mark.parametrize("gap", [" ", " - ", "   ", "\t", "\n", ".", " * ", "\u2022", " / "])
+def test_hidden_insults_anywhere_in_a_run(toxic_model, gap):
+    clean = "ntherininreothereinatinthreoninatre" * 3
+    assert toxic_model.score(gap.join(clean)) < toxicity.THRESHOLD
+    for place in (0, 20, 63, 64, 65, len(clean)):
+        run = gap.join(clean[:place] + "idiot" + clean[place:])
+        assert toxic_model.score(run) >= toxicity.THRESHOLD, (gap, place)
+        assert toxic_model.score(f"the inth ({run}) erti") >= toxicity.THRESHOLD, (gap, place)
+    # Every distinct word counts, the same one only once.
+    assert len(toxic_model._run(" ".join("idiotinthworthlessreonstupidinidiot"))) == len(INSULTS)
+
+
+def test_long_tokens_are_decoded(toxic_model):
+    assert toxicity.decode("id" + "i" * 300 + "ot", toxic_model.chars) == "idiot"
+    for token in ("id" + "i" * 300 + "ot", "i" + "." * 80 + "d.i.o.t", ".".join(["inth", "erti"] * 10 + ["idiot"] + ["reon"] * 10)):
+        assert toxic_model.score(f"the inth {token} of erti") >= toxicity.THRESHOLD
+
+
+def test_hidden_tokens_and_runs_by_definition():
+    former = r"[^\W\d_].*[^\w\s].*[^\W\d_]|[^\W\d_].*\d|\d.*[^\W\d_]|[@$!|+€£¡(<].*[^\W\d_]|(\w)\1\1"
+    rng = random.Random(3)
+    for _ in range(20_000):
+        token = "".join(rng.choices("abéß1²7_.-@!(<|漢", k=rng.randint(1, 7)))
+        assert toxicity.hidden(token) == bool(re.search(former, token)), token
+    for text in ("ab cd ef", "a b", "the i of", "a. bc d. ef g"):
+        assert not toxicity.SPACED.findall(text)
+    assert toxicity.SPACED.findall("an i d i o t! it") == ["i d i o t"]
+
+
 def test_held_out_toxicity(insulted, toxic_model):
     docs, _, truth = insulted
     found = toxicity.scores(docs, toxic_model).collect()
