@@ -264,3 +264,15 @@ def test_attention_learns(tmp_path_factory, spark):
     plain = attention_lm.Model(attention_lm.Weights.start(), model.bigrams)
     held = [attention_lm.subword_ids(RANKS)(t.encode().lower().split()) for i, t, *_ in rows if crc32(str(i).encode()) % 5 == 1]
     assert model.score(held).sum() > plain.score(held).sum()
+
+
+def test_attention_trains_on_every_block(docs, rows):
+    gathered = attention_lm.gather(docs, RANKS, "doc_id", "text").where("kind = 'texts'").collect()
+    ids_of = attention_lm.subword_ids(RANKS)
+    want = Counter()
+    for i, t, *_ in rows:
+        if crc32(("" if i is None else str(i)).encode()) % 5 != 1:
+            blocks = np.stack(attention_lm.blocks_of([ids_of((t or "").encode().lower().split())])[:3], axis=1)
+            want.update(b.astype(np.int32).tobytes() for b in blocks)
+    got = Counter(b.tobytes() for r in gathered for b in attention_lm.training_blocks(r.ids))
+    assert got == want
