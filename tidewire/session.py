@@ -69,18 +69,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def discard_materialised(spark: SparkSession, after: int = 0) -> int:
+def discard_materialised(spark: SparkSession, after: int = 0, before: int | None = None) -> int:
     """Remove what ``materialise`` has written since the process had written ``after`` folders.
 
-    Call it once results are stored: frames that read the intermediates no longer work. Returns
-    how many folders went. ``written_so_far`` gives the mark to pass.
+    With ``before`` given, only the folders written up to that mark go, and later ones move up in
+    the count. Call it once results are stored: frames that read the intermediates no longer work.
+    Returns how many folders went. ``written_so_far`` gives the marks to pass.
     """
-    gone = _WRITTEN[after:]
+    gone = _WRITTEN[after:before]
     configuration = spark._jsc.hadoopConfiguration()
     for path in gone:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(configuration).delete(where, True)
-    del _WRITTEN[after:]
+    del _WRITTEN[after:before]
     return len(gone)
 
 
