@@ -15,7 +15,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 
 def test_one_query_per_operator():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES]
-    assert sorted(numbers) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(numbers) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 @needs_data

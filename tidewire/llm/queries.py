@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewire.llm import attention_lm, chat_trees, exact_blocks, language, mixing, packing, quality_forest, secret_spans, simhash_grid, toxicity
+from tidewire.llm import (
+    attention_lm, chat_trees, exact_blocks, language, license_templates, mixing, packing, periodic_runs, quality_forest,
+    secret_spans, shallot, simhash_grid, toxicity,
+)
 from tidewire.llm.text import remainder
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -92,6 +95,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_shallot_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.cluster(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_templates.scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return periodic_runs.detect(docs, change=periodic_runs.planted).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -103,6 +120,9 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_trees": op9_chat_trees,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_shallot_clustering": op11_shallot_clustering,
+    "op12_license_scan": op12_license_scan,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
@@ -113,7 +133,71 @@ _SECRET_KINDS = "\n    union all ".join(
     for k, (pattern, group, least) in enumerate(_SECRET_PATTERNS)
 )
 
+# Five rounds spelled out: assign all vectors, then floors of the means of clusters that have any.
+_NEAREST = "list_dot_product(v, v) - 2 * list_dot_product(v, f) + list_dot_product(f, f)"
+_KMEANS = ",\n".join(
+    f"""near{i} as materialized (
+    select n, any_value(vec_id) as vec_id, any_value(v) as v, min(struct_pack(d := ({_NEAREST})::bigint, c := c)) as best
+    from kept cross join cent{i} group by n)"""
+    + (
+        ""
+        if i == shallot.ROUNDS
+        else f""",
+mean{i} as materialized (
+    select c, list(x order by place) as f from (
+        select best.c as c, place, floor(sum(v[place]) / count(*)) as x from near{i}, generate_series(1, {shallot.DIMS}) as s(place)
+        group by best.c, place) group by c),
+cent{i + 1} as materialized (select c, coalesce(m.f, o.f) as f from cent{i} o left join mean{i} m using (c))"""
+    )
+    for i in range(shallot.ROUNDS + 1)
+)
+
+_PLACES = " || ".join(
+    "list_transform(list_filter(range(1, len(w) + 1), lambda i: {}), lambda i: struct_pack(place := i - 1, label := '{}'))".format(
+        " and ".join(f"w[i + {k}] = '{word}'" if k else f"w[i] = '{word}'" for k, word in enumerate(phrase.split())), label
+    )
+    for phrase, label in license_templates.PHRASES.items()
+)
+_TEMPLATES = [(label, license_templates.parse(text)) for label, text in license_templates.TEMPLATES]
+_TEMPLATE_HITS = ", ".join(
+    f"case when regexp_matches(line, '{license_templates.as_pattern(parts)} ') then struct_pack(label := '{label}', m := {license_templates.mandatory_words(parts)}) end"
+    for label, parts in _TEMPLATES
+)
+_PHRASE_HITS = ", ".join(
+    f"case when contains(line, ' {phrase} ') then struct_pack(label := '{label}', m := {len(phrase.split())}) end"
+    for phrase, label in license_templates.PHRASES.items()
+)
+
 ORACLES = {
+    "op11_shallot_clustering": f"""
+with kept as materialized (
+    select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor({shallot.SCALE} * x::double)) as v
+    from embeddings where len(embedding) = {shallot.DIMS} and len(list_filter(embedding, lambda x: isfinite(x))) = {shallot.DIMS}),
+cent0 as materialized (
+    select (row_number() over (order by sha256('{shallot.SALT}:' || vec_id), vec_id, v) - 1)::int as c, v as f
+    from kept order by c limit {shallot.CLUSTERS}),
+{_KMEANS},
+found as (select vec_id, best.c as cluster, best.d as distance from near{shallot.ROUNDS})
+select vec_id, cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
+       (sum(distance) over ())::bigint as inertia,
+       sha256(array_to_string(list_transform(f, lambda x: x::bigint::varchar), ',')) as centroid_sha256
+from found join cent{shallot.ROUNDS} on c = cluster""",
+    "op12_license_scan": rf"""
+with words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+lines as (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as line from words),
+hits as (
+    select doc_id, w, {_PLACES} as places,
+           list_filter([{_TEMPLATE_HITS}, {_PHRASE_HITS}], lambda h: h is not null) as hits
+    from lines)
+select doc_id, len(w)::bigint as n_words, len(places)::bigint as n_base,
+       list_min(list_transform(places, lambda p: p.place))::bigint as first_word,
+       list_max(list_transform(places, lambda p: p.place))::bigint as last_word,
+       array_to_string(list_sort(list_distinct(list_transform(places, lambda p: p.label))), ',') as base_labels,
+       array_to_string(list_sort(list_distinct(list_transform(hits, lambda h: h.label))), ',') as labels,
+       coalesce(list_max(list_transform(hits, lambda h: h.m / (h.m + {license_templates.HALF}))), 0)::double as score
+from hits""",
     "op5_secret_scan": f"""
 with texts as (select doc_id, source, coalesce(text, '') as t from documents),
 raw as ({_SECRET_KINDS}),
