@@ -206,7 +206,7 @@ def test_runs_equal_plain_search(least):
 def test_very_long_repetition():
     n = 300_000
     words = np.r_[np.zeros(n, np.int64), np.arange(n) % 1000, np.arange(n)]
-    assert runs.runs_of([words]) == [[(0, n + 1, 1), (n, n, 1000)]]
+    assert runs.runs_of([words]) == [[(0, n + 1, 1), (n, n + 1000, 1000)]]
 
 
 def plain_row(key, text):
