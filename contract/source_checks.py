@@ -363,11 +363,11 @@ def _(spark, sf_dir):
 
 @check("m8_training_curve", "select unnest(['train', 'val']) as part, true as every_round, true as same_rmse, true as same_mae")
 def _(spark, sf_dir):
-    """The last round's errors are those of the predictions, as A10 has them."""
+    """The errors of the round that is kept are those of the predictions, as A10 has them."""
     settings, rows, model = preset_model(spark, sf_dir)
-    curve = M.training_curve(model, rows, FEATURES, settings)
-    ends = curve.groupBy("part").agg(
-        F.max_by("rmse", "iteration").alias("last_rmse"), F.max_by("mae", "iteration").alias("last_mae"),
+    ends = M.training_curve(model).groupBy("part").agg(
+        F.max_by("rmse", F.col("iteration") == model.best).alias("last_rmse"),
+        F.max_by("mae", F.col("iteration") == model.best).alias("last_mae"),
         (F.count("*") == F.max("iteration")).alias("every_round"),
     )
     measured = [

@@ -184,7 +184,7 @@ def test_tree_presets_and_jobs(spark):
     assert sum(r.importance for r in importance) == pytest.approx(1.0) and importance[0].grp == "technical"
     with pytest.raises(ValueError, match="2 features but 1 names"):
         M.feature_importance(model, ["a"])
-    curve = M.training_curve(model, df, ["a", "b"], settings).toPandas()
+    curve = M.training_curve(model).toPandas()
     assert set(curve["part"]) == {"train", "val"} and curve["rmse"].notna().all()
     test = df.filter("split = 'test'")
     first, second = (M.predict(m, test, ["a", "b"]).orderBy("a").toPandas()["y_hat"] for m in (model, again))
