@@ -248,6 +248,7 @@ def _event_news(events):
         F.concat(F.lit("by user "), F.col("user_id").cast("string")).alias("title"),
         F.lit(0.0).alias("sentiment_score"),
         "value",
+        F.col("ts").cast("timestamp_ntz").alias("at"),
     )
 
 
@@ -275,6 +276,7 @@ def _(spark, sf_dir):
         F.concat(F.lit("by user "), F.col("user_id").cast("string")).alias("title"),
         F.lit(1.0).alias("sentiment_score"),
         "value",
+        F.col("ts").cast("timestamp_ntz").alias("at"),
     )
     U.append_to_store(stored, f"{base}/store")
     T.stream_upsert(_landing(spark, sf_dir, base), f"{base}/store", f"{base}/checkpoint").awaitTermination()
@@ -303,6 +305,51 @@ def _(spark, sf_dir):
     return rounded(T.read_daily(spark, f"{base}/store", ["value"]))
 
 
+@check("t1_stream_state", """select distinct date_trunc('hour', ts) as pub_time, event_type as ticker,
+  'by user ' || user_id as title, 1 as copies from events""")
+def _(spark, sf_dir):
+    """Every file lands twice; what state remembers does not reach the store, and nothing changes."""
+    base = scratch(spark, "state")
+    once = _landing(spark, sf_dir, base)
+    T.stream_upsert(once, f"{base}/store", f"{base}/checkpoint", memory="7 days").awaitTermination()
+    spark.read.parquet(f"{base}/landing").write.parquet(f"{base}/again")
+    spark.read.parquet(f"{base}/again").write.mode("append").parquet(f"{base}/landing")
+    T.stream_upsert(once, f"{base}/store", f"{base}/checkpoint", memory="7 days").awaitTermination()
+    stored = spark.read.parquet(f"{base}/store")
+    return stored.groupBy("pub_time", "ticker", "title").agg(F.count("*").cast("int").alias("copies"))
+
+
+_LATE = "event_id % 20 = 0"
+
+
+@check("t3_closed_days", f"""with span as (select min(ts) as lo, max(ts) as hi from events),
+  -- Late rows are told by the watermark that the batch before them ran with: that of three files.
+  ends as (
+    select max(ts) filter (not {_LATE} and floor((floor(epoch(ts)) - floor(epoch(lo))) / (epoch(hi) - epoch(lo)) * 4) < 3)
+        - interval 2 day as mark_then, max(ts) - interval 2 day as mark from events, span),
+  days as (
+    select cast(ts as date) as news_date, event_type as ticker, avg(value) as mean, count(*) as news_count,
+      count(*) filter (not {_LATE} or cast(ts as date) + interval 1 day > mark_then) as seen
+    from events, ends group by cast(ts as date), event_type, mark_then)
+  select news_date, ticker, {r('mean', 'value')}, news_count, news_count - seen as late
+  from days, ends where seen > 0 and news_date + interval 1 day <= mark""")
+def _(spark, sf_dir):
+    """Files land in order of time; a twentieth of all events comes after every day it is of was closed."""
+    base = scratch(spark, "closed")
+    events = table(spark, sf_dir, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    share = (F.unix_timestamp("ts") - F.unix_timestamp(F.lit(first))) / max((last - first).total_seconds(), 1)
+    placed = events.withColumn("_part", F.when(F.expr(_LATE), 4).otherwise(F.least(F.floor(share * 4), F.lit(3))))
+    for part in range(5):
+        placed.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    stream = _event_news(T.landed(spark, f"{base}/landing", events.schema, per_trigger=1)).withColumn("pub_time", F.col("at"))
+    scores = {"value": F.col("value")}
+    for _ in range(2):  # the second start finds everything done
+        T.stream_closed_days(stream, scores, f"{base}/closed", f"{base}/closed-checkpoint").awaitTermination()
+        T.stream_daily(stream, scores, f"{base}/parts", f"{base}/parts-checkpoint").awaitTermination()
+    return rounded(T.read_closed_days(spark, f"{base}/closed", f"{base}/parts", ["value"]))
+
+
 # --- model jobs: a preset as it is, over whole tables ---
 
 FEATURES = [c for c in TECHNICAL_FEATURES]
