@@ -96,6 +96,26 @@ def _(spark, sf_dir):
     return out.select(F.col("dead_features").cast("long"), F.col("features").cast("long"))
 
 
+@check("a13_vector_correlation", f"""with cells as (
+    select label, unnest(embedding)::double as x, unnest(range(len(embedding)))::int as feature from embeddings)
+  select feature, {r('corr(x, label)', 'corr')} from cells group by feature""")
+def _(spark, sf_dir):
+    """Every place of the vector, from the array column itself."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return rounded(E.feature_correlation(vectors, "embedding", "label"))
+
+
+@check("a14_vector_dead", """with cells as (
+    select unnest(list_append(embedding, 0.5))::double as x, unnest(range(len(embedding) + 1)) as place from embeddings),
+  spread as (select place, var_pop(x) = 0 as dead from cells group by place)
+  select (count(*) filter (where dead))::int as dead_features, count(*)::int as features from spread""")
+def _(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.array_append(F.col("embedding").cast("array<double>"), F.lit(0.5)).alias("embedding")
+    )
+    return E.dead_features(vectors, "embedding")
+
+
 THRESHOLDS = """thresholds as (
   select quantile_cont(y_hat, 0.75) as hi, quantile_cont(y_hat, 0.25) as lo from predictions)"""
 SIGNALS = f"""{THRESHOLDS},

@@ -124,3 +124,27 @@ def test_profile_equals_pandas(spark):
         assert rows[c]["outlier_percent"] == pytest.approx(out)
     assert rows["x"]["skew_advice"] == "robust" and rows["y"]["outlier_advice"] == "standard"
     assert [tuple(r) for r in P.null_counts(df).collect()] == [("x", 1)]
+
+
+def test_wide_vectors_take_one_generator(spark):
+    """2,000 places: the plan is that of two, and results are numpy's."""
+    rng = np.random.default_rng(1)
+    values = rng.normal(size=(50, 2000))
+    values[:, 7] = 3.0
+    y = rng.normal(size=50)
+    rows = [(values[i].tolist(), float(y[i])) for i in range(50)]
+    df = spark.createDataFrame([*rows, (None, 1.0), ([1.0], None)], "v array<double>, y double")
+    wide, narrow = (E.feature_correlation(df.select(F.slice("v", 1, n).alias("v"), "y"), "v") for n in (2000, 2))
+    size = lambda frame: len(frame._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(wide) - size(narrow)) < 20
+    got = {r.feature: r.corr for r in wide.collect()}
+    assert len(got) == 2000 and got[7] is None
+    for i in (0, 1, 999, 1999):
+        assert got[i] == pytest.approx(np.corrcoef(values[:, i], y)[0, 1])
+    # The short vector adds a value at the first place only.
+    assert E.dead_features(df.filter("y is not null"), "v").first() == (1, 2000)
+    named = spark.createDataFrame([(1.0, None, 2.0), (2.0, None, 2.0)], "a double, b double, y double")
+    assert {r.feature: r.corr for r in E.feature_correlation(named, ["a", "b"]).collect()} == {"a": None, "b": None}
+    assert E.dead_features(named, ["a", "b", "y"]).first() == (1, 3)
+    assert E.dead_features(named.limit(0), ["a", "b"]).first() == (0, 2)
+    assert [tuple(r) for r in E.feature_correlation(named.limit(0), ["a"]).collect()] == [("a", None)]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.expressions import finite
 from tidewire.operators.features import TARGET
 from tidewire.operators.quantiles import exact_quantiles
-from tidewire.operators.series import COUNT, POS, over_series, with_positions
+from tidewire.operators.series import BLOCK, CORE, COUNT, POS, with_blocks, with_positions
 from tidewire.schemas import q
 
 
@@ -146,31 +146,29 @@ def sequences(
     if horizon_gap < 0:
         raise ValueError("the window cannot end after the label's row")
     parts = [F.array(*[q(c).cast("double") for c in features]), *[vector_to_array(q(c)) for c in vectors]]
-    vector = F.concat(*parts) if vectors else parts[0]
-    last = -horizon_gap
-
-    def columns(w):
-        out = {"seq": F.collect_list("_step").over(w.rowsBetween(last - lookback + 1, last))}
-        if news:
-            out["news_vec"] = F.lag(F.array(*[q(c).cast("double") for c in news]), horizon_gap).over(w)
-        return out
-
-    needed = list(dict.fromkeys([*group, "ticker", "trade_date", *news, target, *extra]))
-    wide = over_series(
-        df.select(*[q(c) for c in needed], vector.alias("_step")),
-        columns,
-        before=lookback + horizon_gap - 1,
-        key=group,
-    )
-    full = wide.filter(F.size("seq") == lookback)
-    return full.select(
-        *dict.fromkeys([*group, "ticker", "trade_date"]),
-        *[q(c) for c in extra],
-        "seq",
-        F.element_at("seq", -1).alias("tech"),
-        *(["news_vec"] if news else []),
-        q(target).alias("y"),
+    step = F.concat(*parts) if vectors else parts[0]
+    told = list(dict.fromkeys([*group, "ticker", "trade_date"]))
+    inner = [c for c in dict.fromkeys([*told, *extra]) if c not in group]
+    held = F.struct(
+        POS, CORE, *[q(c) for c in inner], step.alias("_step"), q(target).alias("_y"),
+        F.array(*[q(c).cast("double") for c in news]).alias("_news"),
     )
+    needed = list(dict.fromkeys([*told, *extra, *features, *vectors, *news, target]))
+    numbered = with_positions(df.select(*[q(c) for c in needed]), group).filter(F.col(POS).isNotNull())
+    laid = with_blocks(numbered, before=lookback + horizon_gap - 1)
+    # One array per block: every row's steps are in the shuffle once, but for the few copies.
+    blocks = laid.groupBy(*group, BLOCK).agg(F.array_sort(F.collect_list(held)).alias("_rows"))
+    rows = F.col("_rows")
+
+    def window(row: Column, i: Column) -> Column:
+        steps = F.slice(rows, i - (lookback + horizon_gap - 2), F.lit(lookback))["_step"]
+        last = F.get(rows, i - horizon_gap)
+        out = [*[row[c].alias(c) for c in inner], steps.alias("seq"), last["_step"].alias("tech")]
+        out += [last["_news"].alias("news_vec")] if news else []
+        return F.when(row[CORE] & (i >= lookback + horizon_gap - 1), F.struct(*out, row["_y"].alias("y")))
+
+    windows = blocks.select(*group, F.inline(F.array_compact(F.transform(rows, window))))
+    return windows.select(*told, *[q(c) for c in extra], "seq", "tech", *(["news_vec"] if news else []), "y")
 
 
 def assemble_hybrid(

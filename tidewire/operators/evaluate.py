@@ -134,19 +134,40 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return front * total / a
 
 
-def feature_correlation(df: DataFrame, features: Sequence[str], y: str = "y") -> DataFrame:
-    """Pearson correlation of each feature with the target, one aggregate."""
-    rows = [F.struct(F.lit(c).alias("feature"), F.corr(q(c), q(y)).alias("corr")) for c in features]
-    return df.agg(F.array(*rows).alias("_all")).select(F.inline("_all"))
-
-
-def dead_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """How many features never change."""
-    flags = [F.coalesce((F.var_pop(q(c)) == 0).cast("int"), F.lit(0)) for c in features]
-    total = flags[0]
-    for flag in flags[1:]:
-        total = total + flag
-    return df.agg(total.alias("dead_features"), F.lit(len(features)).alias("features"))
+def _positions(df: DataFrame, features: Sequence[str] | str, *others: Column) -> DataFrame:
+    """(place, x, others) for every row and feature; ``features`` are columns or one array column.
+
+    The plan has one generator however wide the vector is, and aggregates per place shrink before
+    the shuffle to one row per place and task.
+    """
+    vector = q(features) if isinstance(features, str) else F.array(*[q(c).cast("double") for c in features])
+    return df.select(*others, F.posexplode(vector).alias("place", "x"))
+
+
+def feature_correlation(df: DataFrame, features: Sequence[str] | str, y: str = "y") -> DataFrame:
+    """(feature, corr), the Pearson correlation of each feature with the target.
+
+    ``features`` are columns, or the name of one array column: then ``feature`` is the place from
+    0. Rows where either side is NULL do not count; a feature without any, or one that never
+    changes there, has NULL.
+    """
+    x, target = F.when(F.col("y").isNotNull(), F.col("x")), F.when(F.col("x").isNotNull(), F.col("y"))
+    spreads = F.stddev_pop(x) * F.stddev_pop(target)
+    corr = F.try_divide(F.covar_pop(x, target), spreads).alias("corr")
+    found = _positions(df, features, q(y).alias("y")).groupBy("place").agg(corr)
+    if isinstance(features, str):
+        return found.withColumnRenamed("place", "feature")
+    names = df.sparkSession.createDataFrame(list(enumerate(features)), "place int, feature string")
+    return names.join(found, "place", "left").select("feature", "corr")
+
+
+def dead_features(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
+    """How many features never change, and how many there are (the longest vector's)."""
+    spread = _positions(df, features).groupBy("place").agg((F.var_pop("x") == 0).alias("dead"))
+    width = F.max("place") + 1 if isinstance(features, str) else F.lit(len(features))
+    return spread.agg(
+        F.count_if("dead").cast("int").alias("dead_features"), F.coalesce(width, F.lit(0)).alias("features")
+    )
 
 
 def thresholds(predictions: DataFrame, upper: float = 75, lower: float = 25) -> DataFrame:
