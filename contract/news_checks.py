@@ -344,6 +344,32 @@ def _(spark, sf_dir):
     return drop_near_titles(untitled).select("news_id", "title")
 
 
+@check("j7_greedy_titles", sql(
+    """select news_id, title from untitled where title is null
+       union all select i.news_id, i.title from scan s, unnest(s.kept) as u(place)
+         join in_order i on i.ticker = s.ticker and i.day = s.day and i.place = u.place
+       where s.place = s.rows""", NEWS, ENGLISH,
+    "untitled as (select * replace (case when news_id % 7 <> 0 then title end as title) from english)",
+    """in_order as (
+         select *, cast(pub_time as date) as day, lower(title) as low, count(*) over (partition by ticker, cast(pub_time as date)) as rows,
+           row_number() over (partition by ticker, cast(pub_time as date) order by pub_time, news_id) as place
+         from untitled where title is not null)""",
+    """scan as (
+         select ticker, day, place, rows, [place] as kept, [low] as lows from in_order where place = 1
+         union all
+         select i.ticker, i.day, i.place, i.rows,
+           case when len(list_filter(s.lows, lambda k: levenshtein(k, i.low) * 10 <= greatest(length(k), length(i.low)))) = 0
+             then list_append(s.kept, i.place) else s.kept end,
+           case when len(list_filter(s.lows, lambda k: levenshtein(k, i.low) * 10 <= greatest(length(k), length(i.low)))) = 0
+             then list_append(s.lows, i.low) else s.lows end
+         from scan s join in_order i on i.ticker = s.ticker and i.day = s.day and i.place = s.place + 1)""", recursive=True))
+def _(spark, sf_dir):
+    """Only titles that stay count, in order of time."""
+    english = N.english_news(news(spark, sf_dir))
+    untitled = english.withColumn("title", F.when(F.col("news_id") % 7 != 0, F.col("title")))
+    return drop_near_titles(untitled, greedy=True).select("news_id", "title")
+
+
 # --- roll-up and mapping ---
 
 

@@ -2,26 +2,40 @@
 
 Within a ticker's day a row goes if an earlier row's lower-case title is at least 90 % similar
 (1 - edit distance / longer length). Earlier rows count whether they stay or go, so the result
-does not depend on a scan order.
+does not depend on a scan order; with ``greedy`` only rows that stay count, as in a scan from the
+earliest to the latest.
 
 Candidates come from a prefix filter. A title of length n can differ from a similar one in at
 most t = n div 9 edits, and one edit touches at most Q of its Q-grams. Sort the Q-grams (with
-their occurrence numbers) by rarity in the block: two similar titles share one among the first
-Q*t + 1. So only titles with a common rare piece meet.
+their occurrence numbers) by how rare they are in all titles: two similar titles share one among
+the first Q*t + 1. So only titles with a common rare piece meet. Pieces are hashes that include
+the block; what meets by a collision is told apart when texts are compared.
 
 A crowd of near copies would still meet pairwise. Therefore every title is first checked against
 the earliest title of each of its pieces, found by a plain aggregate; whoever is similar to one
-is settled. Only the others are compared with all earlier titles that share a piece.
+is settled. Only the others are compared with all earlier titles that share a piece and are of
+like length.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.session import materialise
 
 Q = 3
+# Buckets of gram hashes that are counted, and the ratio of neighbouring bands of title lengths.
+BUCKETS = 1 << 16
+BAND = 1.13
+# An odd number with bits all over.
+MIX = 0x9E3779B97F4A7C15
 BLOCK = ("ticker", "day")
 
 
@@ -35,54 +49,137 @@ def similar_enough(a: Column, b: Column, share: float = 0.9) -> Column:
     return F.coalesce(distance <= allowed, F.lit(False))
 
 
+def title_grams(title: str) -> np.ndarray:
+    """A hash for each Q characters in a row, from the characters' numbers; modulo 2**64."""
+    codes = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(codes) < Q:
+        return codes[:0]
+    grams = codes[: len(codes) - Q + 1]
+    for i in range(1, Q):
+        grams = grams * np.uint64(MIX) + codes[i : len(codes) - Q + 1 + i]
+    grams = grams * np.uint64(MIX)
+    return grams ^ (grams >> np.uint64(32))
+
+
+def title_pieces(title: str, seen: np.ndarray) -> np.ndarray:
+    """The title's rarest Q-grams, each with its occurrence number mixed in, as many as the filter needs."""
+    grams, counts = np.unique(title_grams(title), return_counts=True)
+    first = np.cumsum(counts) - counts
+    times = np.arange(counts.sum()) - np.repeat(first, counts)
+    grams = np.repeat(grams, counts)
+    order = np.lexsort((times, grams, seen[grams % np.uint64(len(seen))]))[: len(title) // 9 * Q + 1]
+    return (grams[order] + np.uint64(MIX) * times[order].astype(np.uint64)).view(np.int64)
+
+
 def _pieces(titles: DataFrame) -> DataFrame:
-    """(block, id, piece): the rarest Q-grams of each title, as many as the filter needs."""
-    n = F.length("low")
+    """(piece, id, n): hashes of the block and each title's rarest Q-grams.
+
+    How rare a gram is comes from one count over all titles per hash bucket, a table of fixed size
+    that goes to the driver and back. Grams never leave the task that cuts a title; exploding,
+    grouping and ranking them as rows took most of the time of this operator.
+    """
     crowded = titles.groupBy(*BLOCK).agg(F.count("*").alias("c")).filter("c > 1").select(*BLOCK)
-    titles = titles.join(crowded, list(BLOCK), "left_semi")
-    grams = F.transform(
-        F.sequence(F.lit(1), n - (Q - 1)), lambda i: F.substring(F.col("low"), i, F.lit(Q))
-    )
-    counted = (
-        titles.filter(n >= 9)
-        .select(*BLOCK, "id", n.alias("n"), F.explode(grams).alias("gram"))
-        .groupBy(*BLOCK, "id", "n", "gram")
-        .agg(F.count("*").alias("times"))
-    )
-    numbered = counted.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    pieces = numbered.select(*BLOCK, "id", "n", F.struct("gram", "k").alias("piece"))
-    common = pieces.groupBy(*BLOCK, "piece").agg(F.count("*").alias("titles"))
-    ranked = pieces.join(common, [*BLOCK, "piece"])
-    # One title's own pieces: bounded by its length.
-    rarest = ranked.groupBy(*BLOCK, "id").agg(
-        F.slice(
-            F.array_sort(F.collect_list(F.struct("titles", "piece"))),
-            F.lit(1),
-            F.first(F.floor(F.col("n") / 9).cast("int") * Q + 1),
-        ).alias("head")
-    )
-    return (
-        rarest.select(*BLOCK, "id", F.explode("head").alias("h"))
-        .filter(F.col("h.titles") > 1)
-        .select(*BLOCK, "id", F.col("h.piece").alias("piece"))
-    )
+    dealt = titles.filter(F.length("low") >= 9).join(crowded, list(BLOCK), "left_semi")
+    dealt = materialise(dealt.select("id", F.xxhash64(*BLOCK).alias("block"), F.length("low").alias("n"), "low"), "crowded")
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for title in batch.column("low").to_pylist():
+                seen += np.bincount((title_grams(title) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], names=["bucket", "times"])
 
-def _settled(pairs: DataFrame, titles: DataFrame, share: float) -> DataFrame:
-    """Ids whose candidate (earlier) partner is similar."""
-    text = titles.select("id", "low")
-    both = (
-        pairs.distinct()
-        .join(text, "id")
-        .join(text.select(F.col("id").alias("other"), F.col("low").alias("other_low")), "other")
-    )
-    return both.filter(similar_enough(F.col("low"), F.col("other_low"), share)).select("id").distinct()
+    seen = np.zeros(BUCKETS, dtype=np.int64)
+    for row in dealt.select("low").mapInArrow(count, "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("times")).collect():
+        seen[row.bucket] = row.times
+
+    @F.arrow_udf("array<long>")
+    def rarest(low: pa.Array) -> pa.Array:
+        return pa.array([title_pieces(title, seen) for title in low.to_pylist()], pa.list_(pa.int64()))
+
+    cut = dealt.select("id", "n", "block", F.explode(rarest("low")).alias("gram"))
+    return cut.select(F.xxhash64("block", "gram").alias("piece"), "id", "n")
+
+
+def _near(pairs: DataFrame, titles: DataFrame, share: float) -> DataFrame:
+    """The (id, other) pairs whose titles are of one block and similar."""
+    text = titles.select("id", "low", F.struct(*BLOCK).alias("block"))
+    other = text.select(F.col("id").alias("other"), F.col("low").alias("other_low"), F.col("block").alias("other_block"))
+    both = pairs.distinct().join(text, "id").join(other, "other")
+    alike = F.col("block").eqNullSafe(F.col("other_block")) & similar_enough(F.col("low"), F.col("other_low"), share)
+    return both.filter(alike).select("id", "other")
 
 
-def drop_near_titles(df: DataFrame, share: float = 0.9, tie_break: str = "news_id") -> DataFrame:
+def _earlier_pairs(open_: DataFrame, partners: DataFrame) -> DataFrame:
+    """(id, other) of titles that share a piece, the other earlier and of a length that may be similar.
+
+    Bands of length are part of the key, so a piece that many titles have is dealt by length too.
+    """
+    band = F.floor(F.log(F.col("n")) / math.log(BAND)).cast("int")
+    near_bands = F.explode(F.array(band - 1, band, band + 1)).alias("band")
+    mine = open_.select("piece", "id", "n", near_bands)
+    theirs = partners.select("piece", F.col("id").alias("other"), F.col("n").alias("other_n"), band.alias("band"))
+    longer, shorter = F.greatest("n", "other_n"), F.least("n", "other_n")
+    met = mine.join(theirs, ["piece", "band"]).filter((F.col("other") < F.col("id")) & (longer * 9 <= shorter * 10 + 9))
+    return met.select("id", "other")
+
+
+def _leaders(pieces: DataFrame) -> DataFrame:
+    """(piece, other): the earliest title of each piece that several have."""
+    found = pieces.groupBy("piece").agg(F.min("id").alias("other"), F.count("*").alias("c"))
+    return found.filter("c > 1").select("piece", "other")
+
+
+def _dropped(titles: DataFrame, pieces: DataFrame, share: float) -> DataFrame:
+    """Ids of titles that are similar to any earlier one."""
+    first_pairs = pieces.join(_leaders(pieces), "piece").filter(F.col("other") < F.col("id")).select("id", "other")
+    near_leader = materialise(_near(first_pairs, titles, share).select("id").distinct(), "near-leader")
+    open_ = pieces.join(near_leader, "id", "left_anti")
+    near_any = _near(_earlier_pairs(open_, pieces), titles, share).select("id").distinct()
+    return near_leader.unionByName(near_any)
+
+
+def _dropped_greedily(titles: DataFrame, pieces: DataFrame, share: float) -> DataFrame:
+    """Ids of titles that are similar to an earlier one that stays.
+
+    Rounds of two kinds. First, a title that is the earliest undecided one of each of its pieces
+    has no undecided neighbour before it and stays; who is similar to one that stays goes. That
+    takes crowds apart without their pairs, and goes on while a round decides a tenth of what is
+    open. Then the similar pairs of the rest are written, and in each round who has no earlier
+    neighbour left stays. On pairs in random order rounds grow with the logarithm of the titles.
+    """
+    gone: list[DataFrame] = []
+    left = pieces.select("id").distinct().count()
+    while left:
+        marked = pieces.join(_leaders(pieces), "piece", "left")
+        first = marked.groupBy("id").agg(F.min(F.coalesce(F.col("other") == F.col("id"), F.lit(True))).alias("first"))
+        stays = materialise(first.filter("first").select("id"), "stays")
+        led = marked.filter(F.col("other") < F.col("id")).select("id", "other")
+        led = led.join(stays.select(F.col("id").alias("other")), "other", "left_semi")
+        goes = materialise(_near(led, titles, share).select("id").distinct(), "goes")
+        gone.append(goes)
+        pieces = materialise(pieces.join(stays.unionByName(goes), "id", "left_anti"), "pieces")
+        before, left = left, pieces.select("id").distinct().count()
+        if left > 0.9 * before:
+            break
+    edges = materialise(_near(_earlier_pairs(pieces, pieces), titles, share), "edges") if left else None
+    while edges is not None and not edges.isEmpty():
+        stays = edges.select(F.col("other").alias("id")).distinct().join(edges.select("id"), "id", "left_anti")
+        stays = stays.withColumnRenamed("id", "other")
+        goes = materialise(edges.join(stays, "other", "left_semi").select("id").distinct(), "goes")
+        gone.append(goes)
+        ended = goes.withColumnRenamed("id", "other")
+        settled = stays.unionByName(ended)
+        edges = materialise(edges.join(settled, "other", "left_anti").join(goes, "id", "left_anti"), "edges")
+    return functools.reduce(DataFrame.unionByName, gone) if gone else titles.select("id").limit(0)
+
+
+def drop_near_titles(df: DataFrame, share: float = 0.9, tie_break: str = "news_id", greedy: bool = False) -> DataFrame:
     """J7 on a news table with unique ``tie_break``; earlier means smaller (pub_time, tie_break).
 
-    A row without a title is like no other and stays.
+    A row without a title is like no other and stays. Of equal titles the earliest stays at most.
+    ``greedy`` compares a title only with earlier ones that stay.
     """
     if not 0.9 <= share <= 1:
         raise ValueError("the filter is laid out for similarities from 0.9 to 1")
@@ -96,22 +193,10 @@ def drop_near_titles(df: DataFrame, share: float = 0.9, tie_break: str = "news_i
     # Titles, pieces and settled ids are read several times below, so they are written once.
     titles = materialise(placed.groupBy(*BLOCK, "low").agg(F.min("id").alias("id")), "titles")
     pieces = materialise(_pieces(titles), "pieces")
-    leaders = pieces.groupBy(*BLOCK, "piece").agg(F.min("id").alias("other"))
-    first_pairs = (
-        pieces.join(leaders, [*BLOCK, "piece"])
-        .filter(F.col("other") < F.col("id"))
-        .select("id", "other")
-    )
-    near_leader = materialise(_settled(first_pairs, titles, share), "near-leader")
-    open_pieces = pieces.join(near_leader, "id", "left_anti")
-    partners = pieces.withColumnRenamed("id", "other")
-    other_pairs = (
-        open_pieces.join(partners, [*BLOCK, "piece"])
-        .filter(F.col("other") < F.col("id"))
-        .select("id", "other")
-    )
-    near_any = _settled(other_pairs, titles, share)
-    kept = titles.select("id").join(near_leader.unionByName(near_any), "id", "left_anti")
+    shared = pieces.groupBy("piece").agg(F.count("*").alias("c")).filter("c > 1").select("piece")
+    pieces = materialise(pieces.join(shared, "piece", "left_semi"), "shared-pieces")
+    gone = (_dropped_greedily if greedy else _dropped)(titles, pieces, share)
+    kept = titles.select("id").join(gone, "id", "left_anti")
     own = F.struct("pub_time", F.col(tie_break).alias("n"))
     titled = df.filter(F.col("title").isNotNull()).withColumn("id", own)
     stays = titled.join(kept, "id", "left_semi").drop("id")
