@@ -217,6 +217,24 @@ def _(spark, sf_dir):
     return spark.read.parquet(path).drop(U.MONTH)
 
 
+@check("s13_indexed_store", sql(
+    """select * from holes
+       qualify row_number() over (partition by pub_time, ticker, title order by news_id) = 1""", NEWS, HOLES))
+def _(spark, sf_dir):
+    """Two halves, the whole, a compaction, and the whole again: the buckets say what is there."""
+    name = f"indexed_{uuid.uuid4().hex}"
+    whole = with_holes(spark, sf_dir)
+    U.open_indexed_store(spark, name, scratch(spark, "indexed"), whole.schema, buckets=8)
+    for part in (whole.filter("news_id % 2 = 0"), whole.filter("news_id % 2 = 1")):
+        # Of equal articles the one with the smaller number is stored, so those of the other half wait.
+        first = whole.groupBy("pub_time", "ticker", "title").agg(F.min("news_id").alias("news_id")).select("news_id")
+        U.append_to_indexed_store(part.join(first, "news_id", "left_semi"), name)
+    U.append_to_indexed_store(whole, name)
+    U.compact_store(spark, name, files=1)
+    U.append_to_indexed_store(whole, name)
+    return spark.table(name).drop(U.KEY, U.MONTH)
+
+
 _WALK = """have as (select distinct ticker, cast(pub_time as date) as day from news),
 walk as (
   select ticker, date '2001-07-31' as day, 0::bigint as empty from (select distinct ticker from news union select 'NOT STORED')

@@ -1,16 +1,19 @@
-"""The growing news store: upsert and back-fill plan."""
+"""The growing news store: upsert, key index and compaction, back-fill plan."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewire.operators.news import NEWS_KEY, keep_first
+from tidewire.session import discard_materialised, materialise, written_so_far
 
 MONTH = "pub_month"
+KEY = "news_key"
 
 
 def upsert(
@@ -73,6 +76,97 @@ def append_to_store(
     fresh.hint("rebalance", F.col(MONTH)).write.mode("append").partitionBy(MONTH).parquet(path)
 
 
+# --- the store as a table with a key index ---
+
+
+def news_key() -> Column:
+    """One text per (pub_time, ticker, title): their digest, with NULL told from empty."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in NEWS_KEY]
+    return F.sha2(F.to_json(F.array(*parts)), 256)
+
+
+def open_indexed_store(spark: SparkSession, name: str, path: str, schema: StructType, buckets: int = 64) -> DataFrame:
+    """S13 at size: the table ``name`` over ``path``, by month and inside by ``buckets`` of the key.
+
+    The folder holds everything; a session that does not know the table yet takes up the months
+    that are there. ``schema`` is that of the articles. The number of buckets is fixed when the
+    folder is first written; choose it so that a month's bucket stays below a few hundred MB.
+    """
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    if not spark.catalog.tableExists(name):
+        spark.sql(
+            f"create table {name} ({columns}, `{KEY}` string, `{MONTH}` string) using parquet"
+            f" partitioned by (`{MONTH}`) clustered by (`{KEY}`) sorted by (`{KEY}`) into {buckets} buckets location '{path}'"
+        )
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            spark.sql(f"alter table {name} recover partitions")
+    return spark.table(name)
+
+
+def _indexed(batch: DataFrame) -> DataFrame:
+    return with_month(batch).withColumn(KEY, news_key())
+
+
+def rows_to_add(incoming: DataFrame, name: str, tie_break: Sequence[str] = ("news_id",)) -> DataFrame:
+    """The incoming rows whose key the store does not have, with key and month.
+
+    Only the months of the batch are read, and of them only the key. What is stored is in buckets
+    of the key already, so the batch alone is shuffled to meet it.
+    """
+    spark = incoming.sparkSession
+    batch = _indexed(keep_first(incoming, NEWS_KEY, tie_break))
+    months = [r[0] for r in batch.select(MONTH).distinct().collect()]
+    within = F.col(MONTH).isin([m for m in months if m is not None])
+    if None in months:
+        within = within | F.col(MONTH).isNull()
+    stored = spark.table(name).filter(within).select(KEY)
+    # A merge join of the buckets: the stored side is never gathered, however few months are left.
+    return batch.join(stored.hint("merge"), KEY, "left_anti")
+
+
+def append_to_indexed_store(incoming: DataFrame, name: str, tie_break: Sequence[str] = ("news_id",)) -> None:
+    """S13 on the indexed table: add the new rows in their buckets; a retry adds nothing twice."""
+    spark = incoming.sparkSession
+    table = spark.table(name)
+    fresh = rows_to_add(incoming, name, tie_break).select(*table.columns)
+    _add(fresh, name, "append")
+
+
+def _add(rows: DataFrame, name: str, mode: str) -> None:
+    buckets = int(rows.sparkSession.sql(f"describe extended {name}").filter("col_name = 'Num Buckets'").first().data_type)
+    dealt = rows.repartition(buckets, KEY)
+    writer = dealt.write.mode(mode).partitionBy(MONTH).bucketBy(buckets, KEY).sortBy(KEY).format("parquet")
+    if mode == "append":
+        writer.saveAsTable(name)
+    else:
+        dealt.write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
+
+
+def compact_store(spark: SparkSession, name: str, files: int = 8) -> list[str | None]:
+    """Rewrite the months whose buckets have more than ``files`` files on average; returns them.
+
+    Each batch leaves a file per month and bucket it touches. A month is read whole, written to
+    the shared folder, and put back as one file per bucket, replacing its folder; other months are
+    not touched. Run it when no batch is being added.
+    """
+    table = spark.table(name)
+    buckets = int(spark.sql(f"describe extended {name}").filter("col_name = 'Num Buckets'").first().data_type)
+    # One row per file: bounded by what is to be compacted.
+    found = table.groupBy(MONTH).agg(F.count_distinct(F.col("_metadata.file_path")).alias("files"))
+    crowded = [r[MONTH] for r in found.filter(F.col("files") > files * buckets).collect()]
+    if crowded:
+        within = F.col(MONTH).isin([m for m in crowded if m is not None])
+        if None in crowded:
+            within = within | F.col(MONTH).isNull()
+        mark = written_so_far()
+        held = materialise(table.filter(within), "compacted")
+        _add(held, name, "overwrite")
+        discard_materialised(spark, mark)
+        spark.catalog.refreshTable(name)
+    return crowded
+
+
 def backfill_days(
     stored: DataFrame,
     start: str,
