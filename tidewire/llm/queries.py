@@ -213,9 +213,11 @@ candidates as (
     select * from spans s where kind < 3 or (
         regexp_matches(value, '[0-9]') and regexp_matches(value, '[a-z]') and regexp_matches(value, '[A-Z]')
         and not exists (select 1 from spans b where b.doc_id = s.doc_id and b.kind < 3 and s.start < b.stop and b.start < s.stop))),
-owners as (select value, count(distinct coalesce(source, '')) as owners from candidates group by value),
+owners as (
+    select value, count(distinct coalesce(source, '')) as owners, count(distinct coalesce(source, '') || chr(31) || coalesce(doc_id::varchar, '')) as repositories
+    from candidates group by value),
 told as (
-    select c.*, owners >= 3 as copied, kind < 3 or owners < 3 as shown, ['assign', 'access', 'hex', 'generic'][kind + 1] || ':' || start || ':' || stop as span
+    select c.*, owners >= 3 or repositories >= 50 as copied, kind < 3 or (owners < 3 and repositories < 50) as shown, ['assign', 'access', 'hex', 'generic'][kind + 1] || ':' || start || ':' || stop as span
     from candidates c join owners using (value)),
 per_doc as (
     select doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access,

@@ -1,13 +1,15 @@
 """Secrets in texts, and how widely each one is copied.
 
 Patterns give candidate spans. All candidates of the corpus are then counted by value: in how many
-repositories and by how many owners it occurs. A value that several owners have is a copied example;
-one that stays with its owner and looks random is a live credential, and is reported even where
-nothing around it says so. Only DataFrame functions are used.
+repositories and by how many owners it occurs. A value that several owners have, or one owner has in
+many repositories, is a copied example; one that stays with its owner and looks random is a live
+credential, and is reported even where nothing around it says so. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewire.session import materialise
@@ -18,37 +20,99 @@ KINDS = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
-    ("generic", r"[A-Za-z0-9+/_=-]{20,}", 0, 20),
+    # With the mark of ``masked``, so that a run which meets a base match can be told.
+    ("generic", "[A-Za-z0-9+/_=\U0010ffff-]{20,}", 0, 20),
 )
 GENERIC = len(KINDS) - 1
-# A value with at least so many owners is a copied example.
+# A value with at least so many owners, or in at least so many repositories, is a copied example.
 COPIED_OWNERS = 3
+COPIED_REPOSITORIES = 50
 # Values in more repositories than this are spread over ``SALTS`` parts when counts go back to them.
 HOT_REPOSITORIES, SALTS = 4096, 64
+# Matches whose positions are added up together; their sums are added up per such block after that.
+BLOCK = 128
+# Stands in for a character of a base match where generic ones are searched; no text means anything by it.
+MASK = "\U0010ffff"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _parts(text: Column, kind: int) -> Column:
+    """Array of (gap, match, value): every match of a kind with what lies before it, and the last gap."""
+    _, pattern, group, _ = KINDS[kind]
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"), values.alias("value"))
+
+
+def _lengths(part: Column) -> tuple[Column, Column]:
+    """Code points before a part's match, and of the match; the last part has none."""
+    return F.length(part["gap"]).cast("long"), F.coalesce(F.length(part["match"]), F.lit(0)).cast("long")
+
+
+def _running(items: Column, empty: Column, add: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Fold ``items`` into (at, out): ``add`` gives the step of ``at`` and an item of ``out`` from (at, item)."""
+
+    def step(state: Column, item: Column) -> Column:
+        far, made = add(state["at"], item)
+        return F.struct((state["at"] + far).alias("at"), F.concat(state["out"], F.array(made)).alias("out"))
+
+    return F.aggregate(items, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step)
 
 
 def matches(text: Column, kind: int) -> Column:
-    """Array of (kind, start, end, value) of the leftmost non-overlapping matches of one kind.
+    """Array of (start, kind, end, value) of the leftmost non-overlapping matches of one kind.
 
     What lies between the matches, and the matches themselves, are added up to positions in code
-    points, end excluded.
+    points, end excluded: inside blocks of ``BLOCK`` matches first, then over the blocks, as a fold
+    that appends copies what it has at every step.
     """
-    name, pattern, group, least = KINDS[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    parts = F.arrays_zip(found.alias("match"), values.alias("value"), F.split(text, pattern, -1).alias("gap"))
-    spans_type = "array<struct<kind:int,start:long,end:long,value:string>>"
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(spans_type).alias("spans"))
-
-    def add(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.length(part["match"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), part["value"].alias("value"))
+    _, pattern, _, least = KINDS[kind]
+    spans_type = "array<struct<start:long,kind:int,end:long,value:string>>"
+    none = F.array().cast(spans_type)
+
+    def place(at: Column, part: Column) -> tuple[Column, Column]:
+        gap, match = _lengths(part)
+        start = at + gap
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + match).alias("end"), part["value"].alias("value"))
         # The last gap has no match and ends the text.
         keeps = part["match"].isNotNull() & (F.length(part["value"]) >= least)
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(keeps, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        return gap + match, F.when(keeps, span)
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, empty, add)["spans"]).otherwise(F.array().cast(spans_type))
+    def moved(block: Column, by: Column) -> Column:
+        shift = lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["value"].alias("value"))
+        return F.transform(F.filter(block["out"], lambda s: s.isNotNull()), shift)
+
+    def spans(parts: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(parts), F.lit(BLOCK))
+        return _let(F.transform(firsts, lambda i: _running(F.slice(parts, i, F.lit(BLOCK)), none, place)), in_place)
+
+    def in_place(blocks: Column) -> Column:
+        offsets = _running(blocks, F.array().cast("array<long>"), lambda at, block: (block["at"], at))["out"]
+        return F.flatten(F.zip_with(blocks, offsets, moved))
+
+    return F.when(text.rlike(pattern), _let(_parts(text, kind), spans)).otherwise(none)
+
+
+def masked(text: Column) -> Column:
+    """The text with a mark in place of every character of a base match.
+
+    A kind that is masked later may lose a part of its match to an earlier one; what is left of it
+    touches a mark then, so a run of generic characters that meets a base match has a mark in it.
+    """
+    out = F.translate(text, MASK, " ")
+    for kind, (_, pattern, _, least) in enumerate(KINDS[:GENERIC]):
+
+        def hide(part: Column) -> Column:
+            match = F.coalesce(part["match"], F.lit(""))
+            marks = F.repeat(F.lit(MASK), F.length(match))
+            return F.concat(part["gap"], F.when(F.length(part["value"]) >= F.lit(least), marks).otherwise(match))
+
+        out = F.when(out.rlike(pattern), F.array_join(F.transform(_parts(out, kind), hide), "")).otherwise(out)
+    return out
 
 
 def looks_live(value: Column) -> Column:
@@ -57,7 +121,11 @@ def looks_live(value: Column) -> Column:
 
 
 def candidate_spans(docs: DataFrame, id_col: str, text_col: str, repository_col: str, owner_col: str) -> DataFrame:
-    """(row, id, repository, owner, base, more): base spans, and generic ones that meet none of them."""
+    """(row, id, repository, owner, base, more): base spans, and generic ones that meet none of them.
+
+    Time is linear in the text and its matches: generic runs are searched in the masked text, so
+    they are not held against base spans one by one.
+    """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("id"),
@@ -65,23 +133,17 @@ def candidate_spans(docs: DataFrame, id_col: str, text_col: str, repository_col:
         F.col(owner_col).cast("string").alias("owner"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    base = F.array_sort(F.concat(*(matches(F.col("text"), kind) for kind in range(GENERIC))), _by_place)
-    found = rows.select("row", "id", "repository", "owner", base.alias("base"), matches(F.col("text"), GENERIC).alias("generic"))
-    apart = lambda g: ~F.exists("base", lambda b: (g["start"] < b["end"]) & (b["start"] < g["end"]))
-    more = F.filter("generic", lambda g: looks_live(g["value"]) & apart(g))
-    return found.select("row", "id", "repository", "owner", "base", more.alias("more"))
-
-
-def _by_place(a: Column, b: Column) -> Column:
-    """Order of spans: by start, then kind as listed."""
-    left, right = (F.struct(x["start"], x["kind"]) for x in (a, b))
-    return F.when(left < right, -1).when(left > right, 1).otherwise(0)
+    base = F.array_sort(F.concat(*(matches(F.col("text"), kind) for kind in range(GENERIC))))
+    generic = _let(masked(F.col("text")), lambda text: matches(text, GENERIC))
+    more = F.filter(generic, lambda g: ~F.contains(g["value"], F.lit(MASK)) & looks_live(g["value"]))
+    return rows.select("row", "id", "repository", "owner", base.alias("base"), more.alias("more"))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
     """(value_hash, repositories, owners) from (value_hash, repository, owner).
 
-    NULL repositories and owners count as one each. Repeats shrink in three partial steps before
+    A repository belongs to its owner: equal names of two owners are two. NULL repositories and
+    owners count as one each. Repeats shrink in three partial steps before
     each exchange, so that a value which every repository has is never gathered in one task.
     """
     same = F.coalesce(F.col("owner"), F.lit("")).alias("owner"), F.coalesce(F.col("repository"), F.lit("")).alias("repository")
@@ -109,12 +171,14 @@ def scan(
     repository_col: str = "doc_id",
     owner_col: str = "source",
     copied_owners: int = COPIED_OWNERS,
+    copied_repositories: int = COPIED_REPOSITORIES,
 ) -> DataFrame:
     """(row, id, base, spans, n_live, n_copied) per row of ``docs``.
 
     ``base`` has the spans of the patterns with a meaning of their own, whatever their counts say.
-    ``spans`` adds the generic ones that are owner-specific: random-looking, and with fewer than
-    ``copied_owners`` owners. Both are arrays of (kind, start, end) by start, then kind; kind is a
+    ``spans`` adds the generic ones that are owner-specific: random-looking, with fewer than
+    ``copied_owners`` owners, and in fewer than ``copied_repositories`` repositories, as a value that
+    one owner has pasted everywhere is an example too. Both are arrays of (kind, start, end) by start, then kind; kind is a
     number in ``KINDS``. ``n_live`` and ``n_copied`` count the spans on either side of that line.
     NULL text is empty and has no spans; an empty table gives an empty result.
     """
@@ -122,7 +186,9 @@ def scan(
     one = found.select("row", "repository", "owner", F.explode(F.concat("base", "more")).alias("span"))
     one = one.select("row", "repository", "owner", F.sha2("span.value", 256).alias("value_hash"), "span.kind", "span.start", "span.end")
     counts = materialise(ownership(one), "secret-owners")
-    judged = with_ownership(one.drop("repository", "owner"), counts).withColumn("copied", F.col("owners") >= copied_owners)
+    judged = with_ownership(one.drop("repository", "owner"), counts).withColumn(
+        "copied", (F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories)
+    )
     told = F.when(~F.col("copied") | (F.col("kind") < GENERIC), F.struct("start", "kind", "end"))
     per_row = judged.groupBy("row").agg(
         F.sort_array(F.collect_list(told)).alias("told"),
