@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidewire.llm.text import join_groups
 from tidewire.session import materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_groups(both, low, ["u"], "n", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    near = edges.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    near = join_groups(edges, low, ["u"], "n", "v").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -24,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two long columns u and v, in any order, repeats and loops allowed. Each round
     shortens every path to the root by a factor, so long chains end after a logarithmic number of
-    rounds; each round's edges are written to the shared folder. Only a count and a checksum come
+    rounds; each round's edges are written to the shared folder. Edges at a hub, such as the root of
+    a giant component, are dealt over many tasks. Only a count and a checksum come
     to the driver. No edges: an empty result.
     """
     current = materialise(

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.llm.text import keep_rows
+from tidewire.llm.text import join_groups, keep_rows
 from tidewire.session import materialise
 
 BLOCK_BYTES = 16384
@@ -145,7 +145,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = found.groupBy("n_bytes", "name").agg(
         F.max(F.struct("id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
-    return found.join(best, ["n_bytes", "name"]).select(
+    # Large groups of copies are dealt over many tasks on their way back.
+    sized = best.withColumn("rows", F.col("group_size"))
+    return join_groups(found, sized, ["n_bytes", "name"], "rows", "row").select(
         "row",
         "id",
         F.col("best.id").alias("keep_id"),

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewire.llm.components import components
-from tidewire.llm.text import fold_ascii, keep_rows, map_batches, raw_text, split_words
+from tidewire.llm.text import fold_ascii, join_groups, keep_rows, map_batches, raw_text, split_words
 from tidewire.session import materialise
 
 SHINGLE_WORDS = 3
@@ -24,6 +24,8 @@ HASH_SEED = 42
 PAIRED_MEMBERS = 32
 # Every second bit: the low bits of the segments (fixed by the layout).
 EVEN_BITS = 0x5555555555555555
+# Shingles of a text that are hashed before their bits are added up.
+SHINGLES_AT_ONCE = 1 << 16
 
 
 def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -32,13 +34,16 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     if not words:
         return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    if len(words) < shingle_words:
-        hashes = [digest(join(words), HASH_SEED)]
-    else:
-        hashes = [digest(join(s), HASH_SEED) for s in zip(*(words[i:] for i in range(shingle_words)))]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    ones, count = np.zeros(64, dtype=np.int64), max(len(words) - shingle_words + 1, 1)
+    for start in range(0, count, SHINGLES_AT_ONCE):
+        part = words[start : start + SHINGLES_AT_ONCE + shingle_words - 1]
+        if len(words) < shingle_words:
+            hashes = [digest(join(part), HASH_SEED)]
+        else:
+            hashes = [digest(join(s), HASH_SEED) for s in zip(*(part[i:] for i in range(shingle_words)))]
+        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -140,17 +145,21 @@ def near_groups(
     group of them costs one row. An empty table gives an empty result.
     """
     found = materialise(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    nodes = materialise(found.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
+    nodes = materialise(found.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies")), "nodes")
     roots = components(near_edges(nodes.select("fp"), max_bits))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", "copies", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "root").select("fp", "root", "component_id")
-    return found.join(named, "fp").select("row", "id", "fp", "root", "component_id")
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    named = join_groups(rooted, lows, ["root"], "nodes", "fp").select("fp", "root", "component_id", "copies")
+    return join_groups(found, named, ["fp"], "copies", "row").select("row", "id", "fp", "root", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each near-duplicate group: the smallest id, then the first such row."""
+    """One document of each near-duplicate group: the smallest id, then the first such row.
+
+    NULL and empty texts are one group, as they have one fingerprint; rows with a NULL id come after
+    all others of their group. An empty table gives an empty result; all columns stay as they are.
+    """
     groups = materialise(near_groups(docs, id_col, text_col), "near-groups")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     return keep_rows(docs, first.select(F.col("first.row").alias("row")))
