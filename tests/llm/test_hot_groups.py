@@ -46,23 +46,23 @@ def test_hub_of_a_component(spark, monkeypatch):
     assert {r.node: r.root for r in components.components(frame).collect()} == want
 
 
-def test_join_groups_is_a_join_and_spreads(spark, monkeypatch):
-    monkeypatch.setattr(text, "HOT_ROWS", 5)
-    rows = spark.createDataFrame([(i, None if i % 11 == 0 else i % 3, f"s{i}") for i in range(300)], "row long, k int, salt string")
+@pytest.mark.parametrize("hot_rows, hot_groups", [(5, 10**6), (5, 2), (10**6, 10**6)])
+def test_join_groups_is_a_join_and_spreads(spark, monkeypatch, hot_rows, hot_groups):
+    monkeypatch.setattr(text, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(text, "HOT_GROUPS", hot_groups)
+    made = [(i, None if i % 11 == 0 else 0 if i % 3 else i, f"s{i}") for i in range(300)]
+    rows = materialise(spark.createDataFrame(made, "row long, k int, is_hot string").repartition(8, "row"), "rows")
     groups = rows.groupBy("k").agg(F.count("*").alias("members"), F.max("row").alias("top")).where("k is not null")
-    plain = sorted(map(tuple, rows.join(groups.drop("members"), "k").select("row", "k", "salt", "top").collect()))
-    joined = text.join_groups(rows, groups, ["k"], "members", "row")
-    assert joined.columns == ["row", "k", "salt", "top"] and sorted(map(tuple, joined.collect())) == plain
+    plain = sorted(map(tuple, rows.join(groups.drop("members"), "k").select("row", "k", "is_hot", "top").collect()))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        spread = text.join_groups(rows, groups, ["k"], "members", "row")
-        sizes = spread.groupBy(F.spark_partition_id()).count().collect()
+        joined = text.join_groups(rows, groups, ["k"], "members", 300)
+        assert joined.columns == ["row", "k", "is_hot", "top"] and sorted(map(tuple, joined.collect())) == plain
+        sizes = joined.where("k = 0").groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    # Three groups of 90 rows each would be in three tasks.
-    assert max(r["count"] for r in sizes) < 80
+    # The group of two thirds stays where its rows are, unless it counts as small.
+    assert len(sizes) > 1 if hot_rows == 5 else len(sizes) == 1
 
 
 def test_fingerprint_in_parts(monkeypatch):

@@ -8,15 +8,15 @@ from tidewire.llm.text import join_groups
 from tidewire.session import materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, number: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return join_groups(both, low, ["u"], "n", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return join_groups(both, low, ["u"], "n", 2 * number).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, number: int) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    near = join_groups(edges, low, ["u"], "n", "v").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = join_groups(edges, low, ["u"], "n", number).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has two long columns u and v, in any order, repeats and loops allowed. Each round
     shortens every path to the root by a factor, so long chains end after a logarithmic number of
     rounds; each round's edges are written to the shared folder. Edges at a hub, such as the root of
-    a giant component, are dealt over many tasks. Only a count and a checksum come
+    a giant component, are not gathered by it. Only a count and a checksum come
     to the driver. No edges: an empty result.
     """
     current = materialise(
@@ -40,6 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        current = materialise(_small_star(_large_star(current)), "edges")
+        # No more edges come out of a step than go into it.
+        current = materialise(_small_star(_large_star(current, mark[0]), mark[0]), "edges")
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

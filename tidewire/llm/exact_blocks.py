@@ -145,9 +145,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = found.groupBy("n_bytes", "name").agg(
         F.max(F.struct("id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
-    # Large groups of copies are dealt over many tasks on their way back.
+    # Rows of large groups of copies are not gathered by their key on the way back.
     sized = best.withColumn("rows", F.col("group_size"))
-    return join_groups(found, sized, ["n_bytes", "name"], "rows", "row").select(
+    return join_groups(found, sized, ["n_bytes", "name"], "rows", found.count()).select(
         "row",
         "id",
         F.col("best.id").alias("keep_id"),

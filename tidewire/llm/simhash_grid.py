@@ -150,8 +150,8 @@ def near_groups(
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", "copies", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
-    named = join_groups(rooted, lows, ["root"], "nodes", "fp").select("fp", "root", "component_id", "copies")
-    return join_groups(found, named, ["fp"], "copies", "row").select("row", "id", "fp", "root", "component_id")
+    named = join_groups(rooted, lows, ["root"], "nodes", rooted.count()).select("fp", "root", "component_id", "copies")
+    return join_groups(found, named, ["fp"], "copies", found.count()).select("row", "id", "fp", "root", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # The six white-space characters that end a word, as bytes.
 BLANKS = b" \t\n\x0b\x0c\r"
-# Groups of more rows than this are joined in SALTS parts.
-HOT_ROWS, SALTS = 256, 64
+# Groups of more rows than this may be broadcast, and fewer than so many are.
+HOT_ROWS, HOT_GROUPS = 256, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -81,20 +81,20 @@ def free_name(taken: list[str], wanted: str) -> str:
     return name
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], members: str, spread: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], members: str, total: int) -> DataFrame:
     """``rows`` with the columns of their group: an inner join on ``keys`` that no group can make uneven.
 
     ``groups`` has one row per group, ``members`` (a long column of it, not in the result) says how
-    many rows it has. A group of more than ``HOT_ROWS`` is joined once per salt, to the rows whose
-    ``spread`` column hashes to it, so its rows are dealt over ``SALTS`` tasks; that adds at most
-    one row per HOT_ROWS / SALTS rows. All others are joined plainly.
+    many of the ``total`` rows are in it. Groups of more than ``HOT_ROWS`` rows and of more than
+    one in ``HOT_GROUPS`` of all rows are broadcast: there are fewer than HOT_GROUPS of them
+    whatever the data, and their rows are not shuffled at all. The others are joined by a shuffle.
     """
-    salt, found = free_name(rows.columns + groups.columns, "salt"), free_name(rows.columns + groups.columns, "is_hot")
+    found = free_name(rows.columns + groups.columns, "is_hot")
     added = [c for c in groups.columns if c not in (*keys, members)]
-    hot = groups.where(F.col(members) > HOT_ROWS).drop(members).withColumn(found, F.lit(True))
-    hot = hot.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    tried = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(hot, [*keys, salt], "left")
-    plain = groups.where(F.col(members) <= HOT_ROWS).drop(members)
+    least = max(HOT_ROWS, total / HOT_GROUPS)
+    hot = groups.where(F.col(members) > least).drop(members).withColumn(found, F.lit(True))
+    tried = rows.join(F.broadcast(hot), keys, "left")
+    plain = groups.where(F.col(members) <= least).drop(members)
     settled = tried.where(found).select(*rows.columns, *added)
     rest = tried.where(F.col(found).isNull()).select(*rows.columns).join(plain, keys)
     return settled.unionByName(rest.select(*rows.columns, *added))
