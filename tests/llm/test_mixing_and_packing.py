@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tidewire.llm import mixing, packing
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -145,8 +146,57 @@ def test_rounds_merge_what_is_open(spark):
     fill = defaultdict(int)
     for r in placed:
         fill[r.bin] += lengths[r.item]
-    # Sixteen open bins are few for pieces that come longest first.
-    assert max(fill.values()) <= 4096 and len(fill) <= 1.2 * sum(lengths.values()) / 4096
+    assert max(fill.values()) <= 4096 and len(fill) <= 1.05 * sum(lengths.values()) / 4096
+
+
+def test_packing_is_online_and_the_bound_binds(spark, monkeypatch):
+    """Bins are those of a packer that sees items in their order, and most close because all are open."""
+    rng = random.Random(6)
+    lengths = [rng.randint(1, 64) for _ in range(3000)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long").repartition(5)
+    got = {r.item: (r.bin & 0xFFFFFFFF, r.offset) for r in packing.pack(items, capacity=64, open_bins=20).collect()}
+    bins, made, shut, want = packing.OpenBins(20), 0, 0, {}
+    for i, n in enumerate(lengths):
+        bin_id, offset, closed = bins.place(n, made, 64)
+        made += bin_id == made
+        shut += closed is not None
+        want[i] = (bin_id, offset)
+    assert got == want and shut > 200
+    # At the size of a task in use, with lengths as documents have them, the default closes bins too.
+    bins, made, shut = packing.OpenBins(packing.OPEN_BINS), 0, 0
+    for _ in range(40_000):
+        bin_id, _, closed = bins.place(min(int(rng.lognormvariate(6, 1)) + 1, 4095), made, 4096)
+        made += bin_id == made
+        shut += closed is not None
+    assert shut > made / 2
+
+
+def test_inclusion_follows_the_odds(spark, tmp_path):
+    """Documents' shares of being taken over many seeds, against odds that meet the target in the mean."""
+    sizes = [4, 9, 16, 25, 36, 49] * 20
+    rows = [(i, " ".join(["w"] * n), "only") for i, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    left = 0.5 * sum(sizes)
+
+    def chances(weight):
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            middle = (low + high) / 2
+            met = sum(n * middle * weight(n) / (1 + middle * weight(n)) for n in sizes)
+            low, high = (middle, high) if met < left else (low, middle)
+        return {n: low * weight(n) / (1 + low * weight(n)) for n in set(sizes)}
+
+    for odds, weight in ((mixing.size_odds, lambda n: n**0.5), (lambda size: size * size + 0.0, lambda n: float(n * n)), (lambda size: F.lit(1.0), lambda n: 1.0)):
+        more, seeds = defaultdict(int), 12
+        for seed in range(seeds):
+            found = mixing.mix(docs, seed=seed, share=1.5, odds=odds).collect()
+            assert abs(sum(r.taken for r in found) - 1.5 * sum(sizes)) <= 25
+            for r in found:
+                assert r.copies in (1, 2)
+                more[r.size] += r.copies - 1
+        for n, chance in chances(weight).items():
+            assert more[n] / (20 * seeds) == pytest.approx(chance, abs=0.11), (n, chance)
 
 
 def test_several_tasks_pack_in_rounds(spark, monkeypatch):

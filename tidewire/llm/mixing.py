@@ -1,14 +1,17 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source has a target number of words. A document takes as many certain whole copies as its
-expected number of copies has, and one more with the rest as inclusion probability. Which documents
-get that one more is settled by Pareto order sampling: each has the rank (random odds) / (inclusion
-odds), and the smallest ranks of a source are taken until its target is met. Random numbers come
-from a hash of the row, so that reruns agree.
+expected number of copies has, and one more by unequal-probability sampling. Which documents get that
+one more is settled by Pareto order sampling: each has the rank (random odds) / (inclusion odds),
+and the smallest ranks of a source are taken until its target is met. Inclusion odds are given
+relative to each other; a factor that a whole source shares changes no order, so it need not be
+known. Random numbers come from a hash of the row, so that reruns agree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewire.llm.text import WORD, free_name
@@ -18,8 +21,9 @@ from tidewire.session import materialise
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
-# Slices of the random range per source; only the slice in which a target is met is ordered.
-SLICES = 4096
+# Slices of the ranks per source, at least, and rows per slice, about; only the slice in which a
+# target is met is put in order.
+SLICES, SLICE_ROWS = 4096, 16_384
 UNIFORM_DIGITS = 13
 
 
@@ -35,6 +39,11 @@ def uniform(*parts: Column) -> Column:
     return (whole + 0.5) / F.lit(float(16**UNIFORM_DIGITS))
 
 
+def size_odds(size: Column) -> Column:
+    """Inclusion odds that grow with the root of a document's words: of two, the longer is likelier."""
+    return F.sqrt(F.greatest(size, F.lit(1)).cast("double"))
+
+
 def source_targets(
     sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_copies: int = MOST_COPIES
 ) -> DataFrame:
@@ -73,17 +82,20 @@ def mix(
     share: float = SHARE,
     most_copies: int = MOST_COPIES,
     seed: int = 0,
+    odds: Callable[[Column], Column] = size_odds,
 ) -> DataFrame:
     """(row, id, size, source_size, target, copies, taken) per row of ``docs``.
 
     ``copies`` is a whole number from 0 to ``most_copies``, ``taken`` is copies x size. The expected
     number of copies of a document is target / source_size; its whole part is certain. Among the
     documents of a source the rest is a fixed-size sample: ranks are taken in order until the words
-    left of the target are used up, the last document if at least half of it fits.
+    left of the target are used up, the last document if at least half of it fits. ``odds`` gives a
+    document's inclusion odds from its size, positive and relative to others of its source; with
+    ``lambda size: lit(1.0)`` all are equally likely.
 
     The running sum over ranks is not taken over a whole source: words are added up per slice of
-    the random range first, and only the rows of the one slice in which the target is met are put
-    in order. Documents without words have size 0 and follow the same rule. Equal ranks (repeated
+    the ranks first, and only the rows of the one slice in which the target is met are put in
+    order. Documents without words have size 0 and follow the same rule. Equal ranks (repeated
     rows) are ordered by row. NULL source is a source of its own. An empty table gives an empty
     result.
     """
@@ -94,21 +106,24 @@ def mix(
             F.col(source_col).alias("source"),
             word_count(text_col).alias("size"),
             uniform(F.lit(seed), F.col(id_col)).alias("u"),
-        ),
+        ).withColumn("rank", F.col("u") / (F.lit(1.0) - F.col("u")) / odds(F.col("size"))),
         "sizes",
     )
+    # Ranks times their usual odds lie evenly over (0, 1) after x / (1 + x), about.
+    total, usual = rows.agg(F.count(F.lit(1)), F.avg(odds(F.col("size")))).first()
+    number = max(SLICES, total // SLICE_ROWS)
+    level = F.col("rank") * F.lit(usual or 1.0)
+    slice_ = F.floor(level / (F.lit(1.0) + level) * F.lit(number)).cast("int")
     slices = materialise(
-        rows.groupBy("source", F.floor(F.col("u") * SLICES).cast("int").alias("slice")).agg(F.sum("size").alias("words")),
+        rows.groupBy("source", slice_.alias("slice")).agg(F.sum("size").alias("words")),
         "slices",
     )
     targets = source_targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most_copies)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sure = F.floor(expected).cast("int")
-    plan = targets.withColumn("sure", sure).withColumn("chance", expected - sure)
+    plan = targets.withColumn("sure", sure)
     plan = plan.withColumn("left_over", F.col("target") - F.col("source_size") * F.col("sure"))
     plan = materialise(plan.withColumnRenamed("source", "of_source"), "source-plan")
-    # Inclusion odds are the same throughout a source, so ranks keep the order of u, and slices of
-    # u are slices of ranks.
     running = F.sum("words").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
     cuts = (
         slices.withColumn("before", F.coalesce(running, F.lit(0)))
@@ -119,15 +134,13 @@ def mix(
     )
     plan = plan.join(cuts.withColumnRenamed("of_source", "cut_source"), F.col("of_source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
     plan = materialise(plan, "source-cuts")
-    known = rows.join(plan, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("slice", F.floor(F.col("u") * SLICES).cast("int"))
-    odds = lambda p: p / (F.lit(1.0) - p)
-    rank = odds(F.col("u")) / odds(F.greatest(F.col("chance"), F.lit(1e-300)))
+    known = rows.join(plan, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("slice", slice_)
     at_cut = F.col("slice") == F.col("cut_slice")
-    ordered = known.where(at_cut).withColumn("rank", rank)
+    ordered = known.where(at_cut)
     upto = F.sum("size").over(W.partitionBy("source").orderBy("rank", "id", "row").rowsBetween(W.unboundedPreceding, W.currentRow))
     # Taken if the target is met no earlier than half-way through the document.
     one_more = F.col("before") + upto - F.col("size") / 2 <= F.col("left_over")
-    settled = ordered.withColumn("more", one_more.cast("int")).drop("rank")
+    settled = ordered.withColumn("more", one_more.cast("int"))
     # Without a cut the source's left-over is nothing, or all of it.
     whole = F.when(F.col("left_over") <= 0, F.lit(0)).when(F.col("cut_slice").isNull(), F.lit(1)).otherwise((F.col("slice") < F.col("cut_slice")).cast("int"))
     others = known.where(~F.coalesce(at_cut, F.lit(False))).withColumn("more", whole)

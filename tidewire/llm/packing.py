@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences with a bounded number of open bins.
 
 Documents are tokenised and cut only where longer than a sequence. Pieces arrive one after the
-other at a packer with a fixed number of open bins, whose free spaces are the set bits of one
+other, in the order of the documents, at a packer with a fixed number of open bins, whose free spaces are the set bits of one
 integer: the tightest bin that takes a piece is found with two bit operations, and when every bin
 is open and none takes it, the fullest bin closes. Each task packs its own share; the bins still
 open at its end are packed again as wholes with those of other tasks, in rounds.
@@ -23,7 +23,7 @@ from tidewire.llm.text import fold_ascii, map_batches, raw_text, split_words
 from tidewire.session import materialise
 
 CAPACITY = 4096
-OPEN_BINS = 32_768
+OPEN_BINS = 1024
 END_ID = 1
 # Tasks whose open bins meet in one task of the next round.
 FAN_IN = 16
@@ -113,7 +113,8 @@ def token_pieces(
     """(row, id, piece, start, length, ids_crc32) per piece; every document ends with ``end_id``.
 
     Only documents of more than ``capacity`` ids are cut, into pieces of ``capacity`` ids; the
-    last may be shorter. NULL text counts as empty and is the end id alone.
+    last may be shorter. NULL text counts as empty and is the end id alone. A very long text is one
+    row in and as many pieces out as it needs; its ids are held in memory at once, four bytes each.
     """
 
     class Cut:
@@ -206,7 +207,8 @@ def _packer(limit: int, capacity: int, tag: int):
 
 def _round(items: DataFrame, tasks: int, limit: int, capacity: int, tag: int) -> DataFrame:
     dealt = items.select("item", "length").repartition(tasks, F.xxhash64("item", F.lit(tag)))
-    dealt = dealt.sortWithinPartitions(F.desc("length"), "item")
+    # The order of arrival, whichever way the shuffle brings the rows: lengths are not known ahead.
+    dealt = dealt.sortWithinPartitions("item")
     packed = dealt.mapInArrow(_packer(limit, capacity, tag), "item long, bin long, offset long, fill long")
     return materialise(packed, f"bins-{tag}")
 
@@ -215,8 +217,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     """(item, bin, offset) for items (item long unique, length long in 1..capacity).
 
     Items are dealt to tasks by a hash, so that each task sees a mixture of lengths, and no key
-    of the data decides the size of a task; the longest come first, so that short ones fill what
-    is left. A task holds ``open_bins`` bins whatever its input.
+    of the data decides the size of a task; in a task they come in their order. A task holds
+    ``open_bins`` bins whatever its input: where all are open and none takes an item, the fullest
+    closes for good.
     Bins left open by one round are the items of the next, with ``fan_in`` times fewer tasks,
     until one task is left; that one gets at most ``fan_in * open_bins`` rows. Nothing is dropped:
     bins of the last round stay as they are.

@@ -236,6 +236,7 @@ with recursive docs as (
            (('0x' || substr(md5('0' || chr(31) || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5)
            / 4503599627370496.0 as u
     from documents),
+odds as (select *, u / (1.0::double - u) / sqrt(greatest(size, 1)::double) as rank from docs),
 sources as (
     select source, source_size, 2 * source_size as stop,
            [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight
@@ -254,8 +255,8 @@ targets as (select source, source_size, target from shared where round = (select
 ranked as (
     select d.*, t.source_size, t.target,
            case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end as sure,
-           sum(size) over (partition by d.source order by u, doc_id rows unbounded preceding) as upto
-    from docs d join targets t on d.source is not distinct from t.source)
+           sum(size) over (partition by d.source order by rank, doc_id rows unbounded preceding) as upto
+    from odds d join targets t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target,
        (size * (sure + case when target - source_size * sure > 0 and upto - size / 2 <= target - source_size * sure
                             then 1 else 0 end))::bigint as taken
