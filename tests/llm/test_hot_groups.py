@@ -39,7 +39,9 @@ def test_near_groups(spark, crowded):
         assert r.component_id <= min(linked) and all(got[j].component_id == r.component_id for j in linked)
 
 
-def test_hub_of_a_component(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_hub_of_a_component(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     edges = [(0, i) for i in range(1, 1500)] + [(2000 + i, 2001 + i) for i in range(40)] + [(1499, 3000)]
     frame = spark.createDataFrame(edges, "u long, v long")
     want = {**{i: 0 for i in range(1500)}, 3000: 0, **{2000 + i: 2000 for i in range(41)}}

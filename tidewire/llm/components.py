@@ -8,15 +8,26 @@ from tidewire.llm.text import join_groups
 from tidewire.session import materialise
 
 
+# Up to so many edges, of two numbers each, even one node with all of them is little for a task.
+FEW_EDGES = 1_000_000
+
+
+def _with_low(edges: DataFrame, low: DataFrame, number: int) -> DataFrame:
+    """Edges with the smallest neighbour ``m`` of their ``u``; those at a hub are not gathered by it."""
+    if number <= FEW_EDGES:
+        return edges.join(low.drop("n"), "u")
+    return join_groups(edges, low, ["u"], "n", number)
+
+
 def _large_star(edges: DataFrame, number: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return join_groups(both, low, ["u"], "n", 2 * number).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_low(both, low, 2 * number).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame, number: int) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    near = join_groups(edges, low, ["u"], "n", number).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = _with_low(edges, low, number).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
