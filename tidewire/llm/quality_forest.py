@@ -1,10 +1,11 @@
 """Quality rules and an isolation forest over their statistics.
 
-One pass takes the statistics of every text. For each statistic random trees, grown on a bounded
-sample, split its range at random; a text that few splits set apart from the rest is anomalous in
-that statistic. The anomaly above which a text is rejected is set by labelled rows, one threshold
-per statistic: junk of one kind is common enough to look ordinary among all statistics together,
-but stands out in the one it spoils.
+One pass takes the statistics of every text. Random trees, grown on a bounded sample, split the
+ranges of statistics at random; a text that few splits set apart from the rest is anomalous. One
+forest splits over all statistics, so that its paths tell rare combinations; beside it stands one
+for each statistic, as junk of one kind is common enough to look ordinary among all statistics
+together, but stands out in the one it spoils. The anomaly above which a text is rejected is set
+by labelled rows, one threshold per forest.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ WINDOW = 8
 # The base rules (fixed values): fewest words, and most words in repeated windows per hundred.
 LEAST_WORDS, MOST_REPEATED = 20, 30
 TREES, SAMPLE_PER_TREE = 100, 256
+# The forest over all statistics needs deeper trees to tell combinations.
+JOINT_TREES, JOINT_SAMPLE = 100, 1024
 # About so many rows the forests grow on, drawn by a hash.
 SAMPLE_ROWS = 20_000
 # The share of good labelled rows that the thresholds may reject together, and how many times the
@@ -99,16 +102,20 @@ def statistics(text: bytes) -> tuple[list[int], list[float]]:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ratios) per row."""
+    """(row, mark, id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ratios) per row.
+
+    ``mark`` is a hash of id and text, by which samples are drawn.
+    """
 
     def counted(cols: dict[str, list]) -> dict[str, list]:
         found = [statistics(t) for t in cols["bytes"]]
         out = {name: [base[i] for base, _ in found] for i, name in enumerate(BASE)}
-        return {"row": cols["row"], "id": cols["id"], **out, "ratios": [r for _, r in found]}
+        return {"row": cols["row"], "mark": cols["mark"], "id": cols["id"], **out, "ratios": [r for _, r in found]}
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), raw_text(text_col).alias("bytes"))
+    mark = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), mark.alias("mark"), F.col(id_col).alias("id"), raw_text(text_col).alias("bytes"))
     kinds = ", ".join(f"{name} long" for name in BASE)
-    return map_batches(rows, counted, f"row long, id {rows.schema['id'].dataType.simpleString()}, {kinds}, ratios array<double>")
+    return map_batches(rows, counted, f"row long, mark long, id {rows.schema['id'].dataType.simpleString()}, {kinds}, ratios array<double>")
 
 
 def expected_path(n: np.ndarray | float) -> np.ndarray:
@@ -172,12 +179,19 @@ def grow(x: np.ndarray, trees: int = TREES, per_tree: int = SAMPLE_PER_TREE, see
     return Forest(*arrays, per_tree)
 
 
+def grow_all(x: np.ndarray) -> list[Forest]:
+    """A forest per column, and one more over all columns together."""
+    width = x.shape[1]
+    return [*(grow(x[:, [i]], seed=SEED + i) for i in range(width)), grow(x, JOINT_TREES, JOINT_SAMPLE, SEED + width)]
+
+
 def forest_scores(stats: DataFrame, forests: list[Forest]) -> DataFrame:
-    """``stats`` without ratios, with an array ``anomalies``: one number per forest, ratio by ratio."""
+    """``stats`` without ratios, with an array ``anomalies``: one number per forest, as ``grow_all`` has them."""
 
     def scored(cols: dict[str, list]) -> dict[str, list]:
         x = np.array(cols.pop("ratios"), float).reshape(len(cols["row"]), -1)
-        found = np.stack([forest.scores(x[:, [i]]) for i, forest in enumerate(forests)], axis=1)
+        found = [forest.scores(x[:, [i]]) for i, forest in enumerate(forests[:-1])]
+        found = np.stack([*found, forests[-1].scores(x)], axis=1)
         return {**cols, "anomalies": list(found)}
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields if f.name != "ratios")
@@ -185,14 +199,15 @@ def forest_scores(stats: DataFrame, forests: list[Forest]) -> DataFrame:
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, id_col: str, label_col: str, good_lost: float = GOOD_LOST) -> list[float]:
-    """Per statistic the anomaly from which rows are rejected, from all labelled rows.
+    """Per forest the anomaly from which rows are rejected, from all labelled rows.
 
-    Each statistic may reject an equal part of ``good_lost`` of the good rows. Of the thresholds
+    A label that is there several times counts once; a row with labels of both kinds counts for
+    both. Each forest may reject an equal part of ``good_lost`` of the good rows. Of the thresholds
     that keep to it, and reject a share of bad rows ``LIFT`` times that of good ones, the one that
     rejects most bad rows; 1, which rejects nothing, if there is none. Counts come from ``BINS``
     bins of the anomaly, whose upper edges are the thresholds tried.
     """
-    known = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).where("key is not null and label in (0, 1)")
+    known = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).where("key is not null and label in (0, 1)").distinct()
     each = scored.join(known, F.col("id") == F.col("key")).select("label", F.posexplode("anomalies").alias("statistic", "anomaly"))
     bins = each.groupBy("statistic", F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"), "label").count().collect()
     number = 1 + max((r.statistic for r in bins), default=-1)
@@ -222,22 +237,23 @@ def judge(
     """(row, id, base counts, base_failed, anomaly, kept) per row of ``docs``.
 
     A row fails the base rules with fewer than 20 words, or with more than 30 of 100 words in
-    repeated windows of 8 words. Rows that pass are kept unless a statistic's anomaly reaches its
+    repeated windows of 8 words. Rows that pass are kept unless the anomaly of a forest reaches its
     threshold; ``anomaly`` is the largest of a row. The forests grow on about ``SAMPLE_ROWS``
-    rows that pass, drawn by a hash; all else covers every row. NULL text has no
-    words. An empty table gives an empty result.
+    rows that pass, drawn by a hash of id and text, so that other file splits change nothing; all
+    else covers every row. NULL text has no words. Repeated rows are judged alike. An empty table
+    gives an empty result.
     """
     stats = materialise(document_statistics(docs, id_col, text_col), "rule-statistics")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
     passing = stats.where(~failed)
     rate = SAMPLE_ROWS / max(passing.count(), 1)
-    sample = passing.where(drawn("row", "forest") < rate).select("row", "ratios").collect()
+    sample = passing.where(drawn("mark", "forest") < rate).select("mark", "ratios").collect()
     x = np.array([r.ratios for r in sorted(sample)], float)
     if not len(x):
-        return stats.drop("ratios").withColumn("anomaly", F.lit(0.0)).withColumn("kept", ~F.col("base_failed"))
-    forests = [grow(x[:, [i]], seed=SEED + i) for i in range(x.shape[1])]
-    scored = materialise(forest_scores(stats, forests), "anomalies")
+        return stats.drop("ratios", "mark").withColumn("anomaly", F.lit(0.0)).withColumn("kept", ~F.col("base_failed"))
+    forests = grow_all(x)
+    scored = materialise(forest_scores(stats.drop("mark"), forests), "anomalies")
     limits = thresholds(scored.where(~F.col("base_failed")), labels, id_col, label_col, good_lost)
     limits = F.array(*map(F.lit, limits or [1.0] * len(forests)))
     odd = F.exists(F.arrays_zip(F.col("anomalies").alias("a"), limits.alias("l")), lambda z: (z["l"] < 1) & (z["a"] >= z["l"]))

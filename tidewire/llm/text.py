@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 # The six white-space characters that end a word, as bytes.
 BLANKS = b" \t\n\x0b\x0c\r"
 # Groups of more rows than this may be broadcast, and fewer than so many are.
 HOT_ROWS, HOT_GROUPS = 256, 100_000
+# Bytes of texts that a task function gets at once.
+SLICE_BYTES = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,6 +46,9 @@ def raw_text(text_col: str) -> Column:
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, slice_rows: int = 512) -> DataFrame:
     """``mapInArrow`` over slices of bounded length: columns as Python lists in, lists or arrays out.
 
+    A slice has at most ``slice_rows`` rows, and no more than ``SLICE_BYTES`` bytes of binary
+    columns unless one row alone has more.
+
     ``fn`` may carry state between slices of a task through its own closure; it is built once per
     task when it has an attribute ``per_task`` (a factory).
     """
@@ -51,8 +57,8 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = fn.per_task() if hasattr(fn, "per_task") else fn
         for batch in batches:
-            for start in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(start, slice_rows)
+            for start, stop in slices_of(batch, slice_rows):
+                part = batch.slice(start, stop - start)
                 cols = step({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in out_schema], schema=out_schema)
         rest = getattr(step, "finish", None)
@@ -63,6 +69,21 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
+def slices_of(batch: pa.RecordBatch, slice_rows: int) -> Iterator[tuple[int, int]]:
+    """(first row, end) of slices with at most so many rows and about ``SLICE_BYTES`` bytes."""
+    held = [column for column in batch.columns if pa.types.is_binary(column.type)]
+    sizes = [sum(row) for row in zip(*(pc.fill_null(pc.binary_length(c), 0).to_pylist() for c in held), strict=True)] if held else None
+    start, size = 0, 0
+    for row in range(batch.num_rows):
+        more = sizes[row] if sizes else 0
+        if row > start and (row - start >= slice_rows or size + more > SLICE_BYTES):
+            yield start, row
+            start, size = row, 0
+        size += more
+    if batch.num_rows:
+        yield start, batch.num_rows
+
+
 def arrow_schema(df: DataFrame, ddl: str) -> pa.Schema:
     """The Arrow form of a DDL schema; only the simple types used here."""
     from pyspark.sql.pandas.types import to_arrow_schema

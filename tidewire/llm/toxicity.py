@@ -27,13 +27,16 @@ THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 # The bounded sample of labelled rows: about so many of each label, drawn by a hash of the id.
 ROWS_PER_LABEL = 6000
-# The lexicon: at most so many features, each with evidence beyond chance by this margin (as a
-# log), where features with fewer rows than this are not counted as tried.
-LEXICON_SIZE, MARGIN, LEAST_ROWS = 20_000, 3.0, 4
+# The lexicon's features have evidence beyond chance by this margin (as a log), where features with
+# fewer rows than this are not counted as tried.
+MARGIN, LEAST_ROWS = 3.0, 4
 PREFIXES = (4, 5, 6)
 GRAM = 4
-GRAMS_KEPT = 150_000
-BEAM = 48
+# n-grams rarer than one in so many of their length are not kept: fewer than so many are, whatever
+# the corpus. The weight of the rarer ones goes to shorter contexts.
+RAREST_GRAM = 200_000
+# Different words that a task counts before it hands them on.
+COUNTED_WORDS = 400_000
 # Numbers that ``summary`` gives.
 SUMMARY = 6
 CACHED_WORDS = 400_000
@@ -67,9 +70,14 @@ def hidden(token: str) -> bool:
 
 @dataclass
 class CharModel:
-    """Interpolated character n-grams, up to ``GRAM`` letters, words padded with blanks."""
+    """Interpolated character n-grams, up to ``GRAM`` letters, words padded with blanks.
+
+    ``lost`` says how often a context went on with a letter whose n-gram is not kept; that much
+    weight goes to the shorter context.
+    """
 
     counts: dict[str, int]
+    lost: dict[str, int] = field(default_factory=dict)
     letters: int = field(init=False)
     cache: dict[str, float] = field(default_factory=dict, repr=False)
 
@@ -90,8 +98,8 @@ class CharModel:
                 left = context[at:]
                 total = self.totals.get(left, 0)
                 if total:
-                    kinds = self.kinds[left]
-                    p = (self.counts.get(left + letter, 0) + kinds * p) / (total + kinds)
+                    spare = self.kinds[left] + self.lost.get(left, 0)
+                    p = (self.counts.get(left + letter, 0) + spare * p) / (total + spare)
             self.cache[key] = math.log(p)
         return self.cache[key]
 
@@ -126,7 +134,11 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: CharModel) -> str:
-    """The likeliest letters behind a token (Viterbi over the last ``GRAM - 1`` letters)."""
+    """The likeliest letters behind a token (Viterbi over the last ``GRAM - 1`` letters).
+
+    All states are kept: they are strings of letters that symbols of the token may stand for, so
+    their number does not grow with the token, and few tokens have more than a dozen.
+    """
     start = " " * (GRAM - 1)
     # Letters so far are a chain (chain before, letter), so that time grows with the length only.
     best: dict[str, tuple[float, tuple | None]] = {start: (0.0, None)}
@@ -138,8 +150,6 @@ def decode(token: str, model: CharModel) -> str:
                 here = score - cost + model.log(state, letter) if letter else score - cost
                 if to not in after or here > after[to][0]:
                     after[to] = (here, (chain, letter) if letter else chain)
-        if len(after) > BEAM:
-            after = dict(sorted(after.items(), key=lambda x: (-x[1][0], x[0]))[:BEAM])
         best = after
     # Every path also pays for the end of the word.
     _, chain = max(((score + model.log(state, " "), chain) for state, (score, chain) in best.items()), key=lambda x: x[0])
@@ -304,6 +314,7 @@ def _lexicon(per_feature: DataFrame, bad: Column, good: Column) -> dict[str, tup
 
     The evidence of a feature is the log likelihood ratio of its share of toxic rows against the
     share of all features; it must exceed the log of the number of features tried by ``MARGIN``.
+    There are no more of them than distinct features in the bounded sample.
     """
     counts = per_feature.select("feature", bad.cast("double").alias("bad"), good.cast("double").alias("good"))
     all_bad, all_good, tried = counts.agg(F.sum("bad"), F.sum("good"), F.count_if(F.col("bad") + F.col("good") >= LEAST_ROWS)).first()
@@ -316,17 +327,70 @@ def _lexicon(per_feature: DataFrame, bad: Column, good: Column) -> dict[str, tup
     odds = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - math.log(all_bad / all_good)
     sure = counts.select("feature", evidence.alias("evidence"), odds.alias("weight"))
     sure = sure.where((odds > 0) & (F.col("evidence") > math.log(max(tried, 1)) + MARGIN))
-    return {r.feature: (r.evidence, r.weight) for r in sure.orderBy(F.desc("evidence"), "feature").limit(LEXICON_SIZE).collect()}
+    return {r.feature: (r.evidence, r.weight) for r in sure.orderBy(F.desc("evidence"), "feature").collect()}
 
 
-def _gram_rows(cols: dict[str, list]) -> dict[str, list]:
-    seen: Counter = Counter()
-    for raw in cols["bytes"]:
-        for token in set(str(raw, "utf-8", "replace").lower().split()):
-            word = token.strip(MARKS)
-            if word.isalpha():
-                seen.update(grams(word))
-    return {"gram": list(seen), "n": list(seen.values())}
+class _WordRows:
+    """Task function: words of letters, with the number of rows that have each."""
+
+    @staticmethod
+    def per_task():
+        seen: Counter = Counter()
+
+        def handed() -> dict[str, list]:
+            out = {"word": list(seen), "n": list(seen.values())}
+            seen.clear()
+            return out
+
+        def count(cols: dict[str, list]) -> dict[str, list]:
+            for raw in cols["bytes"]:
+                seen.update({word for token in set(str(raw, "utf-8", "replace").lower().split()) if (word := token.strip(MARKS)).isalpha()})
+            return handed() if len(seen) >= COUNTED_WORDS else {"word": [], "n": []}
+
+        count.finish = handed
+        return count
+
+
+class _GramRows:
+    """Task function: n-grams of distinct words, weighted by the words' counts."""
+
+    @staticmethod
+    def per_task():
+        seen: Counter = Counter()
+
+        def handed() -> dict[str, list]:
+            out = {"gram": list(seen), "n": list(seen.values())}
+            seen.clear()
+            return out
+
+        def count(cols: dict[str, list]) -> dict[str, list]:
+            for word, n in zip(cols["word"], cols["n"], strict=True):
+                for gram in grams(word):
+                    seen[gram] += n
+            return handed() if len(seen) >= COUNTED_WORDS else {"gram": [], "n": []}
+
+        count.finish = handed
+        return count
+
+
+def character_model(docs: DataFrame, id_col: str, text_col: str) -> CharModel:
+    """Character n-grams of the words of all rows outside the held-out fold; labels take no part.
+
+    Words are added up first, then the n-grams of distinct words, each by the rows that have it. Of
+    each length those with at least one in ``RAREST_GRAM`` of all occurrences are kept: a bound on
+    what comes to the driver that no corpus size moves.
+    """
+    rows = docs.where(remainder(id_col, FOLDS) != HELD_OUT).select(raw_text(text_col).alias("bytes"))
+    words = map_batches(rows, _WordRows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = map_batches(words, _GramRows, "gram string, n long", slice_rows=8192).groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = materialise(counted.withColumn("size", F.length("gram")), "char-grams")
+    least = {r.size: -(-r.n // RAREST_GRAM) for r in counted.groupBy("size").agg(F.sum("n").alias("n")).collect()}
+    enough = F.element_at(F.create_map(*(F.lit(x) for pair in least.items() for x in pair)), F.col("size")) if least else F.lit(1)
+    keeps = F.col("n") >= enough
+    context = F.substring(F.col("gram"), F.lit(1), F.col("size") - 1).alias("context")
+    lost = counted.groupBy(context).agg(F.sum(F.when(~keeps, F.col("n"))).alias("lost"), F.count_if(keeps).alias("kept"))
+    kept = {r.gram: r.n for r in counted.where(keeps).select("gram", "n").collect()}
+    return CharModel(kept, {r.context: r.lost for r in lost.where("kept > 0 and lost > 0").collect()})
 
 
 def train(
@@ -337,17 +401,15 @@ def train(
     label_col: str = "toxic",
     per_label: int = ROWS_PER_LABEL,
 ) -> Model:
-    """Fit on a bounded sample: about ``per_label`` rows of each label (default 6,000).
+    """Fit on a bounded sample of labelled rows: about ``per_label`` of each label (default 6,000).
 
-    A feature counts once per distinct word before it, so that copies of one text, exact or near,
-    count once. What comes to the driver is bounded too: ``LEXICON_SIZE`` features, ``GRAMS_KEPT``
-    n-grams and ``SUMMARY`` numbers per sampled row. Without rows of both labels every score is the share of label 1
+    The character model takes no labels and covers all rows outside the held-out fold. A feature counts once per distinct word before it, so that copies of one text, exact or near,
+    count once. What comes to the driver is bounded: the sample's telling features, n-grams by
+    their share, and ``SUMMARY`` numbers per sampled row. Without rows of both labels every score is the share of label 1
     (one half without any row).
     """
     sample = materialise(labelled_sample(docs, labels, id_col, text_col, label_col, per_label), "toxic-sample")
-    grams_of = map_batches(sample.select("bytes"), _gram_rows, "gram string, n long")
-    counted = grams_of.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(GRAMS_KEPT)
-    chars = CharModel({r.gram: r.n for r in counted.collect()})
+    chars = character_model(docs, id_col, text_col)
     found = map_batches(sample.select("bytes", "label", "half"), _feature_rows, "feature string, label int, half int, context string")
     per_feature = found.distinct().groupBy("feature").agg(
         *(F.count_if((F.col("label") == label) & (F.col("half") == half)).alias(f"{kind}{half}") for label, kind in ((1, "bad"), (0, "good")) for half in (0, 1))
@@ -384,7 +446,11 @@ def train(
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, score) per row of ``docs``; whole texts, NULL as empty. One pass, no shuffle."""
+    """(row, id, score) per row of ``docs``; whole texts, NULL as empty. One pass, no shuffle.
+
+    An empty text has the score of a text without hits. Repeated rows and equal texts get the same
+    score, each row its own; an empty table gives an empty result.
+    """
 
     class Scored:
         @staticmethod
@@ -400,6 +466,10 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, all columns."""
+    """The rows of ``docs`` that score below ``threshold``, all columns.
+
+    A score equal to the threshold goes. Repeated rows stay or go together; an empty table gives
+    an empty result.
+    """
     clean = scores(docs, model, id_col, text_col).where(F.col("score") < threshold)
     return keep_rows(docs, clean.select("row"))
