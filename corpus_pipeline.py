@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm import exact_blocks, mixing, packing, simhash_grid, toxicity
 from tidewire.llm.queries import PACKING_TOKENIZER
-from tidewire.session import materialise
+from tidewire.session import discard_materialised, materialise, written_so_far
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; once a stage's rows are written, what led to them is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = written_so_far()
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        found = stage(spark, docs, sf_dir)
+        before = written_so_far()
+        docs = materialise(found, f"pipeline-{name}")
+        discard_materialised(spark, start, before)
     return docs
