@@ -58,6 +58,21 @@ def test_table_modes(spark, tmp_path):
     assert S.TABLE_MODES == {"append": "append", "replace": "overwrite", "fail": "error"}
 
 
+def test_database_reads_are_dealt_over_tasks():
+    plain = S.read_options("jdbc:x", "bars", driver="d")
+    assert plain == {"url": "jdbc:x", "dbtable": "bars", "driver": "d"}
+    dealt = S.read_options("jdbc:x", "bars", "trade_date", dt.date(2020, 1, 1), dt.date(2024, 1, 1), 16, fetchsize="1000")
+    assert dealt == {
+        "url": "jdbc:x", "dbtable": "bars", "fetchsize": "1000", "partitionColumn": "trade_date",
+        "lowerBound": "2020-01-01", "upperBound": "2024-01-01", "numPartitions": "16",
+    }
+    with pytest.raises(ValueError, match="needs partition_column"):
+        S.read_options("jdbc:x", "bars", "trade_date", 1, 2)
+    for lower, upper, parts in ((2, 1, 4), (1, 2, 0)):
+        with pytest.raises(ValueError, match="bounds"):
+            S.read_options("jdbc:x", "bars", "volume", lower, upper, parts)
+
+
 def test_ticker_filter_prunes_partitions(spark, tmp_path):
     df = spark.createDataFrame([("A", dt.date(2024, 1, 2), 1.0), ("A", dt.date(2024, 1, 1), 2.0), ("B", dt.date(2024, 1, 1), 3.0)], "ticker string, trade_date date, x double")
     S.write_table(df, str(tmp_path / "m"))

@@ -120,9 +120,32 @@ def save_table(df: DataFrame, path: str, mode: str = "append") -> None:
     write_table(df, path, TABLE_MODES[mode])
 
 
-def read_from_db(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """S5's database form; filters on the result are pushed into the query."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def read_options(
+    url: str, table: str, partition_column: str | None = None, lower=None, upper=None, partitions: int | None = None, **options: str
+) -> dict[str, str]:
+    """Options of a database read; with a column and its bounds the read is dealt over tasks.
+
+    The bounds only set where parts begin: rows beyond them, and rows with NULL, are read too. A
+    numeric, date or timestamp column will do, such as ``trade_date``.
+    """
+    made = {"url": url, "dbtable": table, **options}
+    dealt = (partition_column, lower, upper, partitions)
+    if all(x is None for x in dealt):
+        return made
+    if any(x is None for x in dealt):
+        raise ValueError("a dealt read needs partition_column, lower, upper and partitions")
+    if partitions < 1 or upper <= lower:
+        raise ValueError("bounds have to grow, and there has to be a part")
+    bounds = {"partitionColumn": partition_column, "lowerBound": str(lower), "upperBound": str(upper)}
+    return {**made, **bounds, "numPartitions": str(partitions)}
+
+
+def read_from_db(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
+    """S5's database form; filters on the result are pushed into the query.
+
+    ``options`` are those of ``read_options``: without a partition column one task reads it all.
+    """
+    return spark.read.format("jdbc").options(**read_options(url, table, **options)).load()
 
 
 def retrieve_by_ticker(market: DataFrame, ticker: str) -> DataFrame:
