@@ -21,7 +21,7 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
     # With the mark of ``masked``, so that a run which meets a base match can be told.
-    ("generic", "[A-Za-z0-9+/_=\U0010ffff-]{20,}", 0, 20),
+    ("generic", "[A-Za-z0-9+/_=\uffff-]{20,}", 0, 20),
 )
 GENERIC = len(KINDS) - 1
 # A value with at least so many owners, or in at least so many repositories, is a copied example.
@@ -32,7 +32,8 @@ HOT_REPOSITORIES, SALTS = 4096, 64
 # Matches whose positions are added up together; their sums are added up per such block after that.
 BLOCK = 128
 # Stands in for a character of a base match where generic ones are searched; no text means anything by it.
-MASK = "\U0010ffff"
+MASK = "\uffff"
+SPANS = "array<struct<start:long,kind:int,end:long,value:string>>"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -71,8 +72,7 @@ def matches(text: Column, kind: int) -> Column:
     that appends copies what it has at every step.
     """
     _, pattern, _, least = KINDS[kind]
-    spans_type = "array<struct<start:long,kind:int,end:long,value:string>>"
-    none = F.array().cast(spans_type)
+    none = F.array().cast(SPANS)
 
     def place(at: Column, part: Column) -> tuple[Column, Column]:
         gap, match = _lengths(part)
@@ -104,15 +104,21 @@ def masked(text: Column) -> Column:
     touches a mark then, so a run of generic characters that meets a base match has a mark in it.
     """
     out = F.translate(text, MASK, " ")
-    for kind, (_, pattern, _, least) in enumerate(KINDS[:GENERIC]):
+    for kind in range(GENERIC):
+        out = _let(out, _hider(kind))
+    return out
 
-        def hide(part: Column) -> Column:
-            match = F.coalesce(part["match"], F.lit(""))
-            marks = F.repeat(F.lit(MASK), F.length(match))
-            return F.concat(part["gap"], F.when(F.length(part["value"]) >= F.lit(least), marks).otherwise(match))
 
-        out = F.when(out.rlike(pattern), F.array_join(F.transform(_parts(out, kind), hide), "")).otherwise(out)
-    return out
+def _hider(kind: int) -> Callable[[Column], Column]:
+    """A function of texts: the text with the matches of one kind masked."""
+    _, pattern, _, least = KINDS[kind]
+
+    def hide(part: Column) -> Column:
+        match = F.coalesce(part["match"], F.lit(""))
+        marks = F.repeat(F.lit(MASK), F.length(match))
+        return F.concat(part["gap"], F.when(F.length(part["value"]) >= F.lit(least), marks).otherwise(match))
+
+    return lambda text: F.when(text.rlike(pattern), F.array_join(F.transform(_parts(text, kind), hide), "")).otherwise(text)
 
 
 def looks_live(value: Column) -> Column:
@@ -136,6 +142,8 @@ def candidate_spans(docs: DataFrame, id_col: str, text_col: str, repository_col:
     base = F.array_sort(F.concat(*(matches(F.col("text"), kind) for kind in range(GENERIC))))
     generic = _let(masked(F.col("text")), lambda text: matches(text, GENERIC))
     more = F.filter(generic, lambda g: ~F.contains(g["value"], F.lit(MASK)) & looks_live(g["value"]))
+    # Most texts have no run that is long enough, masked or not.
+    more = F.when(F.col("text").rlike(KINDS[GENERIC][1].replace(MASK, "")), more).otherwise(F.array().cast(SPANS))
     return rows.select("row", "id", "repository", "owner", base.alias("base"), more.alias("more"))
 
 
