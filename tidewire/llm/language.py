@@ -250,7 +250,9 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     ``score`` is the share of the letters that lie in spans of ``lang``; ``spans`` has a struct
     (lang, first, last) per span, as word numbers, last excluded. NULL text, or text without a
-    letter, is ``und`` with score 0 and no spans.
+    letter, is ``und`` with score 0 and no spans. Of languages that tie the first by name is taken.
+    Repeated rows and equal texts get the same answer, each row its own; an empty table gives an
+    empty result. Texts are taken whole, a few MB of them at a time or one longer text alone.
     """
 
     class Detected:
