@@ -34,6 +34,8 @@ SEED = 42
 # Bin 0 holds missing values, the others are between exact quantiles of the train rows.
 BINS = 255
 BLOCK_ROWS = 1 << 16
+# Rows per task of a pass, at most about; fewer where there are cores for more tasks of a block.
+TASK_ROWS = 1 << 18
 # Trees between two writes of the rows' predictions; passes in between apply the newer trees.
 TREES_PER_WRITE = 50
 
@@ -223,6 +225,11 @@ def _unpacked(row: tuple) -> tuple[np.ndarray, ...]:
     return matrix, np.frombuffer(y), np.frombuffer(part, np.uint8), np.frombuffer(key, np.int64), np.frombuffer(margin)
 
 
+def _tasks(spark: SparkSession, rows: int) -> int:
+    few = min(-(-rows // BLOCK_ROWS), spark.sparkContext.defaultParallelism)
+    return max(few, -(-rows // TASK_ROWS), 1)
+
+
 def _placed(blocks: DataFrame, tasks: int) -> RDD:
     """Written blocks kept near the tasks of the passes to come; lost ones are read again.
 
@@ -352,8 +359,9 @@ def fit_trees(df: DataFrame, features: Sequence[str] | str, settings: TreePreset
     wanted = materialise(wanted.withColumn("key", F.xxhash64("x", "y", "part")), "tree-rows")
     plain = [F.get("x", i) for i in range(len(names))]
     model.cuts = _cuts(wanted.filter("part = 0"), names, plain)
-    tasks = max(-(-wanted.count() // BLOCK_ROWS), 1)
-    written = _blocks(wanted.repartition(tasks, "key"), model.cuts, base)
+    tasks = _tasks(spark, wanted.count())
+    # Dealt in turn, not by a value: equal rows may be many.
+    written = _blocks(wanted.repartition(tasks), model.cuts, base)
     blocks = _placed(written, tasks)
     # Room for residuals that grow to four times the labels' spread, summed over all rows.
     spread = max(high - low, abs(high - base), abs(low - base), 1e-300)
