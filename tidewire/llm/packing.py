@@ -92,8 +92,14 @@ class WordIds:
         # The tokenizer folds case itself; folding first only shortens the list of words. Special
         # tokens are matched before that, so texts that may hold one stay as they are.
         split = [split_words(t if b"<|" in t else fold_ascii(t)) for t in texts]
-        self._learn(set().union(*split).difference(self.known))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        found = [list(map(self.known.get, words)) for words in split]
+        # Nearly all words are known after a while; only texts with others are looked at again.
+        fresh = [i for i, ids in enumerate(found) if None in ids]
+        if fresh:
+            self._learn({w for i in fresh for w, ids in zip(split[i], found[i], strict=True) if ids is None})
+            for i in fresh:
+                found[i] = list(map(self.known.__getitem__, split[i]))
+        return [b"".join(ids) for ids in found]
 
 
 @cache
