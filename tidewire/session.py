@@ -53,15 +53,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a costly intermediate to the shared folder and go on from the written table.
 
     Later steps that read it several times do not run its plan again, and a lost executor costs
-    a re-read instead of a re-run.
+    a re-read instead of a re-run. ``compression`` names a Parquet codec other than the session's.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
