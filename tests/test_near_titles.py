@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.operators import near_titles as J
 from tidewire.session import written_so_far
@@ -123,3 +124,26 @@ def test_pieces_meet_for_similar_titles():
         other = edited(rng, title, rng.randint(1, len(title) // 9), "abcé")
         if similar(title, other) and len(other) >= 9:
             assert set(J.title_pieces(title, seen)) & set(J.title_pieces(other, seen))
+
+
+def test_check_before_the_distance_loses_no_similar_pair():
+    """Titles at the allowed distance pass the check of common grams; unlike ones of one alphabet do not."""
+    rng = random.Random(7)
+    for _ in range(200):
+        title = "".join(rng.choice("abcd \U0001f600") for _ in range(rng.randint(60, 240)))
+        other = edited(rng, title, len(title) // 10, "abcé")
+        assert not similar(title, other) or J.enough_common(title, other)
+    strangers = ["".join(rng.choice("abcdefgh ") for _ in range(4000)) for _ in range(2)]
+    assert not J.enough_common(*strangers)
+
+
+def test_distance_is_limited(spark):
+    """Two long unlike titles: a whole table of distances would have 400 million cells a pair."""
+    rng = random.Random(8)
+    rows = [(i, i, "A", "".join(rng.choice("ab") for _ in range(20_000))) for i in range(2)]
+    rows.append((2, 5, "A", edited(rng, rows[0][3], 100, "ab")))
+    got = J.drop_near_titles(frame(spark, rows))
+    assert sorted(r.news_id for r in got.collect()) == [0, 1]
+    met = frame(spark, rows[:1]).select(J.similar_enough(F.col("title"), F.col("title")).alias("same"))
+    assert "levenshtein(title#" in met._jdf.queryExecution().analyzed().toString()
+    assert "cast(FLOOR" in met._jdf.queryExecution().analyzed().toString()

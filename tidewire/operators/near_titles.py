@@ -27,10 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.session import materialise
 
 Q = 3
+# Grams that two long titles are checked by before their distance, and the length from which they are.
+CHECK_Q = 6
+CHECK_FROM = 64
 # Buckets of gram hashes that are counted, and the ratio of neighbouring bands of title lengths.
 BUCKETS = 1 << 16
 BAND = 1.13
@@ -45,18 +49,19 @@ def similar_enough(a: Column, b: Column, share: float = 0.9) -> Column:
     # The small term keeps 10 % of a round length from falling just short in binary.
     allowed = F.floor(longer * (1 - share) + 1e-9).cast("int")
     close = F.abs(F.length(a) - F.length(b)) <= allowed
-    distance = F.when(close, F.levenshtein(a, b))
-    return F.coalesce(distance <= allowed, F.lit(False))
+    # With a limit only a band of that width is worked out; beyond it the distance is -1.
+    distance = F.when(close, F.call_function("levenshtein", a, b, allowed))
+    return F.coalesce((distance >= 0) & (distance <= allowed), F.lit(False))
 
 
-def title_grams(title: str) -> np.ndarray:
-    """A hash for each Q characters in a row, from the characters' numbers; modulo 2**64."""
+def title_grams(title: str, q: int = Q) -> np.ndarray:
+    """A hash for each ``q`` characters in a row, from the characters' numbers; modulo 2**64."""
     codes = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(codes) < Q:
+    if len(codes) < q:
         return codes[:0]
-    grams = codes[: len(codes) - Q + 1]
-    for i in range(1, Q):
-        grams = grams * np.uint64(MIX) + codes[i : len(codes) - Q + 1 + i]
+    grams = codes[: len(codes) - q + 1]
+    for i in range(1, q):
+        grams = grams * np.uint64(MIX) + codes[i : len(codes) - q + 1 + i]
     grams = grams * np.uint64(MIX)
     return grams ^ (grams >> np.uint64(32))
 
@@ -71,6 +76,26 @@ def title_pieces(title: str, seen: np.ndarray) -> np.ndarray:
     return (grams[order] + np.uint64(MIX) * times[order].astype(np.uint64)).view(np.int64)
 
 
+def enough_common(a: str, b: str) -> bool:
+    """Whether two titles share as many longer grams as similar ones must; True where that says nothing.
+
+    One edit touches at most ``CHECK_Q`` grams of the longer title, the others are in both. Sorting
+    grams takes far less than the distance of two long texts, and few that only met pass.
+    """
+    longer = max(len(a), len(b))
+    needed = longer - CHECK_Q + 1 - CHECK_Q * (longer // 10)
+    if needed <= 0 or longer < CHECK_FROM:
+        return True
+    mine, theirs = (np.unique(title_grams(t, CHECK_Q), return_counts=True) for t in (a, b))
+    _, i, j = np.intersect1d(mine[0], theirs[0], assume_unique=True, return_indices=True)
+    return int(np.minimum(mine[1][i], theirs[1][j]).sum()) >= needed
+
+
+@F.arrow_udf(T.BooleanType())
+def _may_be_near(low: pa.Array, other: pa.Array) -> pa.Array:
+    return pa.array([enough_common(a, b) for a, b in zip(low.to_pylist(), other.to_pylist(), strict=True)], pa.bool_())
+
+
 def _pieces(titles: DataFrame) -> DataFrame:
     """(piece, id, n): hashes of the block and each title's rarest Q-grams.
 
@@ -107,7 +132,10 @@ def _near(pairs: DataFrame, titles: DataFrame, share: float) -> DataFrame:
     text = titles.select("id", "low", F.struct(*BLOCK).alias("block"))
     other = text.select(F.col("id").alias("other"), F.col("low").alias("other_low"), F.col("block").alias("other_block"))
     both = pairs.distinct().join(text, "id").join(other, "other")
-    alike = F.col("block").eqNullSafe(F.col("other_block")) & similar_enough(F.col("low"), F.col("other_low"), share)
+    longer, shorter = (f(F.length("low"), F.length("other_low")) for f in (F.greatest, F.least))
+    both = both.filter(F.col("block").eqNullSafe(F.col("other_block")) & (longer * 9 <= shorter * 10 + 9))
+    # Nested, as the distance would be worked out before the check if it stood beside it.
+    alike = F.when(_may_be_near("low", "other_low"), similar_enough(F.col("low"), F.col("other_low"), share))
     return both.filter(alike).select("id", "other")
 
 
