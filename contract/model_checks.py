@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from contract.adapters import r, rounded, table
 from contract.registry import check, sql
 from tidewire.plans import trees as M
-from tidewire.session import materialise
 
 FEATURES = ("l_quantity", "l_discount", "l_tax", "l_extendedprice")
 SETTINGS = M.preset("multi", trees=2, rate=0.5, depth=2, row_sample=1.0, column_sample=1.0, l1=3.0)
@@ -67,7 +66,6 @@ def fitted(spark, sf_dir):
             F.when(part < 7, "train").when(part < 9, "val").otherwise("test").alias("split"),
             *[F.col(c).cast("double").alias(c) for c in FEATURES],
         ).withColumn("charge", F.expr("l_extendedprice / 1e4D * (1 - l_discount) * (1 + l_tax)"))
-        rows = materialise(rows, "lines")
         _FITTED[key] = rows, M.fit_trees(rows, FEATURES, SETTINGS, "charge")
     return _FITTED[key]
 

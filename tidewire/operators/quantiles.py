@@ -121,10 +121,13 @@ def exact_quantiles(
     wanted = places.groupBy("feature", "bin", "before", "low", "high", "n").agg(
         F.collect_set(F.struct("p", "place")).alias("spots")
     )
+    # Values are counted before the places join them: a bin may hold hundreds of places, and as a
+    # part of the key each row would carry and compare them all.
     values = (
-        binned.join(F.broadcast(wanted), ["feature", "bin"])
-        .groupBy("feature", "bin", "v", "before", "low", "high", "n", "spots")
+        binned.join(F.broadcast(wanted.select("feature", "bin")), ["feature", "bin"], "left_semi")
+        .groupBy("feature", "bin", "v")
         .agg(F.count("*").alias("same"))
+        .join(F.broadcast(wanted), ["feature", "bin"])
     )
     picked = (
         _with_places(values)
