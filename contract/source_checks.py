@@ -225,9 +225,10 @@ def _(spark, sf_dir):
     name = f"indexed_{uuid.uuid4().hex}"
     whole = with_holes(spark, sf_dir)
     U.open_indexed_store(spark, name, scratch(spark, "indexed"), whole.schema, buckets=8)
+    # Of equal articles the one with the smaller number is stored, so those of the other half wait.
+    first = whole.groupBy("pub_time", "ticker", "title").agg(F.min("news_id").alias("news_id")).select("news_id")
+    first = materialise(first, "first-ids")
     for part in (whole.filter("news_id % 2 = 0"), whole.filter("news_id % 2 = 1")):
-        # Of equal articles the one with the smaller number is stored, so those of the other half wait.
-        first = whole.groupBy("pub_time", "ticker", "title").agg(F.min("news_id").alias("news_id")).select("news_id")
         U.append_to_indexed_store(part.join(first, "news_id", "left_semi"), name)
     U.append_to_indexed_store(whole, name)
     U.compact_store(spark, name, files=1)

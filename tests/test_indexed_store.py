@@ -95,3 +95,25 @@ def test_key_tells_null_from_empty(spark):
     rows = [(T0, None, None), (T0, "", None), (T0, None, ""), (T0, "-", None), (None, "-", "-"), (T0, "a", "b"), (T0, 'a","=b', None)]
     df = spark.createDataFrame(rows, "pub_time timestamp_ntz, ticker string, title string")
     assert df.select(F.count_distinct(U.news_key())).first()[0] == len(rows)
+
+
+def test_repeated_batch_shuffles_no_articles(spark, store, monkeypatch):
+    name, _ = store
+    rng = random.Random(3)
+    part = batch(spark, rng, 0, 200)
+    U.append_to_indexed_store(part, name)
+    plans, add = [], U._add
+    monkeypatch.setattr(U, "_add", lambda rows, *rest: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), add(rows, *rest)))
+    before = rows_of(spark.table(name))
+    U.append_to_indexed_store(part, name)
+    assert rows_of(spark.table(name)) == before
+    # The keys to add, none, are known when their articles are looked up: those stay where they are.
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
+def test_rows_equal_in_the_order_too_are_stored_once(spark, store):
+    name, _ = store
+    rows = [(None, T0, "A", "x", 1.0), (1, T0, "A", "x", 2.0), (2, None, None, None, 3.0), (2, None, None, None, 3.0), (3, T0, "B", "y", 4.0)]
+    U.append_to_indexed_store(spark.createDataFrame(rows * 2, SCHEMA), name)
+    # A missing number is the smallest, as in an upsert.
+    assert rows_of(spark.table(name)) == sorted([rows[0][:4], rows[2][:4], rows[4][:4]], key=repr)

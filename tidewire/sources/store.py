@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidewire.operators.news import NEWS_KEY, keep_first
+from tidewire.schemas import q
 from tidewire.session import discard_materialised, materialise, written_so_far
 
 MONTH = "pub_month"
 KEY = "news_key"
+_TIE = "_tie"
 
 
 def upsert(
@@ -104,37 +106,68 @@ def open_indexed_store(spark: SparkSession, name: str, path: str, schema: Struct
     return spark.table(name)
 
 
-def _indexed(batch: DataFrame) -> DataFrame:
-    return with_month(batch).withColumn(KEY, news_key())
+def _buckets(spark: SparkSession, name: str) -> int:
+    return int(spark.sql(f"describe extended {name}").filter("col_name = 'Num Buckets'").first().data_type)
 
 
-def rows_to_add(incoming: DataFrame, name: str, tie_break: Sequence[str] = ("news_id",)) -> DataFrame:
-    """The incoming rows whose key the store does not have, with key and month.
+def _indexed(batch: DataFrame, tie_break: Sequence[str]) -> DataFrame:
+    return with_month(batch).withColumns({KEY: news_key(), _TIE: F.struct(*[q(c) for c in tie_break])})
+
+
+def _new_keys(batch: DataFrame, name: str) -> DataFrame:
+    """Of the batch's keys those the store does not have, each with its smallest ``tie_break``.
 
     Only the months of the batch are read, and of them only the key. What is stored is in buckets
-    of the key already, so the batch alone is shuffled to meet it.
+    of the key already, so the batch's keys alone are shuffled to meet it.
     """
-    spark = incoming.sparkSession
-    batch = _indexed(keep_first(incoming, NEWS_KEY, tie_break))
+    spark = batch.sparkSession
     months = [r[0] for r in batch.select(MONTH).distinct().collect()]
     within = F.col(MONTH).isin([m for m in months if m is not None])
     if None in months:
         within = within | F.col(MONTH).isNull()
     stored = spark.table(name).filter(within).select(KEY)
+    # Copies of a hot key shrink before they are shuffled. The month follows from the key; with it as
+    # a group the keys are not dealt by key alone yet, and it is they that go to the store's buckets.
+    first = batch.groupBy(KEY, MONTH).agg(F.min(_TIE).alias(_TIE)).drop(MONTH)
     # A merge join of the buckets: the stored side is never gathered, however few months are left.
-    return batch.join(stored.hint("merge"), KEY, "left_anti")
+    return first.join(stored.hint("merge"), KEY, "left_anti")
+
+
+def _rows_of(batch: DataFrame, keys: DataFrame) -> DataFrame:
+    """The batch's row per new key; of rows equal in ``tie_break`` too, any one."""
+    rest = [c for c in batch.columns if c not in (KEY, _TIE)]
+    met = batch.join(keys, [KEY, _TIE])
+    one = met.groupBy(KEY, _TIE).agg(F.first(F.struct(*[q(c) for c in rest])).alias("_row"))
+    return one.select(*[F.col("_row").getField(c).alias(c) for c in rest], KEY)
+
+
+def rows_to_add(incoming: DataFrame, name: str, tie_break: Sequence[str] = ("news_id",)) -> DataFrame:
+    """The incoming rows whose key the store does not have, with key and month.
+
+    Keys meet the store without their articles; then only the articles to add are looked up, so
+    ``incoming`` is read more than once and must give the same rows each time.
+    """
+    batch = _indexed(incoming, tie_break)
+    return _rows_of(batch, _new_keys(batch, name))
 
 
 def append_to_indexed_store(incoming: DataFrame, name: str, tie_break: Sequence[str] = ("news_id",)) -> None:
-    """S13 on the indexed table: add the new rows in their buckets; a retry adds nothing twice."""
+    """S13 on the indexed table: add the new rows in their buckets; a retry adds nothing twice.
+
+    The new keys are written first: where they are few, or none, no article is shuffled to find
+    its rows.
+    """
     spark = incoming.sparkSession
     table = spark.table(name)
-    fresh = rows_to_add(incoming, name, tie_break).select(*table.columns)
-    _add(fresh, name, "append")
+    batch = _indexed(incoming, tie_break)
+    mark = written_so_far()
+    keys = materialise(_new_keys(batch, name), "new-keys")
+    _add(_rows_of(batch, keys).select(*table.columns), name, "append")
+    discard_materialised(spark, mark)
 
 
 def _add(rows: DataFrame, name: str, mode: str) -> None:
-    buckets = int(rows.sparkSession.sql(f"describe extended {name}").filter("col_name = 'Num Buckets'").first().data_type)
+    buckets = _buckets(rows.sparkSession, name)
     dealt = rows.repartition(buckets, KEY)
     writer = dealt.write.mode(mode).partitionBy(MONTH).bucketBy(buckets, KEY).sortBy(KEY).format("parquet")
     if mode == "append":
@@ -151,7 +184,7 @@ def compact_store(spark: SparkSession, name: str, files: int = 8) -> list[str |
     not touched. Run it when no batch is being added.
     """
     table = spark.table(name)
-    buckets = int(spark.sql(f"describe extended {name}").filter("col_name = 'Num Buckets'").first().data_type)
+    buckets = _buckets(spark, name)
     # One row per file: bounded by what is to be compacted.
     found = table.groupBy(MONTH).agg(F.count_distinct(F.col("_metadata.file_path")).alias("files"))
     crowded = [r[MONTH] for r in found.filter(F.col("files") > files * buckets).collect()]
