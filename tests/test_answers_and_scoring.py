@@ -2,6 +2,7 @@ import json
 import math
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidewire.functions import answers as A
@@ -145,3 +146,46 @@ def test_one_bad_row_does_not_spoil_its_batch(spark):
     assert rows[3].s is None and "bad text" in rows[3].score_error
     assert [r.s for r in rows if r.i != 3] == [[float(i)] for i in range(10) if i != 3]
     assert all(r.score_error is None for r in rows if r.i != 3)
+
+
+def load_measured():
+    import tracemalloc
+
+    tracemalloc.start()
+
+    def score(texts):
+        held = float(tracemalloc.get_traced_memory()[1])
+        if texts[-1].startswith("end"):
+            tracemalloc.stop()
+        return [[held]] * len(texts)
+
+    return score
+
+
+def test_only_a_few_batches_are_python_objects(spark):
+    """Three Arrow batches of 8 MB, four times that as strings: a task never holds all strings of one."""
+    rows = spark.range(6000, numPartitions=1).select("id", F.when(F.col("id") == 5999, "end").otherwise(F.concat(F.lit("\U0001f600"), F.col("id"), F.repeat(F.lit("texts "), 680))).alias("t"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    try:
+        out = score_texts(rows, "t", load_measured, "s", "array<double>").agg(F.count("*"), F.count("s"), F.max(F.col("s")[0])).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out[0] == out[1] == 6000 and out[2] < 28e6
+
+
+def load_odd():
+    import numpy as np
+
+    made = [{"a": 1, "b": [[1.0], []]}, Row(a=2, b=np.eye(2)), None, {"a": None, "b": None}]
+
+    def score(texts):
+        return [made[len(t)] for t in texts]
+
+    return score
+
+
+def test_results_of_other_types(spark):
+    df = spark.createDataFrame([(i, "x" * i) for i in range(4)], "i int, t string").coalesce(1)
+    rows = score_texts(df, "t", load_odd, "s", "struct<a: int, b: array<array<double>>>").orderBy("i").collect()
+    assert [r.score_error for r in rows] == [None] * 4
+    assert [r.s and (r.s.a, r.s.b) for r in rows] == [(1, [[1.0], []]), (2, [[1.0, 0.0], [0.0, 1.0]]), None, (None, None)]

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 Scorer = Callable[[list], Sequence]
+# Rows whose inputs are Python objects at a time, at most about.
+HELD_ROWS = 256
 
 
 def score_texts(
@@ -26,27 +31,45 @@ def score_texts(
     results. A batch that fails is tried again one input at a time, so one bad row does not take
     its neighbours along; its own result is NULL and the message goes to ``score_error``.
     ``partitions`` spreads an expensive model over more tasks than the input has.
+
+    Rows stay Arrow buffers on their way; only the inputs of a few batches at a time become Python
+    objects, so a worker's memory is set by the session's Arrow batches, not by what is scored.
     """
     schema = T.StructType(
         [*df.schema.fields, T.StructField(output, _as_type(df, output_type)), T.StructField("score_error", T.StringType())]
     )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = to_arrow_type(schema[output].dataType)
+    held = batch_size * max(HELD_ROWS // batch_size, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
-        for frame in frames:
+        for batch in batches:
             scorer = scorer or load()
-            inputs = frame[column].tolist()
-            results, errors = [], []
-            for start in range(0, len(inputs), batch_size):
-                got, failed = _score_batch(scorer, inputs[start : start + batch_size])
-                results += got
-                errors += failed
-            frame[output] = pd.Series(results, index=frame.index, dtype=object)
-            frame["score_error"] = pd.Series(errors, index=frame.index, dtype=object)
-            yield frame
+            for first in range(0, batch.num_rows, held):
+                part = batch.slice(first, held)
+                inputs = part.column(column).to_pandas().tolist()
+                results, errors = [], []
+                for start in range(0, len(inputs), batch_size):
+                    got, failed = _score_batch(scorer, inputs[start : start + batch_size])
+                    results += got
+                    errors += failed
+                scores = pa.Array.from_pandas(pd.Series([_plain(x) for x in results], dtype=object), type=kind, safe=False)
+                yield pa.RecordBatch.from_arrays([*part.columns, scores, pa.array(errors, pa.string())], names=schema.names)
 
     source = df if partitions is None else df.repartition(partitions)
-    return source.mapInPandas(run, schema)
+    return source.mapInArrow(run, schema)
+
+
+def _plain(result):
+    """A result as Arrow takes it: rows as dicts, arrays in them or of more dimensions as lists."""
+    if isinstance(result, Row):
+        result = result.asDict()
+    if isinstance(result, dict):
+        return {k: _plain(v) for k, v in result.items()}
+    if isinstance(result, np.ndarray) and result.ndim > 1:
+        return result.tolist()
+    return result
 
 
 def _score_batch(scorer: Scorer, batch: list) -> tuple[list, list]:
